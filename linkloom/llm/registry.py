@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from .boilerplate import p3_found, p3_main_text
 from .copies import p4_collapsed, p4_found
 
 
 def queries() -> dict:
-    return {"p4_found": p4_found, "p4_collapsed": p4_collapsed}
+    return {"p3_found": p3_found, "p3_main_text": p3_main_text, "p4_found": p4_found, "p4_collapsed": p4_collapsed}
 
 
 def oracle_sql() -> dict[str, str]:
