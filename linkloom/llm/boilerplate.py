@@ -25,7 +25,7 @@ from ..runtime import cut_lineage, table
 #: around 0.07, parts of a template from 0.3.
 MIN_SHARE = 0.2
 #: Pages that must have a token.
-MIN_PAGES = 2
+MIN_PAGES = 3
 #: A heading heads a list of the template if it is followed by one from this share of its pages on.
 LIST_SHARE = 0.6
 #: Templates are broadcast up to this many tokens (8 bytes each); more are joined by host, skewed hosts split.
@@ -80,16 +80,23 @@ def _like_item(line: str) -> bool:
     return bool(_BULLET.match(line)) or (len(line.split()) <= 14 and not _END.search(_MINUTES.sub("", line.strip())))
 
 
-def _heads_list(lines: list[tuple[int, str]], at: int, title: str) -> bool:
-    """Whether the line after this one could be an item of a list that it heads; the page's own title couldn't."""
-    return at + 1 < len(lines) and lines[at + 1][0] == lines[at][0] + 1 and _like_item(lines[at + 1][1]) and lines[at + 1][1].strip().lower() != title
+def _next_item(lines: list[tuple[int, str]], at: int, title: str, names: tuple[str, ...]) -> int | None:
+    """The token of the line after this one if that could be an item of a list under it. The page's own title, a line
+    of links or one with a fixed beginning could not."""
+    if at + 1 == len(lines) or lines[at + 1][0] != lines[at][0] + 1:
+        return None
+    line = lines[at + 1][1]
+    if not _like_item(line) or line.strip().lower() == title or _parts(line) or _LEAD.match(line.strip()):
+        return None
+    return _hash("L", _masked(line, names))
 
 
-_PAGE = "site string, page bigint, tokens array<struct<token: bigint, heads: int>>"
+_PAGE = "site string, title string, page bigint, tokens array<struct<token: bigint, below: bigint>>"
 
 
 def _page_tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The tokens of each page, each once. A page is known by its longest line, so that one fetched again counts once."""
+    """The tokens of each page, each once, with the token below it where that could be an item of its list. A page is
+    known by its longest line, so that one fetched again counts once."""
     for b in batches:
         rows = []
         for site, title, content in zip(b["site"], b["title"], b["content"]):
@@ -97,13 +104,14 @@ def _page_tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             title, found = (title or "").strip().lower(), {}
             for at, (_, line) in enumerate(lines):
                 own, lead, parts, root = _tokens(line, names)
-                found[own] = max(found.get(own, 0), int(_heads_list(lines, at, title)))
+                found[own] = found.get(own) or _next_item(lines, at, title, names)
                 for t in (lead, root, *parts):
                     if t is not None:
-                        found.setdefault(t, 0)
+                        found.setdefault(t)
             if lines:
-                rows.append((site, _hash("D", max((x.strip() for _, x in lines), key=len)), [{"token": t, "heads": h} for t, h in found.items()]))
-        yield pd.DataFrame(rows, columns=["site", "page", "tokens"])
+                page = _hash("D", max((x.strip() for _, x in lines), key=len))
+                rows.append((site, title or str(page), page, [{"token": t, "below": n} for t, n in found.items()]))
+        yield pd.DataFrame(rows, columns=["site", "title", "page", "tokens"])
 
 
 def _usable(df: DataFrame, content: str, site: str) -> DataFrame:
@@ -118,13 +126,18 @@ def templates(df: DataFrame, content: str = "content", site: str = "site", title
     from the outermost (the one on most pages) inwards. Hosts of one page get the tokens that other hosts confirm.
     """
     pages = _usable(df, content, site).select(F.col("_site").alias("site"), F.coalesce(F.col(title), F.lit("")).alias("title"), F.col("_content").alias("content"))
-    pages = cut_lineage(pages.mapInPandas(_page_tokens, _PAGE).dropDuplicates(["site", "page"]))
-    hosts = pages.groupBy("site").agg(F.count("*").alias("host_pages"))
-    seen = pages.select("site", "page", F.inline("tokens")).groupBy("site", "token").agg(F.count("*").alias("pages"), F.bit_xor("page").alias("vector"), F.sum("heads").alias("heads"))
-    seen = seen.join(hosts, "site")
-    pooled = seen.groupBy("token").agg(F.sum("pages").alias("all_pages"), F.sum("heads").alias("all_heads"), F.sum("host_pages").alias("possible"))
-    valid = pooled.where((F.col("all_pages") >= MIN_PAGES) & (F.col("all_pages") >= MIN_SHARE * F.col("possible")))
-    kept = cut_lineage(seen.join(valid.select("token", (F.col("all_heads") >= LIST_SHARE * F.col("all_pages")).alias("heads_list")), "token"))
+    pages = cut_lineage(pages.mapInPandas(_page_tokens, _PAGE))
+    articles = pages.dropDuplicates(["site", "page"]).dropDuplicates(["site", "title"])
+    hosts = articles.groupBy("site").agg(F.count("*").alias("host_pages"))
+    tokens = articles.select("site", F.inline("tokens"))
+    pooled = tokens.groupBy("site", "token").agg(F.count("*").alias("pages")).join(hosts, "site").groupBy("token").agg(F.sum("pages").alias("all_pages"), F.sum("host_pages").alias("possible"))
+    valid = cut_lineage(pooled.where((F.col("all_pages") >= MIN_PAGES) & (F.col("all_pages") >= MIN_SHARE * F.col("possible"))))
+    # A heading of the template heads a list where what is below it could be an item and isn't of the template itself.
+    below = tokens.where("below is not null").groupBy("token", "below").agg(F.count("*").alias("times")).join(valid.select("token"), "token", "left_semi")
+    heads = below.join(valid.select(F.col("token").alias("below")), "below", "left_anti").groupBy("token").agg(F.sum("times").alias("heads"))
+    valid = valid.join(heads, "token", "left").select("token", (F.coalesce("heads", F.lit(0)) >= LIST_SHARE * F.col("all_pages")).alias("heads_list"))
+    on_hosts = pages.select("site", "page", F.inline("tokens")).groupBy("site", "token").agg(F.count("*").alias("pages"), F.bit_xor("page").alias("vector"))
+    kept = cut_lineage(on_hosts.join(valid, "token"))
     classes = kept.groupBy("site", "vector", "pages").agg(F.count("*").cast("int").alias("class_size"))
     nested = classes.groupBy("site").agg(F.array_sort(F.collect_set("pages"), lambda a, b: F.when(a > b, -1).when(a < b, 1).otherwise(0)).alias("supports"))
     return kept.join(classes, ["site", "vector", "pages"]).join(nested, "site").select("site", "token", "pages", "class_size", F.array_position("supports", F.col("pages")).cast("int").alias("level"), "heads_list")
@@ -157,8 +170,7 @@ def drop_boilerplate(df: DataFrame, key: str = "extract_id", content: str = "con
     """
     deduced = templates(df, content, site, title).groupBy("site").agg(F.collect_list("token").alias("_tokens"), F.collect_list(F.when(F.col("heads_list"), F.col("token"))).alias("_lists"))
     deduced = cut_lineage(deduced.withColumnRenamed("site", "_site"))
-    small = deduced.select(F.sum(F.size("_tokens"))).first()[0] or 0
-    if small <= MAX_BROADCAST:
+    if (deduced.select(F.sum(F.size("_tokens"))).first()[0] or 0) <= MAX_BROADCAST:
         deduced = F.broadcast(deduced)
     rows = df.select(F.col(key).alias("_key"), F.col(content).alias("_content"), F.coalesce(F.col(site), F.lit("")).alias("_site"), F.coalesce(F.col(title), F.lit("")).alias("_title"))
 
