@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from .boilerplate import p3_found, p3_main_text
 from .copies import p4_collapsed, p4_found
+from .leaks import p6_found, p6_leaks
+from .together import p5_found, p5_pairs
 
 
 def queries() -> dict:
-    return {"p3_found": p3_found, "p3_main_text": p3_main_text, "p4_found": p4_found, "p4_collapsed": p4_collapsed}
+    found = (p3_found, p3_main_text, p4_found, p4_collapsed, p5_found, p5_pairs, p6_found, p6_leaks)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
