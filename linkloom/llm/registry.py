@@ -5,11 +5,12 @@ from __future__ import annotations
 from .boilerplate import p3_found, p3_main_text
 from .copies import p4_collapsed, p4_found
 from .leaks import p6_found, p6_leaks
+from .mixing import p7_mixed, p7_report
 from .together import p5_found, p5_pairs
 
 
 def queries() -> dict:
-    found = (p3_found, p3_main_text, p4_found, p4_collapsed, p5_found, p5_pairs, p6_found, p6_leaks)
+    found = (p3_found, p3_main_text, p4_found, p4_collapsed, p5_found, p5_pairs, p6_found, p6_leaks, p7_report, p7_mixed)
     return {f.__name__: f for f in found}
 
 
