@@ -6,12 +6,13 @@ from .boilerplate import p3_found, p3_main_text
 from .copies import p4_collapsed, p4_found
 from .leaks import p6_found, p6_leaks
 from .mixing import p7_mixed, p7_report
+from .subjects import p2_composition, p2_found
 from .together import p5_found, p5_pairs
 from .truncation import p8_found, p8_rates
 
 
 def queries() -> dict:
-    found = (p3_found, p3_main_text, p4_found, p4_collapsed, p5_found, p5_pairs, p6_found, p6_leaks, p7_report, p7_mixed, p8_found, p8_rates)
+    found = (p2_found, p2_composition, p3_found, p3_main_text, p4_found, p4_collapsed, p5_found, p5_pairs, p6_found, p6_leaks, p7_report, p7_mixed, p8_found, p8_rates)
     return {f.__name__: f for f in found}
 
 
