@@ -10,7 +10,8 @@ search over the chain finds the likeliest combination; probabilities are calibra
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
+from array import array
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -29,6 +30,8 @@ MIN_DOCS, SHRINK, MIN_EVIDENCE = 3, 2.0, 0.8
 BEAM = 6
 #: Rounds of sharing a unit's evidence out among its document's labels.
 ROUNDS = 3
+#: Units, or rows of features, that are worked on at a time; pairs of document and subject that the shared model sees.
+CHUNK, SHARED = 8_192, 150_000
 #: Words of a unit where no full stop ends it earlier.
 UNIT_WORDS = 22
 
@@ -61,19 +64,116 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def logistic(x: np.ndarray, y: np.ndarray, centre: np.ndarray, ridge: float, steps: int = 12) -> np.ndarray:
-    """Logistic regression by Newton's method, shrunk towards `centre`."""
+def logistic(blocks: list[tuple[np.ndarray, np.ndarray]], centre: np.ndarray, ridge: float, steps: int = 12) -> np.ndarray:
+    """Logistic regression by Newton's method, shrunk towards `centre`, over blocks of (features, labels)."""
     w = centre.copy()
     for _ in range(steps):
-        p = _sigmoid(x @ w)
-        grad = x.T @ (p - y) + ridge * (w - centre)
-        step = np.linalg.solve((x * (p * (1 - p) + 1e-6)[:, None]).T @ x + ridge * np.eye(len(w)), grad)
+        grad, curve = ridge * (w - centre), ridge * np.eye(len(w))
+        for block, y in blocks:
+            for i in range(0, len(y), CHUNK):
+                x = block[i : i + CHUNK].astype(float)
+                p = _sigmoid(x @ w)
+                grad += x.T @ (p - y[i : i + CHUNK])
+                curve += (x * (p * (1 - p) + 1e-6)[:, None]).T @ x
+        step = np.linalg.solve(curve, grad)
         w -= step
         if np.abs(step).max() < 1e-5:
             break
     return w
 
 
+@dataclass
+class Corpus:
+    """Labelled documents as numbers: the known terms of each unit, where units begin, whose they are."""
+
+    index: dict[str, int]
+    terms: np.ndarray
+    starts: np.ndarray
+    docs: np.ndarray
+    lengths: np.ndarray
+
+    @staticmethod
+    def of(texts: list[str]) -> Corpus:
+        counts: Counter[str] = Counter()
+        for t in texts:
+            counts.update({x for u in units(t) for x in terms(u)})
+        index = {t: i for i, t in enumerate(sorted(t for t, n in counts.items() if n >= MIN_DOCS))}
+        del counts
+        at, starts, docs, lengths = array("i"), array("i"), array("i"), np.zeros(len(texts))
+        for d, text in enumerate(texts):
+            u = units(text)
+            lengths[d] = len(u)
+            for w in u:
+                known = {i for t in terms(w) if (i := index.get(t)) is not None}
+                if known:
+                    starts.append(len(at))
+                    docs.append(d)
+                    at.extend(sorted(known))
+        return Corpus(index, *(np.frombuffer(x, np.int32) if len(x) else np.zeros(0, np.int32) for x in (at, starts, docs)), lengths)
+
+    def learn(self, own: np.ndarray, use: np.ndarray) -> np.ndarray:
+        """Each term's log odds for each subject, zeros where it says nothing, from the documents in `use`.
+
+        own: (documents, subjects), 1 for a label. A document's units are first shared evenly among its labels, then,
+        round by round, by what their terms already say, where a unit may also be about none of them."""
+        v, k = len(self.index), own.shape[1]
+        prior = own[use].sum(axis=0) + 1.0
+        prior /= prior.sum()
+        mine = own / np.maximum(own.sum(axis=1, keepdims=True), 1)
+        picked = np.flatnonzero(use[self.docs])
+        ends = np.append(self.starts[1:], len(self.terms))
+        weights = np.zeros((v, k), np.float32)
+        for r in range(ROUNDS):
+            counts = np.zeros((v, k))
+            for i in range(0, len(picked), CHUNK):
+                part = picked[i : i + CHUNK]
+                sizes = ends[part] - self.starts[part]
+                unit = np.repeat(np.arange(len(part)), sizes)
+                begin = np.cumsum(sizes) - sizes
+                t = self.terms[np.arange(sizes.sum()) - begin[unit] + self.starts[part][unit]]
+                share = mine[self.docs[part]]
+                if r:
+                    s = np.add.reduceat(weights[t], begin, axis=0)
+                    share = np.exp(np.clip(s, -8, 8)) * (0.04 * prior + 0.96 * share)
+                    share /= share.sum(axis=1, keepdims=True)
+                # a term counts once in a document, with the largest share of its units there
+                key = self.docs[part][unit].astype(np.int64) * v + t
+                order = np.argsort(key, kind="stable")
+                first = np.flatnonzero(np.append(True, np.diff(key[order]) != 0))
+                most = np.maximum.reduceat(share[unit[order]], first, axis=0)
+                at = t[order][first]
+                by = np.argsort(at, kind="stable")
+                new = np.flatnonzero(np.append(True, np.diff(at[by]) != 0))
+                counts[at[by][new]] += np.add.reduceat(most[by], new, axis=0)
+            n = counts.sum(axis=1, keepdims=True)
+            log_odds = np.log((counts + SHRINK * prior) / (n + SHRINK) / prior)
+            keep = (n[:, 0] >= MIN_DOCS) & (log_odds.max(axis=1) >= MIN_EVIDENCE)
+            weights = np.where(keep[:, None], np.clip(log_odds, -3, 3), 0).astype(np.float32)
+        return weights
+
+    def read(self, weights: np.ndarray, use: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the documents in `use`: evidence of all units by subject, units about each subject, units in all."""
+        picked = np.flatnonzero(use[self.docs])
+        ends = np.append(self.starts[1:], len(self.terms))
+        n, k = len(use), weights.shape[1]
+        total, about = np.zeros((n, k)), np.zeros((n, k))
+        for i in range(0, len(picked), CHUNK):
+            part = picked[i : i + CHUNK]
+            sizes = ends[part] - self.starts[part]
+            begin = np.cumsum(sizes) - sizes
+            t = self.terms[np.arange(sizes.sum()) - np.repeat(begin - self.starts[part], sizes)]
+            _tally(np.add.reduceat(weights[t], begin, axis=0), self.docs[part], total, about)
+        return total[use], about[use], self.lengths[use]
+
+
+def _tally(units_said: np.ndarray, docs: np.ndarray, total: np.ndarray, about: np.ndarray) -> None:
+    """Adds each unit's evidence to its document, and the unit to the subject that it is clearly about."""
+    best = units_said.argmax(axis=1)
+    clear = units_said[np.arange(len(best)), best] >= 1.0
+    np.add.at(about, (docs[clear], best[clear]), 1)
+    np.add.at(total, docs, np.clip(units_said, 0, 6))
+
+
 @dataclass
 class Evidence:
     """What terms say: for each known term its log odds for each subject."""
@@ -81,8 +181,14 @@ class Evidence:
     index: dict[str, int]
     weights: np.ndarray
 
+    @staticmethod
+    def of(corpus: Corpus, weights: np.ndarray) -> Evidence:
+        rows = np.flatnonzero(weights.any(axis=1))
+        at = {int(r): i for i, r in enumerate(rows)}
+        return Evidence({t: at[i] for t, i in corpus.index.items() if i in at}, weights[rows])
+
     def read(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Per document: evidence of all units by subject, units about each subject, units in all."""
+        """As Corpus.read, for texts that are new."""
         k = self.weights.shape[1]
         at, starts, docs, lengths = [], [], [], np.zeros(len(texts))
         get = self.index.get
@@ -90,56 +196,17 @@ class Evidence:
             u = units(text)
             lengths[d] = len(u)
             for words in u:
-                hits = [i for t in terms(words) if (i := get(t)) is not None]
+                hits = {i for t in terms(words) if (i := get(t)) is not None}
                 if hits:
                     starts.append(len(at))
                     docs.append(d)
                     at += hits
         total, about = np.zeros((len(texts), k)), np.zeros((len(texts), k))
         if at:
-            s = np.add.reduceat(self.weights[at], starts, axis=0)
-            best = s.argmax(axis=1)
-            clear = s[np.arange(len(s)), best] >= 1.0
-            where = np.array(docs)
-            np.add.at(about, (where[clear], best[clear]), 1)
-            np.add.at(total, where, np.clip(s, 0, 6))
+            _tally(np.add.reduceat(self.weights[at], starts, axis=0), np.array(docs), total, about)
         return total, about, lengths
 
 
-def learn_evidence(texts: list[str], labels: list[set[int]], k: int) -> Evidence:
-    """Terms' evidence from labelled documents. A document's units are first shared evenly among its labels, then, round
-    by round, by what their terms already say, where a unit may also be about none of them."""
-    split = [[(set(terms(w))) for w in units(t)] for t in texts]
-    prior = np.bincount([s for own in labels for s in own], minlength=k) + 1.0
-    prior /= prior.sum()
-    weights: dict[str, np.ndarray] = {}
-    for r in range(ROUNDS):
-        counts: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(k))
-        for doc, own in zip(split, labels):
-            mine = np.zeros(k)
-            mine[list(own)] = 1 / len(own)
-            seen: dict[str, np.ndarray] = {}
-            for unit in doc:
-                share = mine
-                if r:
-                    s = sum((weights[t] for t in unit if t in weights), np.zeros(k))
-                    odds = np.exp(np.clip(s, -8, 8)) * (0.04 * prior + 0.96 * mine)
-                    share = odds / odds.sum()
-                for t in unit:
-                    seen[t] = np.maximum(seen[t], share) if t in seen else share
-            for t, share in seen.items():
-                counts[t] += share
-        weights = {}
-        for t, n in counts.items():
-            if n.sum() >= MIN_DOCS:
-                q = (n + SHRINK * prior) / (n.sum() + SHRINK)
-                log_odds = np.log(q / prior)
-                if log_odds.max() >= MIN_EVIDENCE:
-                    weights[t] = np.clip(log_odds, -3, 3)
-    names = sorted(weights)
-    return Evidence({t: i for i, t in enumerate(names)}, np.array([weights[t] for t in names]).reshape(-1, k))
-
-
 def _structure(total: np.ndarray, about: np.ndarray, lengths: np.ndarray, kinds: np.ndarray) -> np.ndarray:
     """Features of each document and subject, without those of the chain: (documents, subjects, features)."""
     n, k = about.shape
@@ -206,46 +273,50 @@ class Chain:
 
 
 def fit_chain(texts: list[str], kinds: np.ndarray, labels: list[set[int]], subjects: list[str], seed: int = 5) -> Chain:
-    """Terms' evidence on two thirds of the labels and the chain on the other third, then the other way round; the chain
-    is the mean of both, so it never sees evidence fitted to its own labels. The last model's terms are from all."""
+    """Every third of the labels is read with evidence from the other two, so the chain never sees evidence fitted to its
+    own labels. It is fitted on two thirds and calibrated on the last; the evidence that it keeps is from all."""
     k, n = len(subjects), len(texts)
-    order = np.argsort(-np.bincount([s for own in labels for s in own], minlength=k), kind="stable").tolist()
-    together = np.ones((k, k))
-    for own in labels:
-        for a in own:
-            together[a, list(own - {a})] += 1
-    chain = Chain(subjects, Evidence({}, np.zeros((0, k))), order, np.zeros((k, 0)), pairs=np.log(together / together.mean()) / 3)
-    fold = np.random.default_rng(seed).integers(0, 3, n)
-    x = about = None
     y = np.zeros((n, k))
     for i, own in enumerate(labels):
         y[i, list(own)] = 1
+    order = np.argsort(-y.sum(axis=0), kind="stable").tolist()
+    together = y.T @ y + 1.0
+    np.fill_diagonal(together, 1.0)
+    chain = Chain(subjects, Evidence({}, np.zeros((0, k))), order, np.zeros((k, 0)), pairs=np.log(together / together.mean()) / 3)
+    fold = np.random.default_rng(seed).integers(0, 3, n)
+    corpus = Corpus.of(texts)
+    x, about = None, np.zeros((n, k))
     for f in range(3):
-        rest, here = np.flatnonzero(fold != f), np.flatnonzero(fold == f)
-        if not len(here):
+        here = fold == f
+        if not here.any():
             continue
-        e = learn_evidence([texts[i] for i in rest], [labels[i] for i in rest], k)
-        t, a, lengths = e.read([texts[i] for i in here])
-        part = _structure(t, a, lengths, kinds[here])
+        t, a, lengths = corpus.read(corpus.learn(y, ~here), here)
+        part = _structure(t, a, lengths, kinds[here]).astype(np.float32)
         if x is None:
-            x, about = np.zeros((n, k, part.shape[2])), np.zeros((n, k))
+            x = np.zeros((n, k, part.shape[2]), np.float32)
         x[here], about[here] = part, a
-    full, given = [], np.zeros((n, k))
-    for j in order:
-        full.append(np.hstack([x[:, j], chain._chain_features(given, about, j)]))
-        given[:, j] = y[:, j]
-    width = full[0].shape[1]
     train, held = np.flatnonzero(fold != 2), np.flatnonzero(fold == 2)
     if not len(train) or not len(held):
         train = held = np.arange(n)
-    shared = logistic(np.vstack([m[train] for m in full]), np.concatenate([y[train, j] for j in order]), np.zeros(width), 1.0)
+    given, links = np.zeros((n, k)), {}
+    for j in order:
+        links[j] = chain._chain_features(given, about, j).astype(np.float32)
+        given[:, j] = y[:, j]
+    block = lambda j, rows: (np.hstack([x[rows, j], links[j][rows]]), y[rows, j])
+    width = x.shape[2] + links[order[0]].shape[1]
+    some = train[: max(1, SHARED // k)]
+    shared = logistic([block(j, some) for j in order], np.zeros(width), 1.0)
     weights = np.zeros((k, width))
-    for m, j in zip(full, order):
-        weights[j] = logistic(m[train], y[train, j], shared, 20.0)
-    z = np.concatenate([m[held] @ weights[j] for m, j in zip(full, order)])
-    scale = logistic(np.column_stack([z, np.ones(len(z))]), np.concatenate([y[held, j] for j in order]), np.array([1.0, 0.0]), 1.0)
+    for j in order:
+        weights[j] = logistic([block(j, train)], shared, 20.0)
+    z, labels_held = [], []
+    for j in order:
+        m, own = block(j, held)
+        z.append(m @ weights[j])
+        labels_held.append(own)
+    scale = logistic([(np.column_stack([np.concatenate(z), np.ones(len(held) * k)]), np.concatenate(labels_held))], np.array([1.0, 0.0]), 1.0)
     chain.weights, chain.scale = weights, (float(scale[0]), float(scale[1]))
-    chain.evidence = learn_evidence(texts, labels, k)
+    chain.evidence = Evidence.of(corpus, corpus.learn(y, np.ones(n, bool)))
     return chain
 
 
