@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import vocab
 from ..functions import urls
-from ..functions.text import clean_text, decode_entities, drop_scripts, drop_tags, first_match, found, half_even, has_any, hashtags, match, mentions, sorted_set, squeeze, strip
+from ..functions.text import clean_html, clean_text, decode_entities, drop_scripts, drop_tags, first_match, found, half_even, has_any, hashtags, match, mentions, sorted_set, squeeze, strip
 from .validate import iso_date
 
 Q = "[\"']"
@@ -109,8 +109,6 @@ def simple_post(html: Column) -> Column:
 def embed(json: Column) -> Column:
     """What an oEmbed answer holds of a post; null fields where the JSON is broken."""
     j = F.from_json(json, "author_name string, html string, author_url string, provider_name string")
-    from ..functions.text import clean_html
-
     return F.struct(F.coalesce(j["author_name"], F.lit("Tweet")).alias("title"), clean_html(j["html"]).alias("content"), F.coalesce(j["author_name"], F.lit("")).alias("author"), F.coalesce(j["provider_name"], F.lit("")).alias("provider_name"))
 
 

@@ -68,7 +68,11 @@ def bookmark_errors(df: DataFrame) -> Column:
     return F.concat(own, F.transform(url_errors(F.col("url")), lambda e: F.concat(F.lit("URL validation: "), e))) if "url" in df.columns else own
 
 
-def bookmark_warnings(df: DataFrame, known: tuple[str, ...] = ("id", "url", "title", "content", "author", "created_at", "metadata")) -> Column:
+#: Fields of a bookmark; others are warned about.
+FIELDS = ("id", "url", "title", "content", "author", "created_at", "metadata")
+
+
+def bookmark_warnings(df: DataFrame, known: tuple[str, ...] = FIELDS) -> Column:
     limits = (("id", 100, "ID is very long (>100 characters)"), ("title", 500, "Title is very long (>500 characters)"), ("content", 50000, "Content is very long (>50,000 characters)"))
     rules = [(F.coalesce(F.length(name) > most, F.lit(False)), text) for name, most, text in limits if name in df.columns]
     unknown = sorted(set(df.columns) - set(known))
@@ -78,9 +82,9 @@ def bookmark_warnings(df: DataFrame, known: tuple[str, ...] = ("id", "url", "tit
     return F.concat(F.transform(url_warnings(F.col("url")), lambda w: F.concat(F.lit("URL validation: "), w)), own) if "url" in df.columns else own
 
 
-def check_bookmarks(df: DataFrame) -> DataFrame:
+def check_bookmarks(df: DataFrame, known: tuple[str, ...] = FIELDS) -> DataFrame:
     """df with `checked`. Blank, null and very long fields have a defined result; rows are kept as they are."""
-    return df.withColumn("checked", _result(bookmark_errors(df), bookmark_warnings(df)))
+    return df.withColumn("checked", _result(bookmark_errors(df), bookmark_warnings(df, known)))
 
 
 def valid_bookmarks(df: DataFrame) -> DataFrame:

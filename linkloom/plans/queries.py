@@ -156,7 +156,7 @@ q_warnings = f"list_concat(list_transform({q_url_warnings}, lambda w: 'URL valid
 
 def checked(spark: SparkSession, d: str) -> DataFrame:
     b = view(spark, d, BOOKMARKS).select("bm_seq", *_FIELDS)
-    return V.check_bookmarks(b.select(*_FIELDS, "bm_seq")) if False else b.withColumn("checked", V._result(V.bookmark_errors(b), V.bookmark_warnings(b.drop("bm_seq"))))
+    return V.check_bookmarks(b, (*_FIELDS, "bm_seq"))
 
 
 def _fields(df: DataFrame) -> DataFrame:
@@ -193,7 +193,7 @@ project("content_hash", BOOKMARKS, "bm_seq", ("hash", lambda: F.sha2(F.concat_ws
 project("build_prompt", BOOKMARKS, "bm_seq", ("prompt", lambda: R.prompt("tags", col("content")), f"replace({lit(R.PROMPTS['tags'][1])}, '{{content}}', content)"))
 q_size = "CASE WHEN n < 1024 THEN printf('%.1f B', n::DOUBLE) WHEN n < 1048576 THEN printf('%.1f KB', n / 1024.0::DOUBLE) WHEN n < 1073741824 THEN printf('%.1f MB', n / 1048576.0::DOUBLE) ELSE printf('%.1f GB', n / 1073741824.0::DOUBLE) END"
 add("human_size", lambda s, d: view(s, d, BOOKMARKS).select("bm_seq", T.human_size(col("bm_seq") * col("bm_seq") * 74 + 1).alias("size")), f"SELECT bm_seq, {q_size} AS size FROM (SELECT bm_seq, bm_seq * bm_seq * 74 + 1 AS n FROM bookmarks)")
-add("date_format", lambda s, d: view(s, d, BOOKMARKS).select("bm_seq", F.date_format("ingested_at", "yyyy-MM-dd").alias("day"), F.date_format(V.iso_date(col("created_at")), "yyyy-MM-dd HH:mm").alias("created")).where("created_at is null or true").select("bm_seq", "day"), "SELECT bm_seq, strftime(ingested_at, '%Y-%m-%d') AS day FROM bookmarks")
+add("date_format", lambda s, d: view(s, d, BOOKMARKS).select("bm_seq", F.date_format("ingested_at", "yyyy-MM-dd").alias("day")), "SELECT bm_seq, strftime(ingested_at, '%Y-%m-%d') AS day FROM bookmarks")
 project("format_duration", PAGES, "extract_id", ("duration", lambda: P.format_duration(col("extract_id") * 7), "CASE WHEN extract_id * 7 >= 3600 THEN printf('%d:%02d:%02d', (extract_id * 7) // 3600, (extract_id * 7) % 3600 // 60, (extract_id * 7) % 60) ELSE printf('%d:%02d', (extract_id * 7) % 3600 // 60, (extract_id * 7) % 60) END"))
 
 # Pages, posts and videos
@@ -439,7 +439,7 @@ add("kb_csv_rows", lambda s, d: K.csv_rows(recs(s, d).select("proc_id", "id", "t
 add("kb_json_rows", lambda s, d: K.json_rows(recs(s, d).select("id", "title", "url", "author")).select("id", F.get_json_object("json", "$.title").alias("title"), F.get_json_object("json", "$.author").alias("author")), R_SQL + "SELECT id, title, author FROM b")
 add("kb_markdown_sections", lambda s, d: recs(s, d).select("proc_id", K.primary(col("categories")).alias("category"), K.markdown_record(col("title"), col("author"), col("url"), F.lit("general"), F.array_compact("tags"), F.date_format("processed_at", "yyyy-MM-dd"), F.lit(""), F.array_compact("key_insights")).alias("block")), R_SQL + "SELECT proc_id, coalesce(categories[1], 'Uncategorized') AS category, '### ' || coalesce(title, '') || chr(10) || '**Author:** ' || coalesce(author, '') || chr(10) || '**URL:** [' || coalesce(url, '') || '](' || coalesce(url, '') || ')' || chr(10) || '**Type:** general' || chr(10) || '**Tags:** ' || coalesce(array_to_string(tags, ', '), '') || chr(10) || '**Created:** ' || strftime(processed_at, '%Y-%m-%d') || coalesce(CASE WHEN len(list_filter(key_insights, lambda k: k IS NOT NULL)) > 0 THEN chr(10) || chr(10) || '**Key Insights:**' || chr(10) || array_to_string(list_transform(list_filter(key_insights, lambda k: k IS NOT NULL)[1:3], lambda i: '- ' || i), chr(10)) END, '') || chr(10) || chr(10) || '---' || chr(10) AS block FROM b")
 add("kb_toc", lambda s, d: K.contents_table(recs(s, d)), R_SQL + "SELECT DISTINCT coalesce(categories[1], 'Uncategorized') AS category, '- [' || coalesce(categories[1], 'Uncategorized') || '](#' || replace(lower(coalesce(categories[1], 'Uncategorized')), ' ', '-') || ')' AS entry FROM b")
-add("training_jsonl", lambda s, d: recs(s, d).select("proc_id", K.training_rows(col("title"), col("categories"), col("tags"), F.struct("sentiment" if False else "content_type"), col("url"), col("title"), col("author"), F.lit("general")).alias("j")).select("proc_id", F.get_json_object("j", "$.input").alias("input"), F.get_json_object("j", "$.metadata.url").alias("url"), F.get_json_object("j", "$.output.analysis.content_type").alias("kind")), R_SQL + "SELECT proc_id, title AS input, url, content_type AS kind FROM b")
+add("training_jsonl", lambda s, d: recs(s, d).select("proc_id", K.training_rows(col("title"), col("categories"), col("tags"), F.struct("content_type"), col("url"), col("title"), col("author"), F.lit("general")).alias("j")).select("proc_id", F.get_json_object("j", "$.input").alias("input"), F.get_json_object("j", "$.metadata.url").alias("url"), F.get_json_object("j", "$.output.analysis.content_type").alias("kind")), R_SQL + "SELECT proc_id, title AS input, url, content_type AS kind FROM b")
 add("kb_type_counts", lambda s, d: A.histogram(table(s, d, "bookmarks"), col("bookmark_type"), "type"), "SELECT bookmark_type AS type, count(*) AS n FROM bookmarks GROUP BY 1")
 for _name, _field in (("kb_category_counts", "categories"), ("kb_tag_counts", "tags")):
     add(_name, lambda s, d, f=_field: A.item_counts(recs(s, d), col(f)), R_SQL + f"SELECT item, count(*) AS n FROM (SELECT unnest({_field}) AS item FROM b) WHERE item IS NOT NULL GROUP BY item")

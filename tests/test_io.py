@@ -1,0 +1,94 @@
+"""Files written and read again, and streams against batches."""
+
+from __future__ import annotations
+
+import json
+
+from pyspark.sql import functions as F
+
+from linkloom.plans.pipeline import enrich, process
+from linkloom.sinks import files
+from linkloom.sources import bookmarks
+from linkloom.streaming import incremental
+
+ROWS = [{"id": str(i), "url": f"https://e.com/{i}", "title": f"t{i}", "content": f"A good tutorial {i} on Python #tag{i}", "author": "ann", "metadata": {"n": i}} for i in range(12)]
+
+
+def test_json_forms(spark, tmp_path):
+    (tmp_path / "a.json").write_text(json.dumps(ROWS[:3], indent=1))
+    (tmp_path / "b.json").write_text(json.dumps({"bookmarks": ROWS[3:5]}))
+    (tmp_path / "c.json").write_text("{broken")
+    (tmp_path / "d.json").write_text("[]")
+    got = bookmarks.read_json(spark, str(tmp_path)).orderBy("id").collect()
+    assert [r["id"] for r in got] == ["0", "1", "2", "3", "4"] and json.loads(got[0]["metadata"]) == {"n": 0}
+
+
+def _lines(folder, name, rows):
+    folder.mkdir(exist_ok=True)
+    (folder / name).write_text("".join(json.dumps(r) + "\n" for r in rows))
+
+
+def test_fetch_keeps_failures_as_data(spark):
+    def transport(u):
+        if "bad" in u:
+            raise ValueError("no")
+        return f"<p>{u}</p>"
+
+    df = spark.createDataFrame([(1, "good"), (2, "bad"), (3, None)], "k int, url string")
+    got = {r["k"]: (r["html"], r["error"]) for r in bookmarks.fetch(df, "k", "url", transport).collect()}
+    assert got == {1: ("<p>good</p>", None), 2: (None, "ValueError: no"), 3: (None, "no address")}
+
+
+def test_retry():
+    calls = []
+
+    def flaky(u):
+        calls.append(u)
+        if len(calls) < 3:
+            raise ConnectionError
+        return "ok"
+
+    assert bookmarks.retrying(flaky)("u") == "ok" and len(calls) == 3
+
+
+def test_sinks(spark, tmp_path):
+    _lines(tmp_path / "in", "a.json", ROWS)
+    df = enrich(bookmarks.read_json_lines(spark, str(tmp_path / "in"))).withColumns({"key_insights": F.array(F.lit("x")), "processing_time": F.lit(0.5), "created_at": F.lit("2024-01-01")})
+    done = files.write_knowledge_base(df, str(tmp_path / "kb"), ("json", "csv", "markdown", "training", "nonsense"))
+    assert set(done) == {"json", "csv", "markdown", "training", "statistics"}
+    assert spark.read.json(done["json"]).count() == 12
+    assert spark.read.option("header", True).option("escape", '"').option("multiLine", True).csv(done["csv"]).count() == 12
+    text = "\n".join(r["value"] for r in spark.read.option("wholetext", True).text(done["markdown"]).collect())
+    assert text.count("### t") == 12 and "## Technology" in text
+    stats = {(r["kind"], r["value"]): r["n"] for r in spark.read.json(done["statistics"]).collect()}
+    assert stats["authors", "ann"] == 12 and stats["processing_times", "total"] == 6.0
+    assert not files.write_training(df.limit(10), str(tmp_path / "few"))
+
+
+def test_stream_equals_batch_and_resumes(spark, tmp_path):
+    source, target, state = (str(tmp_path / x) for x in ("in", "out", "state"))
+    _lines(tmp_path / "in", "a.json", ROWS[:6] + ROWS[:1])
+    incremental.start(spark, source, target, state).awaitTermination()
+    first = spark.read.parquet(target).count()
+    incremental.start(spark, source, target, state).awaitTermination()
+    assert spark.read.parquet(target).count() == first == 6
+    _lines(tmp_path / "in", "b.json", ROWS[5:])
+    incremental.start(spark, source, target, state).awaitTermination()
+    batch = process(bookmarks.read_json_lines(spark, source), ["id"])
+    assert sorted(r["id"] for r in spark.read.parquet(target).collect()) == sorted(r["id"] for r in batch.collect())
+    again = process(bookmarks.read_json_lines(spark, source), ["id"], spark.read.parquet(target).select("id"))
+    assert again.count() == 0
+
+
+def test_partitioning_changes_nothing(spark, tmp_path):
+    _lines(tmp_path / "in", "a.json", ROWS)
+    df = bookmarks.read_json_lines(spark, str(tmp_path / "in"))
+    a, b = (sorted(map(str, process(df.repartition(n), ["id"]).collect())) for n in (1, 8))
+    assert a == b
+
+
+def test_windows(spark):
+    df = spark.sql("SELECT timestamp'2024-01-01 00:00:00' + make_interval(0,0,0,0,0,id * 10,0) AS ts, id % 2 AS u FROM range(12)")
+    assert sorted(r["n"] for r in incremental.windowed(df, "ts", "1 hour", "1 hour").collect()) == [6, 6]
+    assert incremental.windowed(df, "ts", "1 hour", "1 hour", "30 minutes").agg(F.sum("n")).first()[0] == 24
+    assert incremental.sessions(df, "ts", "15 minutes", "1 hour", "u").count() == 12
