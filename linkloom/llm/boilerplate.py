@@ -21,9 +21,10 @@ from pyspark.sql import functions as F
 
 from ..runtime import cut_lineage, table
 
-#: A token belongs to the template from this share of the pages of the hosts that have it; headings within texts are
-#: around 0.07, parts of a template from 0.3.
-MIN_SHARE = 0.2
+#: A token belongs to the template from this share of the other pages of the hosts that have it: of each host one page
+#: with the token is set aside, or rare tokens would look frequent on small hosts. Headings within texts come to about
+#: 0.04, parts of a template to 0.25 and more.
+MIN_SHARE = 0.12
 #: Pages that must have a token.
 MIN_PAGES = 3
 #: A heading heads a list of the template if it is followed by one from this share of its pages on.
@@ -130,8 +131,9 @@ def templates(df: DataFrame, content: str = "content", site: str = "site", title
     articles = pages.dropDuplicates(["site", "page"]).dropDuplicates(["site", "title"])
     hosts = articles.groupBy("site").agg(F.count("*").alias("host_pages"))
     tokens = articles.select("site", F.inline("tokens"))
-    pooled = tokens.groupBy("site", "token").agg(F.count("*").alias("pages")).join(hosts, "site").groupBy("token").agg(F.sum("pages").alias("all_pages"), F.sum("host_pages").alias("possible"))
-    valid = cut_lineage(pooled.where((F.col("all_pages") >= MIN_PAGES) & (F.col("all_pages") >= MIN_SHARE * F.col("possible"))))
+    pooled = tokens.groupBy("site", "token").agg(F.count("*").alias("pages")).join(hosts, "site").groupBy("token").agg(F.sum("pages").alias("all_pages"), F.sum("host_pages").alias("possible"), F.count("*").alias("hosts"))
+    others, had = F.col("possible") - F.col("hosts"), F.col("all_pages") - F.col("hosts")
+    valid = cut_lineage(pooled.where((F.col("all_pages") >= MIN_PAGES) & (had > 0) & (had >= MIN_SHARE * others)))
     # A heading of the template heads a list where what is below it could be an item and isn't of the template itself.
     below = tokens.where("below is not null").groupBy("token", "below").agg(F.count("*").alias("times")).join(valid.select("token"), "token", "left_semi")
     heads = below.join(valid.select(F.col("token").alias("below")), "below", "left_anti").groupBy("token").agg(F.sum("times").alias("heads"))

@@ -34,8 +34,8 @@ _DROPPED = rf"[^\p{{L}}\p{{M}}\p{{N}}]+|[{_UNSEEN}]+"
 
 def canonical_text(c: Column) -> Column:
     """Letters, marks and digits alone, in one case. Upper case comes first so that letters whose upper case has
-    several letters agree with them."""
-    return F.lower(F.upper(F.regexp_replace(c, _DROPPED, "")))
+    several letters agree with them; it isn't next to lower(), as the optimizer would drop it."""
+    return F.lower(F.regexp_replace(F.upper(c), _DROPPED, ""))
 
 
 def canonical_url(c: Column) -> Column:

@@ -16,5 +16,14 @@ def queries() -> dict:
     return {f.__name__: f for f in found}
 
 
+_TOGETHER = """WITH r AS (SELECT proc_id, any_value(tags) AS tags, any_value(categories) AS categories FROM processed_bookmarks WHERE proc_id IS NOT NULL GROUP BY proc_id),
+u AS (SELECT proc_id, 'tags' AS field, unnest(tags) AS x FROM r UNION ALL SELECT proc_id, 'categories', unnest(categories) FROM r),
+e AS (SELECT DISTINCT proc_id, field, lower(regexp_replace(x, '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g')) AS item FROM u WHERE regexp_matches(x, '[^\\s\\p{Z}]')),
+n AS (SELECT count(*) AS n FROM r), i AS (SELECT field, item, count(*) AS c FROM e GROUP BY field, item),
+p AS (SELECT a.field, a.item AS item_a, b.item AS item_b, count(*) AS n_ab FROM e a JOIN e b ON a.proc_id = b.proc_id AND a.field = b.field AND a.item < b.item GROUP BY 1, 2, 3)
+SELECT p.field, p.item_a, p.item_b FROM p JOIN i x ON p.field = x.field AND p.item_a = x.item JOIN i y ON p.field = y.field AND p.item_b = y.item, n
+WHERE n_ab >= 6 AND n_ab * 1000 >= n AND n_ab * n >= 4 * x.c * y.c"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p5_found": _TOGETHER}

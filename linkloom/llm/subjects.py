@@ -326,8 +326,9 @@ def labelled(docs: DataFrame, labels: DataFrame, subjects: list[str], key: str,
     known = F.create_map(*[F.lit(x) for i, s in enumerate(subjects) for x in (s.lower(), i)])
     own = labels.select(F.col(key).alias("_key"), F.try_element_at(known, F.lower(F.regexp_replace("subject", r"^[\s\p{Z}]+|[\s\p{Z}]+$", ""))).alias("_s")).where("_key is not null and _s is not null")
     own = own.groupBy("_key").agg(F.array_sort(F.collect_set("_s")).alias("_own"))
-    own = own.orderBy(F.xxhash64(F.lit(3), "_key"), "_key").limit(sample)
-    rows = own.join(docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"), F.col(kind).alias("_kind")), "_key").where(F.col("_text").rlike(r"\S")).dropDuplicates(["_key"]).orderBy("_key").toArrow().to_pandas()
+    own = own.orderBy(F.xxhash64(F.lit(3), "_key"), "_key").limit(sample)  # this bound makes the broadcast below safe
+    texts = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"), F.col(kind).alias("_kind"))
+    rows = texts.join(F.broadcast(own), "_key").where(F.col("_text").rlike(r"\S")).dropDuplicates(["_key"]).orderBy("_key").toArrow().to_pandas()
     return list(rows["_text"]), _kinds(rows["_kind"]), [set(map(int, x)) for x in rows["_own"]]
 
 
