@@ -28,7 +28,7 @@ def pages(rng, hosts=8, each=9):
             one, two = article(rng)
             title = f"A title {word(rng)} about {word(rng)}"
             lines = [(menu, 1), (f"{rng.randrange(1, 900)} shares", 1), (title, 0), ("", 0), (one, 0)]
-            if rng.random() < 0.15:
+            if rng.random() < 0.05:
                 lines.append(("In short", 0))
             lines += [("Cookies were the first thing that " + one.lower(), 0), ("  Back to top ", 1), (two, 0), ("Related stories", 1)]
             lines += [(f"- Story {word(rng)} and {word(rng)}", 1) for _ in range(3)] + [(f"(c) Host{h} Daily 20{rng.randrange(10, 25)}", 1)]
