@@ -6,13 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import vocab
-from ..functions.text import half_even, has_any, hits, strip, word_count
+from ..functions.text import half_even, has_any, hits, let, strip, word_count
 
 
 def _more(c: Column, above: list[str], below: list[str], names: tuple[str, str, str]) -> Column:
-    low = F.lower(c)
-    a, b = hits(low, above), hits(low, below)
-    return F.when(a > b, names[0]).when(b > a, names[1]).otherwise(names[2])
+    difference = let(F.lower(c), lambda low: hits(low, above) - hits(low, below))
+    return let(difference, lambda d: F.when(d > 0, names[0]).when(d < 0, names[1]).otherwise(names[2]))
 
 
 def sentiment(c: Column) -> Column:
@@ -25,11 +24,15 @@ def complexity(c: Column) -> Column:
 
 def content_type(c: Column) -> Column:
     """The first kind one of whose words occurs; Article for none and for null."""
-    low, out = F.lower(c), None
-    for name, words in vocab.CONTENT_TYPES:
-        cond = has_any(low, words)
-        out = F.when(cond, name) if out is None else out.when(cond, name)
-    return out.otherwise("Article")
+
+    def of(low: Column) -> Column:
+        out = None
+        for name, words in vocab.CONTENT_TYPES:
+            cond = has_any(low, words)
+            out = F.when(cond, name) if out is None else out.when(cond, name)
+        return out.otherwise("Article")
+
+    return let(F.lower(c), of)
 
 
 def title_case(word: str) -> str:
@@ -37,8 +40,8 @@ def title_case(word: str) -> str:
 
 
 def topics_by_keyword(c: Column, most: int = 5) -> Column:
-    low = F.lower(c)
-    return F.slice(F.array_compact(F.array(*[F.when(F.contains(low, F.lit(w)), F.lit(title_case(w))) for w in vocab.TECH_TOPICS + vocab.BUSINESS_TOPICS])), 1, most)
+    named = lambda low: F.array(*[F.when(F.contains(low, F.lit(w)), F.lit(title_case(w))) for w in vocab.TECH_TOPICS + vocab.BUSINESS_TOPICS])
+    return F.slice(F.array_compact(let(F.lower(c), named)), 1, most)
 
 
 def insights_by_keyword(c: Column, most: int = 3) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import vocab
-from ..functions.text import half_even, words
+from ..functions.text import half_even, let, words
 from ..runtime import broadcast_within
 
 #: Names of a taxonomy given as data are broadcast up to this many.
@@ -21,29 +21,35 @@ def taxonomy(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(vocab.taxonomy_rows(), "ord int, main string, sub string, name string, level string, weight int")
 
 
-def scores(c: Column) -> Column:
-    """MAP main category -> points for those with any."""
-    low = F.lower(c)
-    by_main: dict[str, Column] = {}
-    for _, main, _, name, _, weight in vocab.taxonomy_rows():
-        points = F.when(F.contains(low, F.lit(name.lower())), weight).otherwise(0)
-        by_main[main] = by_main[main] + points if main in by_main else points
-    return F.map_filter(F.create_map(*[x for m, p in by_main.items() for x in (F.lit(m), p)]), lambda k, v: v > 0)
+def points(c: Column) -> Column:
+    """ARRAY of points, one for each main category in the taxonomy's order."""
 
+    def of(low: Column) -> Column:
+        by_main: dict[str, Column] = {}
+        for _, main, _, name, _, weight in vocab.taxonomy_rows():
+            own = F.when(F.contains(low, F.lit(name.lower())), weight).otherwise(0)
+            by_main[main] = by_main[main] + own if main in by_main else own
+        return F.array(*by_main.values())
 
-def ranked(score_map: Column) -> Column:
-    """Main categories by points, ties in the taxonomy's order."""
-    order = {m: i for i, m in enumerate(vocab.TAXONOMY)}
-    at = F.create_map(*[F.lit(x) for m, i in order.items() for x in (m, i)])
-    rows = F.transform(F.map_entries(score_map), lambda e: F.struct((-e["value"]).alias("points"), at[e["key"]].alias("ord"), e["key"].alias("name")))
-    return F.transform(F.array_sort(rows), lambda r: r["name"])
+    return let(F.lower(F.coalesce(c, F.lit(""))), of)
 
 
 def by_keywords(c: Column) -> Column:
-    """struct(primary, secondary, confidence): Other and nothing where no name occurs, also for null."""
-    s = F.coalesce(scores(c), F.create_map().cast("map<string,int>"))
-    r = ranked(s)
-    return F.struct(F.coalesce(F.get(r, F.lit(0)), F.lit("Other")).alias("primary"), F.slice(r, 2, 3).alias("secondary"), F.transform_values(s, lambda k, v: F.least(F.lit(10.0), v.cast("double"))).alias("confidence"))
+    """struct(primary, secondary, confidence): main categories by points, ties in the taxonomy's order; Other and nothing
+    where no name occurs, also for null. confidence has the points of all, at most 10."""
+    names = F.array(*[F.lit(m) for m in vocab.TAXONOMY])
+
+    def of(p: Column) -> Column:
+        rows = F.filter(F.transform(p, lambda x, i: F.struct((-x).alias("less"), i.alias("ord"), F.get(names, i).alias("name"))), lambda r: r["less"] < 0)
+
+        def ranked(r: Column) -> Column:
+            confidence = F.map_from_entries(F.transform(r, lambda e: F.struct(e["name"].alias("key"), F.least(F.lit(10.0), (-e["less"]).cast("double")).alias("value"))))
+            first = F.coalesce(F.get(r, F.lit(0))["name"], F.lit("Other"))
+            return F.struct(first.alias("primary"), F.transform(F.slice(r, 2, 3), lambda e: e["name"]).alias("secondary"), confidence.alias("confidence"))
+
+        return let(F.array_sort(rows), ranked)
+
+    return let(points(c), of)
 
 
 def category_list(primary: Column, secondary: Column) -> Column:
@@ -54,13 +60,12 @@ def normalise(category: Column) -> Column:
     """The taxonomy's spelling: itself, else but for case, else the first name that contains it or that it contains,
     else Other. Null and empty are Other."""
     names = list(dict.fromkeys(name for _, _, _, name, _, _ in vocab.taxonomy_rows()))
-    low = F.lower(category)
     exact = F.when(category.isin(names), category)
     spelled: dict[str, str] = {}
     for n in names:
         spelled.setdefault(n.lower(), n)
-    caseless = F.try_element_at(F.create_map(*[F.lit(x) for k, n in spelled.items() for x in (k, n)]), low)
-    part = F.get(F.filter(F.array(*[F.lit(n) for n in names]), lambda n: F.contains(F.lower(n), low) | F.contains(low, F.lower(n))), F.lit(0))
+    caseless = F.try_element_at(F.create_map(*[F.lit(x) for k, n in spelled.items() for x in (k, n)]), F.lower(category))
+    part = let(F.lower(category), lambda low: F.get(F.filter(F.array(*[F.lit(n) for n in names]), lambda n: F.contains(F.lower(n), low) | F.contains(low, F.lower(n))), F.lit(0)))
     return F.when(F.coalesce(category, F.lit("")) == "", "Other").otherwise(F.coalesce(exact, caseless, part, F.lit("Other")))
 
 

@@ -6,10 +6,12 @@ are the operator. Parsing is a fold over the lines that carries the section they
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.text import strip
+from ..functions.text import let, strip
 from . import analysis as keyword_analysis
 from . import categories, tags
 
@@ -122,7 +124,10 @@ def parse_analysis(response: Column, original: Column, inline: bool = False) ->
     """Sections of an analysis. By default a value on the same line as its head isn't read; inline reads it. Tone and
     depth are those of the response, kind and length those of the original text."""
     heads = {"main_topics": "Main Topics", "key_insights": "Key Insights", "actionable_items": "Actionable Items", "technologies_tools": "Technologies/Tools", "author_expertise": "Author Expertise", "relevance_score": "Relevance Score"}
-    rows = _sections(response, heads, inline)
+    return let(_sections(response, heads, inline), lambda rows: _analysis(rows, response, original))
+
+
+def _analysis(rows: Column, response: Column, original: Column) -> Column:
     expertise, score = _last(rows, "author_expertise", False), _number(_last(rows, "relevance_score", False))
     return F.struct(
         _items(rows, "main_topics", 10).alias("main_topics"), _items(rows, "key_insights", 10).alias("key_insights"), _items(rows, "actionable_items", 10).alias("actionable_items"), _items(rows, "technologies_tools", 15).alias("technologies_tools"),
@@ -133,31 +138,44 @@ def parse_analysis(response: Column, original: Column, inline: bool = False) ->
 
 def parse_categories(response: Column, original: Column, inline: bool = False) -> Column:
     """struct(primary, secondary, confidence, method): normalised; by keywords of the original where nothing is found."""
-    rows = _sections(response, {"primary": "Primary Category", "secondary": "Secondary Categories", "confidence": "Confidence Score"}, inline)
-    raw = F.nullif(_last(rows, "primary", True), F.lit(""))
-    primary = categories.normalise(raw)
+    heads = {"primary": "Primary Category", "secondary": "Secondary Categories", "confidence": "Confidence Score"}
+
+    def of(rows: Column) -> Column:
+        return let(categories.normalise(F.nullif(_last(rows, "primary", True), F.lit(""))), lambda primary: _categories(rows, primary, original))
+
+    return let(_sections(response, heads, inline), of)
+
+
+def _categories(rows: Column, primary: Column, original: Column) -> Column:
     items = F.filter(rows, lambda r: (r["section"] == "secondary") & (r["kind"] == "item") & ~F.contains(r["value"], F.lit(":")))
     secondary = F.filter(F.transform(items, lambda r: categories.normalise(strip(F.substr(r["value"], F.lit(3))))), lambda c: c != primary)
     confidence = _number(_last(rows, "confidence", True))
-    nothing = (primary == "Other") & (F.size(secondary) == 0)
-    fallback = categories.by_keywords(original)
-    return F.struct(
-        F.when(nothing, fallback["primary"]).otherwise(primary).alias("primary"), F.when(nothing, fallback["secondary"]).otherwise(F.slice(secondary, 1, 5)).alias("secondary"),
-        F.when(nothing, F.element_at(fallback["confidence"], fallback["primary"])).otherwise(confidence).alias("confidence"), F.when(nothing, "keywords").otherwise("response").alias("method"),
-    )
+
+    def result(first: Column, others: Column, score: Column, method: str) -> Column:
+        return F.struct(first.alias("primary"), others.alias("secondary"), score.alias("confidence"), F.lit(method).alias("method"))
+
+    fallback = let(categories.by_keywords(original), lambda f: result(f["primary"], f["secondary"], F.try_element_at(f["confidence"], f["primary"]), "keywords"))
+    found = lambda others: result(primary, F.slice(others, 1, 5), confidence, "response")
+    return let(secondary, lambda others: F.when((primary == "Other") & (F.size(others) == 0), fallback).otherwise(found(others)))
 
 
 def parse_tags(response: Column, original: Column) -> Column:
     """struct(tags, confidence, method): listed tags, else those between commas, else short lines, else by keywords."""
-    rows = _sections(response, {"tags": "Tags", "confidence": "Tag Confidence"}, False)
+    return let(_sections(response, {"tags": "Tags", "confidence": "Tag Confidence"}, False), lambda rows: _tags(rows, response, original))
+
+
+def _tags(rows: Column, response: Column, original: Column) -> Column:
     listed = F.filter(_items(rows, "tags", 1000), lambda t: t != "")
     text = F.coalesce(response, F.lit(""))
     commas = F.filter(F.transform(F.split(text, ","), strip), lambda t: F.length(t) > 2)
     lines = F.transform(F.split(strip(text), "\n"), strip)
     short = F.filter(lines, lambda x: (x != "") & ~F.startswith(x, F.lit("**")) & ~F.startswith(x, F.lit("-")) & (F.size(F.split(x, r"\s+")) <= 3))
     own = tags.clean(F.when(F.size(listed) > 0, listed).when(F.contains(text, F.lit(",")), commas).otherwise(short))
-    nothing = F.size(own) == 0
-    final = F.when(nothing, tags.by_keywords(original)).otherwise(own)
     scored = F.transform(F.filter(rows, lambda r: (r["section"] == "confidence") & (r["kind"] != "head") & F.contains(r["value"], F.lit(":"))), lambda r: F.struct(strip(F.substring_index(r["value"], ":", 1)).alias("tag"), F.coalesce(F.get(F.split(after_colon(r["value"]), r"\s+"), F.lit(0)).try_cast("double"), F.lit(5.0)).alias("score")))
-    confidence = F.transform(F.slice(final, 1, 15), lambda t: F.coalesce(F.try_element_at(F.filter(scored, lambda s: s["tag"] == t), F.lit(-1))["score"], F.when(nothing, tags.confidence(t)).otherwise(7.0)))
-    return F.struct(F.slice(final, 1, 15).alias("tags"), confidence.alias("confidence"), F.when(nothing, "keywords").otherwise("response").alias("method"))
+
+    def result(final: Column, default: Callable[[Column], Column], method: str) -> Column:
+        score = lambda t: F.coalesce(F.try_element_at(F.filter(scored, lambda s: s["tag"] == t), F.lit(-1))["score"], default(t))
+        return let(F.slice(final, 1, 15), lambda kept: F.struct(kept.alias("tags"), F.transform(kept, score).alias("confidence"), F.lit(method).alias("method")))
+
+    by_words = result(tags.by_keywords(original), tags.confidence, "keywords")
+    return let(own, lambda mine: F.when(F.size(mine) == 0, by_words).otherwise(result(mine, lambda t: F.lit(7.0), "response")))

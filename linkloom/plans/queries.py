@@ -355,7 +355,7 @@ _MAINS = list(vocab.TAXONOMY)
 q_points_of = {m: "(" + " + ".join(f"CAST(contains(lower(content), {lit(n.lower())}) AS INTEGER) * {w}" for _, mm, _, n, _, w in _ROWS if mm == m) + ")" for m in _MAINS}
 SCORED_SQL = f"WITH b AS ({BOOKMARKS}), s AS (SELECT bm_seq, content, " + ", ".join(f"{q} AS p{i}" for i, q in enumerate(q_points_of.values())) + " FROM b), r AS (SELECT *, " + "list_transform(list_sort(list_filter([" + ", ".join(f"{{'p': -p{i}, 'o': {i}, 'n': '{m}'}}" for i, m in enumerate(_MAINS)) + "], lambda x: x.p < 0)), lambda x: x.n) AS ranked FROM s) "
 ORACLES["keyword_pipeline"] = plain(SCORED_SQL + f"SELECT bm_seq, {q_sentiment} AS sentiment, {q_kind} AS content_type, coalesce(ranked[1], 'Other') AS category FROM r")
-add("category_scores", lambda s, d: view(s, d, BOOKMARKS).select("bm_seq", C.scores(col("content")).alias("s")).select("bm_seq", *[long(F.coalesce(col("s")[m], F.lit(0))).alias(m.lower()) for m in _MAINS]), SCORED_SQL + "SELECT bm_seq, " + ", ".join(f"CAST(p{i} AS BIGINT) AS {m.lower()}" for i, m in enumerate(_MAINS)) + " FROM r")
+add("category_scores", lambda s, d: view(s, d, BOOKMARKS).select("bm_seq", C.points(col("content")).alias("s")).select("bm_seq", *[long(F.get(col("s"), F.lit(i))).alias(m.lower()) for i, m in enumerate(_MAINS)]), SCORED_SQL + "SELECT bm_seq, " + ", ".join(f"CAST(p{i} AS BIGINT) AS {m.lower()}" for i, m in enumerate(_MAINS)) + " FROM r")
 
 
 def categorised(spark: SparkSession, d: str) -> DataFrame:
@@ -414,11 +414,22 @@ add("tag_stats_summary", lambda s, d: tagged(s, d).agg(F.count("*").alias("total
 
 # Responses of models
 
-project("parse_analysis", ANSWERS, "response_id", *[(n, lambda n=n: joined(R.parse_analysis(col("answer"), col("original"))[n]) if n in ("main_topics", "key_insights") else R.parse_analysis(col("answer"), col("original"))[n], "") for n in ("main_topics", "key_insights", "author_expertise", "relevance_score", "sentiment", "complexity_level", "content_type")])
-project("parse_category", ANSWERS, "response_id", ("primary_category", lambda: R.parse_categories(col("answer"), col("original"))["primary"], ""), ("secondary", lambda: joined(R.parse_categories(col("answer"), col("original"))["secondary"]), ""), ("confidence", lambda: R.parse_categories(col("answer"), col("original"))["confidence"], ""), ("method", lambda: R.parse_categories(col("answer"), col("original"))["method"], ""))
-project("parse_tags", ANSWERS, "response_id", ("tags", lambda: joined(R.parse_tags(col("answer"), col("original"))["tags"]), ""), ("confidence", lambda: joined(R.parse_tags(col("answer"), col("original"))["confidence"].cast("array<string>")), ""), ("method", lambda: R.parse_tags(col("answer"), col("original"))["method"], ""))
-for _name in ("parse_analysis", "parse_category", "parse_tags"):
-    del ORACLES[_name]  # a fold over lines that carries its section; tested against a plain version
+
+
+def unpacked(name: str, base: str, key: str, struct: Callable[[], Column], lists: tuple[str, ...] = ()) -> None:
+    """A query of a struct's fields, worked out once a row. A fold over lines that carries its section has no SQL; these
+    are tested against a plain version."""
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        rows = view(spark, d, base).select(key, F.inline(F.array(struct())))
+        return rows.withColumns({c: joined(col(c).cast("array<string>")) for c in lists})
+
+    add(name, run)
+
+
+unpacked("parse_analysis", ANSWERS, "response_id", lambda: R.parse_analysis(col("answer"), col("original")), ("main_topics", "key_insights", "actionable_items", "technologies_tools"))
+unpacked("parse_category", ANSWERS, "response_id", lambda: R.parse_categories(col("answer"), col("original")), ("secondary",))
+unpacked("parse_tags", ANSWERS, "response_id", lambda: R.parse_tags(col("answer"), col("original")), ("tags", "confidence"))
 add("llm_request_json", lambda s, d: view(s, d, ANSWERS).select("response_id", *[F.get_json_object(R.request_json(p, "m", R.prompt("tags", col("original")), "sys"), path).alias(p) for p, path in (("claude", "$.messages[0].content"), ("grok", "$.messages[1].content"), ("gemini", "$.contents[0].parts[0].text"))]), f"WITH b AS ({ANSWERS}), p AS (SELECT response_id, replace({lit(R.PROMPTS['tags'][1])}, '{{content}}', coalesce(original, '')) AS t FROM b) SELECT response_id, t AS claude, t AS grok, t AS gemini FROM p")
 _BODIES = {"claude": "to_json(named_struct('content', array(named_struct('type', 'text', 'text', answer), named_struct('type', 'tool', 'text', 'no'))))", "grok": "to_json(named_struct('choices', array(named_struct('message', named_struct('content', answer)))))", "gemini": "to_json(named_struct('candidates', array(named_struct('content', named_struct('parts', array(named_struct('text', answer)))))))"}
 add("llm_response_parse", lambda s, d: view(s, d, ANSWERS).select("response_id", *[R.response_text(p, F.expr(b)).alias(p) for p, b in _BODIES.items()]), f"WITH b AS ({ANSWERS}) SELECT response_id, coalesce(answer, '') AS claude, coalesce(answer, '') AS grok, coalesce(answer, '') AS gemini FROM b")
