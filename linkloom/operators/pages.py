@@ -12,6 +12,7 @@ from .validate import iso_date
 
 Q = "[\"']"
 
+# The meta tags that are read, as attribute and key.
 META_KEYS = (("name", "description"), ("name", "keywords"), ("name", "author"), ("property", "og:title"), ("property", "og:description"), ("property", "og:image"))
 
 
@@ -43,6 +44,7 @@ def page_author(html: Column) -> Column:
 
 # Posts
 
+# Patterns of posts' pages, in the order in which they are tried.
 POST_TITLES = (r"(?is)<title>([^<]+)</title>", r'(?is)<meta property="og:title" content="([^"]+)"', r'(?is)<meta name="twitter:title" content="([^"]+)"')
 POST_TEXTS = (
     rf"(?is)<div[^>]*data-testid={Q}tweetText{Q}[^>]*>(.*?)</div>", rf"(?is)<div[^>]*class={Q}[^\"']*tweet-text[^\"']*{Q}[^>]*>(.*?)</div>", rf"(?is)<p[^>]*class={Q}[^\"']*tweet-text[^\"']*{Q}[^>]*>(.*?)</p>",
@@ -132,6 +134,7 @@ def engagement(replies: Column, retweets: Column, likes: Column) -> Column:
 
 # Videos
 
+# Patterns of videos' pages, in the order in which they are tried.
 YT_TITLES = (r'(?i)"title":"([^"]+)"', r"(?i)<title>([^<]+)</title>", r'(?i)<meta property="og:title" content="([^"]+)"', r'(?i)<meta name="title" content="([^"]+)"')
 YT_TEXTS = (r'(?i)"description":\{"simpleText":"([^"]+)"\}', r'(?i)"shortDescription":"([^"]+)"', r'(?i)<meta property="og:description" content="([^"]+)"', r'(?i)<meta name="description" content="([^"]+)"')
 YT_AUTHORS = (r'(?i)"author":"([^"]+)"', r'(?i)"ownerChannelName":"([^"]+)"', r'(?i)<link itemprop="name" content="([^"]+)"')

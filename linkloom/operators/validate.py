@@ -1,4 +1,7 @@
-"""Checks of records. A result is a struct of is_valid, errors and warnings; nothing is ever raised."""
+"""Checks of records. A result is a struct of is_valid, errors and warnings; nothing is ever raised.
+
+Fixed values: the messages and the limits of length, time and counts, as they are part of the results.
+"""
 
 from __future__ import annotations
 
