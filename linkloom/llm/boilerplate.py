@@ -174,7 +174,8 @@ def drop_boilerplate(df: DataFrame, key: str = "extract_id", content: str = "con
     deduced = cut_lineage(deduced.withColumnRenamed("site", "_site"))
     if (deduced.select(F.sum(F.size("_tokens"))).first()[0] or 0) <= MAX_BROADCAST:
         deduced = F.broadcast(deduced)
-    rows = df.select(F.col(key).alias("_key"), F.col(content).alias("_content"), F.coalesce(F.col(site), F.lit("")).alias("_site"), F.coalesce(F.col(title), F.lit("")).alias("_title"))
+    # Keys travel as text: pandas would turn whole numbers beside a null into floats.
+    rows = df.select(F.col(key).cast("string").alias("_key"), F.col(content).alias("_content"), F.coalesce(F.col(site), F.lit("")).alias("_site"), F.coalesce(F.col(title), F.lit("")).alias("_title"))
 
     def clean(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last: tuple = (None, set(), set())
@@ -194,7 +195,7 @@ def drop_boilerplate(df: DataFrame, key: str = "extract_id", content: str = "con
             yield pd.DataFrame({key: b["_key"], "dropped": dropped, "main_text": kept})
 
     kind = df.schema[key].dataType.simpleString()
-    return rows.join(deduced, "_site", "left").mapInPandas(clean, f"{key} {kind}, dropped array<bigint>, main_text string")
+    return rows.join(deduced, "_site", "left").mapInPandas(clean, f"{key} string, dropped array<bigint>, main_text string").withColumn(key, F.col(key).cast(kind))
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:

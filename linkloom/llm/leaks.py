@@ -134,8 +134,9 @@ def leaked(docs: DataFrame, items: DataFrame, doc: str = "doc_id", text: str = "
     """
     spark = docs.sparkSession
     doc_type, item_type = docs.schema[doc].dataType.simpleString(), items.schema[item].dataType.simpleString()
-    schema = f"{doc} {doc_type}, {item} {item_type}, longest int, covered int, coverage double"
-    rows, out = docs.where(F.col(text).isNotNull()).select(F.col(doc).alias("_doc"), F.col(text).alias("_text")), None
+    schema = f"{doc} string, {item} {item_type}, longest int, covered int, coverage double"
+    # Keys travel as text: pandas would turn whole numbers beside a null into floats.
+    rows, out = docs.where(F.col(text).isNotNull()).select(F.col(doc).cast("string").alias("_doc"), F.col(text).alias("_text")), None
     for ids, texts in _blocks(items, item, item_text):
         sent = spark.sparkContext.broadcast((ids, texts))
 
@@ -151,7 +152,8 @@ def leaked(docs: DataFrame, items: DataFrame, doc: str = "doc_id", text: str = "
 
         part = rows.mapInPandas(find, schema)
         out = part if out is None else out.unionByName(part)
-    return out if out is not None else spark.createDataFrame([], schema)
+    found = out if out is not None else spark.createDataFrame([], schema)
+    return found.withColumn(doc, F.col(doc).cast(doc_type))
 
 
 def p6_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:

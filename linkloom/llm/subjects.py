@@ -360,8 +360,9 @@ def with_subjects(docs: DataFrame, labels: DataFrame, subjects: DataFrame, key:
                 out[i] = [chain.subjects[j] for j in own]
             yield pd.DataFrame({key: b["_key"], "subjects": out})
 
-    rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"), F.col(kind).alias("_kind"))
-    return rows.mapInPandas(classify, f"{key} {key_type}, subjects array<string>")
+    # Keys travel as text: pandas would turn whole numbers beside a null into floats.
+    rows = docs.select(F.col(key).cast("string").alias("_key"), F.col(text).alias("_text"), F.col(kind).alias("_kind"))
+    return rows.mapInPandas(classify, f"{key} string, subjects array<string>").withColumn(key, F.col(key).cast(key_type))
 
 
 def _classified(spark: SparkSession, sf_dir: str) -> DataFrame:
