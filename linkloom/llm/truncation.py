@@ -20,16 +20,19 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import table
+from ..runtime import cut_lineage, table
 from .mixing import source_name
 
 #: Intact texts that the classifier is fitted on, chosen by hash; everything else covers all texts.
 SAMPLE = 12_000
 #: Weights of the classifier.
 DIM = 1 << 18
-#: Places for known words, and bits of the Bloom filter for beginnings of sentences.
-WORD_BITS, BEGIN_BITS = 20, 26
-#: A word is known if this many texts have it.
+#: Bits of a filter for each of its hashes, at least, and the logarithm of the most bits that a filter has (256 MB).
+BITS_EACH, MOST_BITS = 16, 31
+#: Bits of the Bloom filter for beginnings of sentences.
+BEGIN_BITS = 26
+#: A word is known if this many texts have it with a separator after it, and no fewer than end in it. Words that were
+#: cut stand at ends only, so both counts grow with the corpus and stumps stay unknown at any size.
 MIN_TEXTS = 3
 #: A length is a limit if at least LIMIT_TEXTS texts of a source have it and LIMIT_TIMES as many as the lengths around.
 LIMIT_TEXTS, LIMIT_TIMES, LIMIT_AROUND = 5, 6.0, 25
@@ -46,6 +49,8 @@ MARKS = re.compile(
     r"|(?P<broken>�+)|(?P<entity>&#?\w{0,8})|(?P<tag><[a-z/!][^<>]*)|(?P<ell>…)|(?P<dots>\.\.\.))$",
     re.IGNORECASE,
 )
+#: The same at the end for the JVM, as often as they stand there.
+_MARKS_JVM = "(?iU)(?:" + MARKS.pattern.replace("(?P<", "(?<").removesuffix("$") + ")+$"
 _ENDED = re.compile(r"[.!?][\"'”’»)\]]*$")
 _SENTENCE = re.compile(r"(?<=[.!?…])[\"'”’»)\]]*\s+|\n+")
 _INNER = re.compile(r"(?<=\w)[.!?](?=\s)")
@@ -69,7 +74,8 @@ def begin_hash(text: str) -> int:
 
 
 def word_hash(word: str) -> int:
-    return xxhash.xxh64_intdigest(word, seed=42) & ((1 << WORD_BITS) - 1)
+    """As F.xxhash64, without a sign."""
+    return xxhash.xxh64_intdigest(word, seed=42)
 
 
 def beginnings(text: str) -> set[int]:
@@ -91,16 +97,38 @@ def bloom(hashes: np.ndarray) -> np.ndarray:
     return bits
 
 
+@dataclass
+class Filter:
+    """A Bloom filter with three places for each hash, in 64-bit cells; their number is a power of two."""
+
+    cells: np.ndarray
+
+    def __contains__(self, h: int) -> bool:
+        at, step, mask = h & 0xFFFFFFFF, h >> 32 | 1, 64 * len(self.cells) - 1
+        return all(int(self.cells[(at + i * step & mask) >> 6]) >> (at + i * step & 63) & 1 for i in range(3))
+
+
+def filter_of(hashes: DataFrame, n: int) -> Filter:
+    """The filter of the n hashes in column h, sized by n. Tasks set the bits of cells; the driver gets the cells."""
+    size = min(MOST_BITS, max(6, (BITS_EACH * n - 1).bit_length()))
+    step = F.shiftrightunsigned("h", 32).bitwiseOR(F.lit(1))
+    places = F.array(*[(F.col("h").bitwiseAND(F.lit(0xFFFFFFFF)) + i * step).bitwiseAND(F.lit((1 << size) - 1)) for i in range(3)])
+    set_bits = hashes.select(F.explode(places).alias("p")).select(F.shiftright("p", 6).alias("cell"), F.expr("shiftleft(1L, CAST(p & 63 AS INT))").alias("bit"))
+    got = set_bits.groupBy("cell").agg(F.bit_or("bit").alias("bits")).toArrow()
+    cells = np.zeros(1 << (size - 6), np.uint64)
+    cells[got["cell"].to_numpy()] = got["bits"].to_numpy().astype(np.int64).view(np.uint64)
+    return Filter(cells)
+
+
 @dataclass
 class Known:
-    """What the features ask of the corpus: packed bits of known words and of beginnings of sentences."""
+    """What the features ask of the corpus: known words, and packed bits of beginnings of sentences."""
 
-    words: np.ndarray
+    words: Filter
     begins: np.ndarray
 
     def word(self, w: str) -> bool:
-        h = word_hash(w)
-        return bool(self.words[h >> 3] >> (h & 7) & 1)
+        return word_hash(w) in self.words
 
     def begin(self, s: str) -> bool:
         h = begin_hash(s)
@@ -252,14 +280,17 @@ def source_limits(docs: DataFrame, text: str, source: Column) -> DataFrame:
     return listed.mapInPandas(spikes, "source string, limits array<bigint>")
 
 
-def known_words(docs: DataFrame, text: str) -> np.ndarray:
-    """Bits of the words that at least MIN_TEXTS texts have, over all texts. The driver gets at most 2**WORD_BITS numbers."""
-    words = F.array_distinct(F.split(F.lower(F.col(text)), r"[^\p{L}\p{N}]+"))
-    hashes = docs.select(F.explode(words).alias("w")).groupBy("w").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_TEXTS)
-    at = hashes.select(F.xxhash64("w").bitwiseAND((1 << WORD_BITS) - 1).cast("int").alias("h")).distinct().toArrow()["h"].to_numpy()
-    bits = np.zeros(1 << WORD_BITS, bool)
-    bits[at] = True
-    return np.packbits(bits, bitorder="little")
+def known_words(docs: DataFrame, text: str) -> Filter:
+    """The words that MIN_TEXTS texts have with a separator after them, marks of cutting aside, and that no more texts
+    end in. Over all texts; the driver gets the cells of the filter."""
+    bare = F.regexp_replace(F.lower(F.col(text)), r"(?U)\s+$", "")
+    core = F.concat(F.expr(f"substring(_bare, 1, greatest(length(_bare) - {TAIL}, 0))"), F.regexp_replace(F.expr(f"right(_bare, {TAIL})"), _MARKS_JVM, ""))
+    parts = docs.select(bare.alias("_bare")).select(F.split(core, r"[^\p{L}\p{N}]+").alias("p"))
+    # The last part is the word that the text ends in, or empty.
+    words = F.concat(F.transform(F.array_distinct(F.slice("p", 1, F.size("p") - 1)), lambda w: F.struct(w.alias("w"), F.lit(1).alias("inner"))), F.array(F.struct(F.element_at("p", -1).alias("w"), F.lit(0).alias("inner"))))
+    counts = parts.select(F.inline(words)).where("w <> ''").groupBy("w").agg(F.sum("inner").alias("n"), F.sum(1 - F.col("inner")).alias("ends"))
+    hashes = cut_lineage(counts.where((F.col("n") >= MIN_TEXTS) & (F.col("n") >= F.col("ends"))).select(F.xxhash64("w").alias("h")))
+    return filter_of(hashes, hashes.count())
 
 
 def _sample(docs: DataFrame, doc: str, rows: int, total: int) -> DataFrame:

@@ -73,3 +73,18 @@ def test_nulls_blanks_repeats_and_empty(spark):
 def test_closings(text, kind, shape):
     c = T.close_of(text)
     assert (c.kind, c.shape) == (kind, shape)
+
+
+def test_stumps_stay_unknown(spark):
+    ends = ["", "…", "...", " [...]", "… [+40 chars]", "\n[connection closed]", "�", "&am", "<a hre", "...\n[cut]", " \n"]
+    rows = [(i, f"The government of river {i} opens. A new gover{e}", "books", 0, 0) for i, e in enumerate(ends * 4)]
+    known = T.Known(T.known_words(spark.createDataFrame(rows, SCHEMA), "text"), None)
+    assert [known.word(w) for w in ("government", "river", "opens", "new", "gover")] == [True, True, True, True, False]
+    rows += [(100 + i, "A gover slip is in few texts.", "books", 0, 0) for i in range(3)]
+    assert not T.Known(T.known_words(spark.createDataFrame(rows, SCHEMA), "text"), None).word("gover")
+
+
+def test_filter_of_words_grows(spark):
+    n = 200_000
+    words = T.known_words(spark.range(3).selectExpr(f"concat_ws(' ', transform(sequence(1, {n}), x -> concat('w', x)), '.') AS text"), "text")
+    assert all(T.word_hash(f"w{i}") in words for i in range(1, n, 7)) and sum(T.word_hash(f"v{i}") in words for i in range(20_000)) < 400
