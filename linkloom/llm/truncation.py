@@ -29,8 +29,6 @@ SAMPLE = 12_000
 DIM = 1 << 18
 #: Bits of a filter for each of its hashes, at least, and the logarithm of the most bits that a filter has (256 MB).
 BITS_EACH, MOST_BITS = 16, 31
-#: Bits of the Bloom filter for beginnings of sentences.
-BEGIN_BITS = 26
 #: A word is known if this many texts have it with a separator after it, and no fewer than end in it. Words that were
 #: cut stand at ends only, so both counts grow with the corpus and stumps stay unknown at any size.
 MIN_TEXTS = 3
@@ -69,7 +67,7 @@ def _h(kind: str, value: str) -> int:
 
 
 def begin_hash(text: str) -> int:
-    """A 63-bit number; each third of it is a place in the filter."""
+    """A 63-bit number."""
     return xxhash.xxh64_intdigest(text) >> 1
 
 
@@ -88,13 +86,10 @@ def beginnings(text: str) -> set[int]:
     return out
 
 
-def bloom(hashes: np.ndarray) -> np.ndarray:
-    """The packed bits of a filter with three places for each hash."""
-    bits = np.zeros(1 << (BEGIN_BITS - 3), np.uint8)
-    for shift in (0, 18, 37):
-        at = (hashes >> shift) & ((1 << BEGIN_BITS) - 1)
-        np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
-    return bits
+def begins_own(segment: str, text: str) -> bool:
+    """Whether a sentence of the text itself begins so."""
+    own = (x.strip().lower() for x in _SENTENCE.split(text))
+    return any(x.startswith(segment) and len(segment) < len(x.rstrip(".!?…\"'”’»)]")) for x in own)
 
 
 @dataclass
@@ -122,17 +117,19 @@ def filter_of(hashes: DataFrame, n: int) -> Filter:
 
 @dataclass
 class Known:
-    """What the features ask of the corpus: known words, and packed bits of beginnings of sentences."""
+    """What the features ask of the corpus: known words, and how sentences of a text, or of several, begin."""
 
     words: Filter
-    begins: np.ndarray
+    begins: Filter
+    shared: Filter
 
     def word(self, w: str) -> bool:
         return word_hash(w) in self.words
 
-    def begin(self, s: str) -> bool:
-        h = begin_hash(s)
-        return all(self.begins[(h >> shift & ((1 << BEGIN_BITS) - 1)) >> 3] >> (h >> shift & 7) & 1 for shift in (0, 18, 37))
+    def begin(self, segment: str, text: str) -> bool:
+        """Whether a sentence of a text other than this one begins so."""
+        h = begin_hash(segment)
+        return h in self.shared or (h in self.begins and not begins_own(segment, text))
 
 
 @dataclass
@@ -175,7 +172,8 @@ def close_of(text: str) -> Close:
     return Close(kind, core, spaced, pieces[-1].strip() if pieces else "", last_line, token, shape)
 
 
-def features(text: str, gap: str, known: Known) -> list[int]:
+def features(text: str, gap: str, known: Known, whole: str | None = None) -> list[int]:
+    """whole is the text that this one was cut from artificially."""
     c = close_of(text)
     low = _DIGITS.sub("0", c.core[-60:].lower())
     words = _WORD.findall(low)[-3:]
@@ -185,7 +183,7 @@ def features(text: str, gap: str, known: Known) -> list[int]:
     n = len(segment.split())
     glued = bool(low) and low[-1].isalnum()
     is_known = "known" if not glued or known.word(_WORD.findall(c.core[-60:].lower())[-1]) else "unknown"
-    begins = ("begin" if known.begin(segment) else "new") if len(segment) <= 30 else "long"
+    begins = ("begin" if known.begin(segment, whole or text) else "new") if len(segment) <= 30 else "long"
     opened = f"{segment.count('(') > segment.count(')')}{segment.count('[') > segment.count(']')}{segment.count(chr(34)) % 2}{segment.count('“') > segment.count('”')}"
     out = [
         _h("bias", ""), _h("kind", c.kind), _h("shape", c.shape), _h("state", state), _h("spaced", f"{c.spaced}{c.kind}"), _h("gapkind", gap + c.kind), _h("gapstate", gap + state), _h("gapknown", gap + c.kind + is_known),
@@ -212,24 +210,24 @@ def looks_intact(text: str, gap: str, known: Known) -> bool:
     if gap not in ("none", "far"):
         return False
     if c.kind in ("ell", "dots"):
-        return not c.spaced and 0 < len(c.segment) <= 30 and c.segment != c.core and not known.begin(c.segment.lower())
+        return not c.spaced and 0 < len(c.segment) <= 30 and c.segment != c.core and not known.begin(c.segment.lower(), text)
     return c.kind == "none" and c.shape not in ("letter", "digit", "stop", "first", "empty")
 
 
 _TAILS = ("…", "...", " […]", " [...]", "... Read more", " ... Read more", " (more)", "… [+{n} chars]", "\n[connection closed]", "�", "&am", "&nbs", "<a hre", "<p cla", "")
 
 
-def examples(text: str, gap: str, limits: bool, known: Known, rng: random.Random) -> list[tuple[list[int], int]]:
-    """Training examples of one intact text: itself, without its full stop, up to the ends of sentences within it, also
+def examples(text: str, gap: str, limits: bool, rng: random.Random) -> list[tuple[str, str, int]]:
+    """Training examples, as (text, gap, label), of one intact text: itself, without its full stop, up to the ends of sentences within it, also
     without full stop, and cut in three places."""
     chance = lambda p: rng.random() < p
-    out = [(features(text, "0" if limits and chance(0.03) else gap, known), 0)]
+    out = [(text, "0" if limits and chance(0.03) else gap, 0)]
     bare = text.rstrip()
     if bare[-1:] in ".!?" and close_of(bare).kind == "none" and chance(0.5):
-        out.append((features(bare[:-1], gap, known), 0))
+        out.append((bare[:-1], gap, 0))
     ends = [m.start() for m in _INNER.finditer(bare) if m.start() > 20]
     for at in rng.sample(ends, min(2, len(ends))):
-        out.append((features(bare[:at], gap, known), 0))
+        out.append((bare[:at], gap, 0))
     for plain in (True, True, False):
         if len(bare) < 40:
             break
@@ -241,7 +239,7 @@ def examples(text: str, gap: str, limits: bool, known: Known, rng: random.Random
             continue
         tail = "" if plain else rng.choice(_TAILS).format(n=rng.randrange(20, 2000))
         near = ("0" if plain else rng.choice(("0", "1-3", "4-16"))) if limits and chance(0.6) else gap
-        out.append((features(kept + tail, near, known), 1))
+        out.append((kept + tail, near, 1))
     return out
 
 
@@ -293,10 +291,42 @@ def known_words(docs: DataFrame, text: str) -> Filter:
     return filter_of(hashes, hashes.count())
 
 
-def _sample(docs: DataFrame, doc: str, rows: int, total: int) -> DataFrame:
-    """About `rows` texts chosen by a hash of their number."""
+def known_begins(rows: DataFrame, picked: Column) -> tuple[Filter, Filter]:
+    """Of the last stretches that features will ask about, in texts and in examples of the picked ones, those that a
+    text's sentences begin with, and those that sentences of two different texts begin with. Beginnings come from all
+    texts; the filters hold only what is asked, at most a stretch a text and a few an example."""
+
+    def begin(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            found, asked = [np.empty(0, np.int64)], set()
+            texts = [np.empty(0, np.int64)]
+            for d, t, limits, p in zip(b["doc"], b["text"], b["limits"], b["picked"]):
+                own = beginnings(t)
+                found.append(np.fromiter(own, np.int64, len(own)))
+                texts.append(np.full(len(own), xxhash.xxh64_intdigest(t) >> 1, np.int64))
+                limits = [] if limits is None else limits.tolist()
+                made = examples(t, gap_of(len(t), limits), bool(limits), random.Random(int(d))) if p else []
+                segments = {close_of(x).segment.lower() for x in (t, *(x for x, _, _ in made))}
+                asked.update(begin_hash(x) for x in segments if 0 < len(x) <= 30)
+            h, text = np.concatenate(found), np.concatenate(texts)
+            order = np.argsort(h, kind="stable")
+            h, text = h[order], text[order]
+            starts = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.empty(0, np.int64)
+            lo, hi = (np.minimum.reduceat(text, starts), np.maximum.reduceat(text, starts)) if len(h) else (text, text)
+            yield pd.DataFrame({"h": h[starts], "lo": lo, "hi": hi, "asked": False})
+            yield pd.DataFrame({"h": np.fromiter(asked, np.int64, len(asked)), "lo": np.iinfo(np.int64).max, "hi": -1, "asked": True})
+
+    seen = rows.select("doc", "text", "limits", picked.alias("picked")).mapInPandas(begin, "h bigint, lo bigint, hi bigint, asked boolean")
+    both = seen.groupBy("h").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.bool_or("asked").alias("asked"))
+    found = cut_lineage(both.where(F.col("asked") & (F.col("hi") >= 0)).select("h", (F.col("lo") < F.col("hi")).alias("shared")))
+    n = found.agg(F.count("*"), F.count_if("shared")).first()
+    return filter_of(found, n[0]), filter_of(found.where("shared"), n[1])
+
+
+def _sample(doc: str, rows: int, total: int) -> Column:
+    """Whether a text is one of about `rows` chosen by a hash of their number."""
     share = min(1.0, rows / max(1, total))
-    return docs.where(F.pmod(F.xxhash64(F.lit(17), F.col(doc)), F.lit(1_000_000)) < int(share * 1_000_000))
+    return F.pmod(F.xxhash64(F.lit(17), F.col(doc)), F.lit(1_000_000)) < int(share * 1_000_000)
 
 
 @dataclass
@@ -314,15 +344,9 @@ class Model:
 def train(rows: DataFrame, sample: int = SAMPLE, total: int | None = None) -> Model:
     """Fit on (doc, text, limits). About twice `sample` texts are looked at, so that `sample` of them are intact."""
     spark = rows.sparkSession
-    part = _sample(rows, "doc", 2 * sample, rows.count() if total is None else total)
-
-    def begin(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            found = set().union(*(beginnings(t) for t in b["text"]), set())
-            yield pd.DataFrame({"h": np.fromiter(found, np.int64, len(found))})
-
-    begins = part.select("text").mapInPandas(begin, "h bigint").distinct().toArrow()["h"].to_numpy()
-    known = Known(known_words(rows, "text"), bloom(begins))
+    picked = _sample("doc", 2 * sample, rows.count() if total is None else total)
+    part = rows.where(picked)
+    known = Known(known_words(rows, "text"), *known_begins(rows, picked))
     sent = spark.sparkContext.broadcast(known)
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -333,7 +357,7 @@ def train(rows: DataFrame, sample: int = SAMPLE, total: int | None = None) -> Mo
                 limits = [] if limits is None else limits.tolist()
                 gap = gap_of(len(t), limits)
                 if t.strip() and looks_intact(t, gap, k):
-                    made += examples(t, gap, bool(limits), k, random.Random(int(d)))
+                    made += [(features(x, g, k, t), y) for x, g, y in examples(t, gap, bool(limits), random.Random(int(d)))]
             if made:
                 yield pd.DataFrame({"x": [np.array([x for x, _ in made], np.int32).tobytes()], "y": [np.array([y for _, y in made], np.int8).tobytes()]})
 

@@ -78,13 +78,26 @@ def test_closings(text, kind, shape):
 def test_stumps_stay_unknown(spark):
     ends = ["", "…", "...", " [...]", "… [+40 chars]", "\n[connection closed]", "�", "&am", "<a hre", "...\n[cut]", " \n"]
     rows = [(i, f"The government of river {i} opens. A new gover{e}", "books", 0, 0) for i, e in enumerate(ends * 4)]
-    known = T.Known(T.known_words(spark.createDataFrame(rows, SCHEMA), "text"), None)
+    known = T.Known(T.known_words(spark.createDataFrame(rows, SCHEMA), "text"), None, None)
     assert [known.word(w) for w in ("government", "river", "opens", "new", "gover")] == [True, True, True, True, False]
     rows += [(100 + i, "A gover slip is in few texts.", "books", 0, 0) for i in range(3)]
-    assert not T.Known(T.known_words(spark.createDataFrame(rows, SCHEMA), "text"), None).word("gover")
+    assert not T.Known(T.known_words(spark.createDataFrame(rows, SCHEMA), "text"), None, None).word("gover")
 
 
 def test_filter_of_words_grows(spark):
     n = 200_000
     words = T.known_words(spark.range(3).selectExpr(f"concat_ws(' ', transform(sequence(1, {n}), x -> concat('w', x)), '.') AS text"), "text")
     assert all(T.word_hash(f"w{i}") in words for i in range(1, n, 7)) and sum(T.word_hash(f"v{i}") in words for i in range(20_000)) < 400
+
+
+def test_beginnings_of_other_texts(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    rows = [(0, "A first one. Quite late the"), (1, "Quite late the river rose. Only here"), (2, "Only here it stands. Only here it stays"), (2, "Only here it stands. Only here it stays")]
+    df = spark.createDataFrame([(d, t, None) for d, t in rows], "doc bigint, text string, limits array<bigint>")
+    known = T.Known(None, *T.known_begins(df, F.lit(False)))  # all texts count, whichever are examples
+    assert known.begin("quite late the", rows[0][1]) and known.begin("only here", rows[1][1])
+    assert not known.begin("quite late the", rows[1][1])  # a text cut artificially knows no beginnings of its own
+    assert not known.begin("only here it stays", rows[2][1]) and not known.begin("never", rows[0][1])
+    twice = spark.createDataFrame([(d, "Same words stand here. Same words", None) for d in range(2)], df.schema)
+    assert not T.Known(None, *T.known_begins(twice, F.lit(False))).begin("same words", "Same words stand here. Same words")
