@@ -132,8 +132,9 @@ def pairs_together(df: DataFrame, key: str, fields: list[str], min_count: int =
 
 
 def p5_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pairs_together(table(spark, sf_dir, "processed_bookmarks"), "proc_id", ["tags", "categories"], 6, 0.001)
+    return pairs_together(table(spark, sf_dir, "processed_bookmarks"), "proc_id", ["tags", "categories"])
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p5_pairs(spark, sf_dir).where("n_ab * n >= 4 * n_a * n_b").select("field", "item_a", "item_b")
+    pairs = pairs_together(table(spark, sf_dir, "processed_bookmarks"), "proc_id", ["tags", "categories"], 6, 0.001)
+    return pairs.where("n_ab * n >= 4 * n_a * n_b").select("field", "item_a", "item_b")

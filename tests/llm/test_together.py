@@ -64,3 +64,12 @@ def test_runs_across_batches():
     got = [(p, n) for b in T._count_runs(iter(batches)) for p, n in zip(b["pair"].to_pylist(), b["n"].to_pylist())]
     assert got == [(1, 3), (2, 13), (7, 1)]
     assert T._runs(np.array([3, 1, 3]))["n"].to_pylist() == [1, 2]
+
+
+def test_registered_pairs_are_all_pairs(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/processed_bookmarks.parquet").select("proc_id", "tags", "categories").collect()
+    got = {tuple(r) for r in T.p5_pairs(spark, sf_dir).select("field", "item_a", "item_b", "n_ab").collect()}
+    want = {(f, a, b, k) for f in ("tags", "categories") for (a, b), k in plain(rows, f)[2].items()}
+    assert got == want and min(k for *_, k in got) == 1
+    n = plain(rows, "tags")[0]
+    assert all(r.n_ab >= max(6, n / 1000) for r in T.p5_found(spark, sf_dir).join(T.p5_pairs(spark, sf_dir), ["field", "item_a", "item_b"]).collect())
