@@ -92,27 +92,30 @@ def _next_item(lines: list[tuple[int, str]], at: int, title: str, names: tuple[s
     return _hash("L", _masked(line, names))
 
 
-_PAGE = "site string, title string, page bigint, tokens array<struct<token: bigint, below: bigint>>"
+_PAGE = "site string, page bigint, tokens array<struct<token: bigint, below: bigint>>"
 
 
 def _page_tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The tokens of each page, each once, with the token below it where that could be an item of its list. A page is
-    known by its longest line, so that one fetched again counts once."""
+    """The tokens of each page, each once, with the token below it where that could be an item of its list. The page's
+    own title is no token. A page is known by all of its lines but for spaces and digits, so that one fetched again
+    counts once though its counters went on."""
     for b in batches:
         rows = []
         for site, title, content in zip(b["site"], b["title"], b["content"]):
             lines, names = _lines(content), _names(site)
             title, found = (title or "").strip().lower(), {}
             for at, (_, line) in enumerate(lines):
+                if title and line.strip().lower() == title:
+                    continue
                 own, lead, parts, root = _tokens(line, names)
                 found[own] = found.get(own) or _next_item(lines, at, title, names)
                 for t in (lead, root, *parts):
                     if t is not None:
                         found.setdefault(t)
             if lines:
-                page = _hash("D", max((x.strip() for _, x in lines), key=len))
-                rows.append((site, title or str(page), page, [{"token": t, "below": n} for t, n in found.items()]))
-        yield pd.DataFrame(rows, columns=["site", "title", "page", "tokens"])
+                page = _hash("D", "\n".join(_masked(x, ()) for _, x in lines))
+                rows.append((site, page, [{"token": t, "below": n} for t, n in found.items()]))
+        yield pd.DataFrame(rows, columns=["site", "page", "tokens"])
 
 
 def _usable(df: DataFrame, content: str, site: str) -> DataFrame:
@@ -128,7 +131,7 @@ def templates(df: DataFrame, content: str = "content", site: str = "site", title
     """
     pages = _usable(df, content, site).select(F.col("_site").alias("site"), F.coalesce(F.col(title), F.lit("")).alias("title"), F.col("_content").alias("content"))
     pages = cut_lineage(pages.mapInPandas(_page_tokens, _PAGE))
-    articles = pages.dropDuplicates(["site", "page"]).dropDuplicates(["site", "title"])
+    articles = pages.dropDuplicates(["site", "page"])
     hosts = articles.groupBy("site").agg(F.count("*").alias("host_pages"))
     tokens = articles.select("site", F.inline("tokens"))
     pooled = tokens.groupBy("site", "token").agg(F.count("*").alias("pages")).join(hosts, "site").groupBy("token").agg(F.sum("pages").alias("all_pages"), F.sum("host_pages").alias("possible"), F.count("*").alias("hosts"))
@@ -138,7 +141,7 @@ def templates(df: DataFrame, content: str = "content", site: str = "site", title
     below = tokens.where("below is not null").groupBy("token", "below").agg(F.count("*").alias("times")).join(valid.select("token"), "token", "left_semi")
     heads = below.join(valid.select(F.col("token").alias("below")), "below", "left_anti").groupBy("token").agg(F.sum("times").alias("heads"))
     valid = valid.join(heads, "token", "left").select("token", (F.coalesce("heads", F.lit(0)) >= LIST_SHARE * F.col("all_pages")).alias("heads_list"))
-    on_hosts = pages.select("site", "page", F.inline("tokens")).groupBy("site", "token").agg(F.count("*").alias("pages"), F.bit_xor("page").alias("vector"))
+    on_hosts = articles.select("site", "page", F.inline("tokens")).groupBy("site", "token").agg(F.count("*").alias("pages"), F.bit_xor("page").alias("vector"))
     kept = cut_lineage(on_hosts.join(valid, "token"))
     classes = kept.groupBy("site", "vector", "pages").agg(F.count("*").cast("int").alias("class_size"))
     nested = classes.groupBy("site").agg(F.array_sort(F.collect_set("pages"), lambda a, b: F.when(a > b, -1).when(a < b, 1).otherwise(0)).alias("supports"))

@@ -73,3 +73,17 @@ def test_classes_nest(spark):
     t = B.templates(spark.createDataFrame(rows, SCHEMA))
     assert t.where("level = 1").agg(F.max("class_size")).first()[0] >= 4  # what stands on every page is one class
     assert t.where("heads_list").select("token").distinct().count() == 1
+
+
+def test_pages_of_one_title_or_longest_line_all_count(spark):
+    rng, rows, truth = random.Random(6), [], {}
+    for n in range(8):
+        one, two = article(rng)
+        lines = ["Our harbour portal", "Enter the club", one, "Notice: " + "this long notice stands on each of the pages of the host. " * 8, two, "Back to the quay"]
+        rows.append((n, "hot.example", "Our harbour portal", "\n".join(lines), 0, 0, ""))
+        truth[n] = [1, 3, 5]
+    rows.append((90, *rows[0][1:3], rows[0][3].replace("\n", " \r\n"), 0, 0, ""))  # fetched twice
+    truth[90] = truth[0]
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert {r["extract_id"]: r["dropped"] for r in B.drop_boilerplate(df).collect()} == truth
+    assert {r["pages"] for r in B.templates(df).collect()} == {8}
