@@ -1,12 +1,13 @@
-"""Main text of web pages: template deduction from lines that recur together across the pages of a host.
+"""Main text of web pages: template deduction from lines that recur across the pages of hosts.
 
 The tokens are lines with digits and the host's name masked, the parts of a line of links, and the fixed beginning of a
 line such as a breadcrumb. Of each token on each host the occurrence vector over the host's pages is kept as a count and
 a fingerprint (the exclusive or of page hashes), which merge in any order, so a host with a third of all pages is
-aggregated like any other. Tokens of one host with equal fingerprints form an equivalence class. A class is valid if it
-recurs: its tokens, pooled over every host that has them, must stand on a fair share of those hosts' pages. Valid
-classes nest by support into the host's template; what follows a heading of the template that always heads a list is
-one of its slots; all other lines are the page's own slot, the main text.
+aggregated like any other. A token belongs to the template if, pooled over every host that
+has it, it stands on a fair share of those hosts' other pages. Tokens of one host with equal fingerprints form an
+equivalence class; classes and their nesting by support are reported but decide nothing, line frequency does. What
+follows a heading of the template that always heads a list is one of its slots; all other lines are the page's own
+slot, the main text.
 """
 
 from __future__ import annotations
