@@ -87,3 +87,42 @@ def test_pages_of_one_title_or_longest_line_all_count(spark):
     df = spark.createDataFrame(rows, SCHEMA)
     assert {r["extract_id"]: r["dropped"] for r in B.drop_boilerplate(df).collect()} == truth
     assert {r["pages"] for r in B.templates(df).collect()} == {8}
+
+
+def test_furniture_longer_than_the_article(spark):
+    rng, rows, truth = random.Random(7), [], {}
+    for h in range(6):
+        notice = "We use cookies. " + " ".join(word(rng) for _ in range(90)) + "."
+        for _ in range(12):
+            one, two = article(rng)
+            lines = [("Home | News | Jobs", 1), (notice, 1), (one, 0), ("Share this page", 1), (two, 0), (notice.upper(), 1)]
+            n = len(rows)
+            rows.append((n, f"host{h}.example", "A title", "\n".join(x for x, _ in lines), 0, 0, ""))
+            truth[n] = [i for i, (_, drop) in enumerate(lines) if drop]
+    assert {r["extract_id"]: r["dropped"] for r in B.drop_boilerplate(spark.createDataFrame(rows, SCHEMA)).collect()} == truth
+
+
+def test_classes_decide(spark):
+    """Lines on both pages of a host confirm each other; one such line alone is no class that is large enough."""
+    rng, rows = random.Random(8), []
+    for n in range(2):
+        one, two = article(rng)
+        rows.append((n, "small.example", "", "\n".join(["Quay office", "Harbour dues", one, two, "Tide tables"]), 0, 0, ""))
+    for n in range(2, 4):
+        one, two = article(rng)
+        rows.append((n, "single.example", "", "\n".join([one, "Some steps", two]), 0, 0, ""))
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert {r["extract_id"]: r["dropped"] for r in B.drop_boilerplate(df).collect()} == {0: [0, 1, 4], 1: [0, 1, 4], 2: [], 3: []}
+    assert {(r["class_size"], r["level"]) for r in B.templates(df).collect()} == {(3, 1)}
+
+
+def test_text_elsewhere_template_here(spark):
+    """What few pages of other hosts have as a heading is of the template of a host that has it on most."""
+    rng, rows, truth = random.Random(9), [], {}
+    for h in range(9):
+        for k in range(30):
+            one, two = article(rng)
+            heading = h == 0 or k == 3
+            rows.append((len(rows), f"h{h}.example", "", "\n".join([one] + ["What we saw"] * heading + [two]), 0, 0, ""))
+            truth[len(truth)] = [1] if h == 0 else []
+    assert {r["extract_id"]: r["dropped"] for r in B.drop_boilerplate(spark.createDataFrame(rows, SCHEMA)).collect()} == truth
