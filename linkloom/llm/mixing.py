@@ -11,13 +11,16 @@ import base64
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import cut_lineage, table
 
-TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+#: The public tokenizer's vocabulary: a parameter of each operator, or the setting TOKENIZER_SETTING of the session, or
+#: this file.
+TOKENIZER, TOKENIZER_SETTING = "/opt/tokenizers/byte_bpe_50k.tiktoken", "spark.linkloom.tokenizer"
 #: Fixed value: the public pattern that splits a text into pieces before byte pairs are merged.
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Share of its cap that a source is filled to at most: a capped Poisson count only reaches the cap itself at an
@@ -25,6 +28,8 @@ PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!
 FILL = 0.9
 #: Sources with a target; their shares and distributions are worked out on the driver.
 MAX_SOURCES = 100_000
+#: Steps of all distributions that are broadcast (8 bytes each); more are joined by source.
+MAX_STEPS = 2_000_000
 SEED = 20_240_601
 
 _encoders: dict[int, object] = {}
@@ -35,9 +40,9 @@ def source_name(c: Column) -> Column:
     return F.translate(F.lower(F.regexp_replace(c, r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")), "-", "_")
 
 
-def with_tokens(df: DataFrame, text: str, out: str, path: str = TOKENIZER) -> DataFrame:
+def with_tokens(df: DataFrame, text: str, out: str, path: str | None = None) -> DataFrame:
     """df with the number of tokens of a text by a public byte-level tokenizer; null texts have none."""
-    with open(path, "rb") as f:
+    with open(path or df.sparkSession.conf.get(TOKENIZER_SETTING, TOKENIZER), "rb") as f:
         sent = df.sparkSession.sparkContext.broadcast(f.read())
 
     @F.pandas_udf("bigint")
@@ -54,23 +59,35 @@ def with_tokens(df: DataFrame, text: str, out: str, path: str = TOKENIZER) -> Da
     return df.withColumn(out, count(F.col(text)))
 
 
+def _below(mean: float, cap: int) -> tuple[int, np.ndarray]:
+    """(first, P(count <= k) for k from first on) of a Poisson count, as far as k is below cap and the chance neither 0
+    nor 1. Worked out from logarithms, so that large means don't underflow; about 80 * sqrt(mean) numbers, whatever the
+    cap."""
+    reach = 40 * math.sqrt(mean) + 50
+    first, end = max(0, int(mean - reach)), min(cap, int(mean + reach) + 1)
+    if end <= first:
+        return cap, np.empty(0)
+    k = np.arange(first, end, dtype=float)
+    log_factorial = math.lgamma(first + 1) + np.cumsum(np.log(np.append(1.0, k[1:])))
+    return first, np.minimum(np.cumsum(np.exp(k * math.log(mean) - mean - log_factorial)), 1.0)
+
+
 def capped_mean(mean: float, cap: int) -> float:
     """The mean of a Poisson count that is cut to cap."""
-    total, p = 0.0, math.exp(-mean)
-    below = 0.0
-    for k in range(cap):
-        below += p
-        total += 1 - below
-        p *= mean / (k + 1)
-    return total
+    if mean <= 0:
+        return 0.0
+    first, below = _below(mean, cap)
+    return first + float((1 - below).sum())
 
 
 def poisson_mean(rate: float, cap: int) -> float:
-    """The Poisson mean whose count, cut to cap, has the mean `rate`."""
+    """The Poisson mean whose count, cut to cap, has the mean `rate`. A rate near the cap is only reached at an infinite
+    mean; 0.999 of the cap is the most that is aimed at."""
     if rate <= 0 or cap <= 0:
         return 0.0
+    rate = min(rate, cap * 0.999)
     low, high = 0.0, 1.0
-    while capped_mean(high, cap) < min(rate, cap * 0.999) and high < 700:
+    while capped_mean(high, cap) < rate:
         high *= 2
     for _ in range(80):
         middle = (low + high) / 2
@@ -78,16 +95,14 @@ def poisson_mean(rate: float, cap: int) -> float:
     return high
 
 
-def cumulative(mean: float, cap: int) -> list[float]:
-    """P(count <= k) for k from 0 to cap - 1, up to where it is 1: the count of a draw u is how many are at most u."""
-    out, p, total = [], math.exp(-mean), 0.0
-    for k in range(cap):
-        total += p
-        out.append(total)
-        if total >= 1 - 2**-53 and k > mean:
-            break
-        p *= mean / (k + 1)
-    return out
+def cumulative(mean: float, cap: int) -> tuple[int, list[float]]:
+    """(first, steps): the count of a draw u is first and one for each step that is at most u. Steps are P(count <= k),
+    without those that no draw or any draw is beyond."""
+    if mean <= 0 or cap <= 0:
+        return 0, [1.0]
+    first, below = _below(mean, cap)
+    low, high = (int(np.searchsorted(below, x)) for x in (2.0**-54, 1 - 2.0**-53))
+    return first + low, below[low : high + 1].tolist()
 
 
 def plan_mix(sizes: dict[str, int], targets: dict[str, tuple[float, int]], total: int | None = None, fill: float = FILL) -> dict[str, dict]:
@@ -118,7 +133,7 @@ def _targets(df: DataFrame) -> dict[str, tuple[float, int]]:
     return {r["s"]: (r["t"], r["m"]) for r in rows}
 
 
-def sized(docs: DataFrame, doc: str = "doc_id", text: str = "text", source: str = "source", path: str = TOKENIZER) -> DataFrame:
+def sized(docs: DataFrame, doc: str = "doc_id", text: str = "text", source: str = "source", path: str | None = None) -> DataFrame:
     """(doc, source, n_tokens), written to the shared folder so that each text is tokenized once."""
     rows = with_tokens(docs.select(F.col(doc).alias("doc"), source_name(F.col(source)).alias("source"), F.col(text).alias("text")), "text", "n_tokens", path)
     return cut_lineage(rows.select("doc", "source", "n_tokens"))
@@ -130,14 +145,16 @@ def drawn(sizes: DataFrame, targets: DataFrame, total: int | None = None, seed:
     held = {r["source"]: r["t"] for r in sizes.where(F.col("source").isin(list(wanted))).groupBy("source").agg(F.sum("n_tokens").alias("t")).collect()}
     plan = plan_mix(held, wanted, total)
     spark = sizes.sparkSession
-    rows = [(s, cumulative(p["mean"], p["cap"]) if p["rate"] > 0 else None) for s, p in plan.items()]
-    steps = F.broadcast(spark.createDataFrame(rows, "source string, steps array<double>"))  # at most MAX_SOURCES rows
+    rows = [(s, *(cumulative(p["mean"], p["cap"]) if p["rate"] > 0 else (0, None))) for s, p in plan.items()]
+    steps = spark.createDataFrame(rows, "source string, first int, steps array<double>")
+    if sum(len(x or ()) for _, _, x in rows) <= MAX_STEPS:
+        steps = F.broadcast(steps)
     u = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("doc")), 11) / F.lit(float(1 << 53))
-    uses = F.when(F.col("steps").isNull(), 0).otherwise(F.size(F.filter("steps", lambda c: c <= u)))
+    uses = F.when(F.col("steps").isNull(), 0).otherwise(F.col("first") + F.size(F.filter("steps", lambda c: c <= u)))
     return sizes.join(steps, "source", "left").select("doc", "source", "n_tokens", uses.cast("int").alias("uses")), plan
 
 
-def mixed(docs: DataFrame, targets: DataFrame, total: int | None = None, seed: int = SEED, doc: str = "doc_id", text: str = "text", source: str = "source", path: str = TOKENIZER) -> DataFrame:
+def mixed(docs: DataFrame, targets: DataFrame, total: int | None = None, seed: int = SEED, doc: str = "doc_id", text: str = "text", source: str = "source", path: str | None = None) -> DataFrame:
     """(doc, source, copy_no, n_tokens) in a globally shuffled order, one row per use of a document.
 
     No document is used more often than its source's max_repeats. Null sources and those without a target aren't
@@ -148,7 +165,7 @@ def mixed(docs: DataFrame, targets: DataFrame, total: int | None = None, seed: i
     return used.orderBy(F.xxhash64(F.lit(seed + 1), F.col(doc), F.col("copy_no")), doc, "copy_no")
 
 
-def mix_report(docs: DataFrame, targets: DataFrame, total: int | None = None, seed: int = SEED, doc: str = "doc_id", text: str = "text", source: str = "source", path: str = TOKENIZER) -> DataFrame:
+def mix_report(docs: DataFrame, targets: DataFrame, total: int | None = None, seed: int = SEED, doc: str = "doc_id", text: str = "text", source: str = "source", path: str | None = None) -> DataFrame:
     """One row per source with a target or with documents: what it has, what was wanted and what was drawn.
 
     (source, target_share, wanted_share, max_repeats, docs, tokens, rate, used_docs, uses, used_tokens, actual_share).

@@ -23,15 +23,14 @@ def targets(spark):
     return spark.createDataFrame([("web_articles", 0.7, 1), ("small", 0.29, 4), ("none", 0.1, 2), (None, 0.5, 1), ("zero", None, None)], TARGETS)
 
 
-@pytest.mark.parametrize(("rate", "cap"), [(0.05, 1), (0.9, 1), (1.5, 2), (3.6, 4), (0.5, 1000), (30.0, 100)])
+@pytest.mark.parametrize(("rate", "cap"), [(0.05, 1), (0.9, 1), (1.5, 2), (3.6, 4), (0.5, 1000), (30.0, 100), (800.0, 1000), (900.0, 1000), (2000.0, 10**9), (0.3, 10**9)])
 def test_capped_mean_is_met(rate, cap):
     mean = M.poisson_mean(rate, cap)
     assert abs(M.capped_mean(mean, cap) - rate) < 1e-6
-    steps = M.cumulative(mean, cap)
+    first, steps = M.cumulative(mean, cap)
     assert all(a <= b + 1e-15 for a, b in zip(steps, steps[1:])) and len(steps) <= cap
-    expected = sum(1 - s for s in steps)
-    assert abs(expected - rate) < 1e-6
-    assert abs(steps[0] - math.exp(-mean)) < 1e-12
+    assert abs(first + sum(1 - s for s in steps) - rate) < 1e-6
+    assert first or abs(steps[0] - math.exp(-mean)) < 1e-12
 
 
 def test_plan_limits_scarce_source():
@@ -76,3 +75,12 @@ def test_empty(spark):
     assert M.mixed(docs(spark).limit(0), targets(spark)).count() == 0
     assert M.mixed(docs(spark), targets(spark).limit(0)).count() == 0
     assert M.mix_report(docs(spark).limit(0), targets(spark)).where("used_tokens > 0").count() == 0
+
+
+def test_high_rates_vary(spark):
+    """Each document is used about as often as its rate says, not as often as its cap allows."""
+    rows = spark.range(400).select(F.col("id").alias("doc"), F.lit("a").alias("source"), F.lit(3).cast("bigint").alias("n_tokens"))
+    wanted = spark.createDataFrame([("a", 1.0, 2000)], TARGETS)
+    used, plan = M.drawn(rows, wanted, total=400 * 3 * 800)
+    got = [r["uses"] for r in used.collect()]
+    assert plan["a"]["rate"] == pytest.approx(800) and abs(sum(got) / 400 - 800) < 6 and max(got) < 950 and len(set(got)) > 50
