@@ -73,3 +73,22 @@ def test_registered_pairs_are_all_pairs(spark, sf_dir):
     assert got == want and min(k for *_, k in got) == 1
     n = plain(rows, "tags")[0]
     assert all(r.n_ab >= max(6, n / 1000) for r in T.p5_found(spark, sf_dir).join(T.p5_pairs(spark, sf_dir), ["field", "item_a", "item_b"]).collect())
+
+
+def test_counts_of_billions(spark):
+    rows = [(2 * 10**9, 3 * 10**9, 2 * 10**9, 5 * 10**9), (10**9, 2 * 10**9, 2 * 10**9, 16 * 10**9), (10**9 - 1, 2 * 10**9, 2 * 10**9, 16 * 10**9)]
+    got = T.above_chance(spark.createDataFrame(rows, "n_ab bigint, n_a bigint, n_b bigint, n bigint"), 4).collect()
+    assert [r["n_ab"] for r in got] == [10**9]
+
+
+def test_key_of_a_third_of_the_rows(spark, monkeypatch):
+    rng = random.Random(6)
+    rows = some(200, rng) + [(7, rng.sample([f"i{k}" for k in range(25)], 3), None, "", "") for _ in range(150)]
+    for broadcast in (T.MAX_BROADCAST, 0):
+        monkeypatch.setattr(T, "MAX_BROADCAST", broadcast)
+        got = {tuple(r)[:6] for r in T.pairs_together(spark.createDataFrame(rows, SCHEMA), "proc_id", ["tags", "categories"]).collect()}
+        want = set()
+        for field in ("tags", "categories"):
+            _, single, both = plain(rows, field)
+            want |= {(field, a, b, k, single[a], single[b]) for (a, b), k in both.items()}
+        assert got == want
