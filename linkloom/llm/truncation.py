@@ -3,8 +3,9 @@
 Intact texts are cut artificially, in words and between them, with and without the marks and debris that cutting
 leaves; these are the positives. Texts as they are, and with their last full stop taken off, are the negatives. The
 features are closing characters and words, punctuation and brackets left open, the kind of the last line, whether the
-last word is a known one, whether the last stretch is how other sentences begin, and the length against the limits of
-the source. Limits are lengths that a source has far more often than those around them. Every text is scored.
+last word is a known one, and the length against the limits of the source. Limits are lengths that a source has far more
+often than those around them. Every text is scored. All features come from the length and the last TAIL characters, so
+that much of a text reaches Python; words and lengths are counted over whole texts in the JVM.
 """
 
 from __future__ import annotations
@@ -17,18 +18,19 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..runtime import cut_lineage, table
+from ..runtime import broadcast_within, cut_lineage, spread, table
 from .mixing import source_name
 
 #: Intact texts that the classifier is fitted on, chosen by hash; everything else covers all texts.
 SAMPLE = 12_000
 #: Weights of the classifier.
 DIM = 1 << 18
-#: Bits of a filter for each of its hashes, at least, and the logarithm of the most bits that a filter has (256 MB).
-BITS_EACH, MOST_BITS = 16, 31
+#: Bits of the filter for each known word, at least, and the logarithm of the most bits that it has (128 MB); digits are
+#: masked in words, so that numbers don't fill it.
+BITS_EACH, MOST_BITS = 16, 30
 #: A word is known if this many texts have it with a separator after it, and no fewer than end in it. Words that were
 #: cut stand at ends only, so both counts grow with the corpus and stumps stay unknown at any size.
 MIN_TEXTS = 3
@@ -49,6 +51,7 @@ MARKS = re.compile(
 )
 #: The same at the end for the JVM, as often as they stand there.
 _MARKS_JVM = "(?iU)(?:" + MARKS.pattern.replace("(?P<", "(?<").removesuffix("$") + ")+$"
+_STOPS = (".", "!", "?")
 _ENDED = re.compile(r"[.!?][\"'”’»)\]]*$")
 _SENTENCE = re.compile(r"(?<=[.!?…])[\"'”’»)\]]*\s+|\n+")
 _INNER = re.compile(r"(?<=\w)[.!?](?=\s)")
@@ -66,39 +69,19 @@ def _h(kind: str, value: str) -> int:
     return xxhash.xxh32_intdigest(kind + "\t" + value) & (DIM - 1)
 
 
-def begin_hash(text: str) -> int:
-    """A 63-bit number."""
-    return xxhash.xxh64_intdigest(text) >> 1
-
-
 def word_hash(word: str) -> int:
     """As F.xxhash64, without a sign."""
     return xxhash.xxh64_intdigest(word, seed=42)
 
 
-def beginnings(text: str) -> set[int]:
-    """Hashes of all beginnings, up to 30 characters, of the text's sentences; a whole sentence is not its beginning."""
-    out = set()
-    for s in _SENTENCE.split(text):
-        s = s.strip().lower()
-        whole = len(s.rstrip(".!?…\"'”’»)]"))
-        out.update(begin_hash(s[:n]) for n in range(1, min(31, whole)))
-    return out
-
-
-def begins_own(segment: str, text: str) -> bool:
-    """Whether a sentence of the text itself begins so."""
-    own = (x.strip().lower() for x in _SENTENCE.split(text))
-    return any(x.startswith(segment) and len(segment) < len(x.rstrip(".!?…\"'”’»)]")) for x in own)
-
-
 @dataclass
 class Filter:
-    """A Bloom filter with three places for each hash, in 64-bit cells; their number is a power of two."""
+    """The known words: a Bloom filter with three places for each hash, in 64-bit cells; their number is a power of two."""
 
     cells: np.ndarray
 
-    def __contains__(self, h: int) -> bool:
+    def word(self, w: str) -> bool:
+        h = word_hash(_DIGITS.sub("0", w))
         at, step, mask = h & 0xFFFFFFFF, h >> 32 | 1, 64 * len(self.cells) - 1
         return all(int(self.cells[(at + i * step & mask) >> 6]) >> (at + i * step & 63) & 1 for i in range(3))
 
@@ -115,23 +98,6 @@ def filter_of(hashes: DataFrame, n: int) -> Filter:
     return Filter(cells)
 
 
-@dataclass
-class Known:
-    """What the features ask of the corpus: known words, and how sentences of a text, or of several, begin."""
-
-    words: Filter
-    begins: Filter
-    shared: Filter
-
-    def word(self, w: str) -> bool:
-        return word_hash(w) in self.words
-
-    def begin(self, segment: str, text: str) -> bool:
-        """Whether a sentence of a text other than this one begins so."""
-        h = begin_hash(segment)
-        return h in self.shared or (h in self.begins and not begins_own(segment, text))
-
-
 @dataclass
 class Close:
     """A text's end taken apart."""
@@ -148,7 +114,8 @@ class Close:
 def close_of(text: str) -> Close:
     tail = text[-TAIL:]
     bare = tail.rstrip()
-    m = MARKS.search(bare)
+    # What ends in a full stop can end in no mark but dots or an open tag.
+    m = None if bare[-1:] in _STOPS and not bare.endswith("..") and "<" not in bare else MARKS.search(bare)
     kind = m.lastgroup if m else "none"
     core = bare[: m.start()] if m else bare
     spaced = (m.end() - m.start() > len(m[0].lstrip())) if m else len(tail) > len(bare)
@@ -172,8 +139,8 @@ def close_of(text: str) -> Close:
     return Close(kind, core, spaced, pieces[-1].strip() if pieces else "", last_line, token, shape)
 
 
-def features(text: str, gap: str, known: Known, whole: str | None = None) -> list[int]:
-    """whole is the text that this one was cut from artificially."""
+def features(text: str, gap: str, known: Filter) -> list[int]:
+    """The places of a text's features; its last TAIL characters are enough."""
     c = close_of(text)
     low = _DIGITS.sub("0", c.core[-60:].lower())
     words = _WORD.findall(low)[-3:]
@@ -183,11 +150,11 @@ def features(text: str, gap: str, known: Known, whole: str | None = None) -> lis
     n = len(segment.split())
     glued = bool(low) and low[-1].isalnum()
     is_known = "known" if not glued or known.word(_WORD.findall(c.core[-60:].lower())[-1]) else "unknown"
-    begins = ("begin" if known.begin(segment, whole or text) else "new") if len(segment) <= 30 else "long"
+    size = "short" if len(segment) <= 30 else "long"
     opened = f"{segment.count('(') > segment.count(')')}{segment.count('[') > segment.count(']')}{segment.count(chr(34)) % 2}{segment.count('“') > segment.count('”')}"
     out = [
         _h("bias", ""), _h("kind", c.kind), _h("shape", c.shape), _h("state", state), _h("spaced", f"{c.spaced}{c.kind}"), _h("gapkind", gap + c.kind), _h("gapstate", gap + state), _h("gapknown", gap + c.kind + is_known),
-        _h("known", is_known + c.shape), _h("begins", begins + state), _h("n", f"{min(n, 12)}{c.shape}"), _h("open", opened + c.shape), _h("w1", w1 + c.shape), _h("w2", " ".join(words[-2:]) + c.shape), _h("w3", " ".join(words) + c.shape),
+        _h("known", is_known + c.shape), _h("size", size + state), _h("n", f"{min(n, 12)}{c.shape}"), _h("open", opened + c.shape), _h("w1", w1 + c.shape), _h("w2", " ".join(words[-2:]) + c.shape), _h("w3", " ".join(words) + c.shape),
         _h("first", segment.split()[0] if n else ""), _h("item", f"{c.shape}{min(len(c.last_line.split()), 6)}{is_known}"),
     ]
     out += [_h(f"c{k}", low[-k:]) for k in range(1, 8)]
@@ -203,21 +170,22 @@ def gap_of(length: int, limits: list[int]) -> str:
     return "0" if g == 0 else "1-3" if g <= 3 else "4-16" if g <= 16 else "far"
 
 
-def looks_intact(text: str, gap: str, known: Known) -> bool:
+def looks_intact(text: str, gap: str) -> bool:
     """Whether a text may serve as one that is whole: it ends as sentences, addresses, tags, lists and the like do, and
-    not at its source's limit. A few dots count as an end after words that begin no other sentence."""
+    not at its source's limit. Dots count as an end after a few words that follow a sentence."""
     c = close_of(text)
     if gap not in ("none", "far"):
         return False
     if c.kind in ("ell", "dots"):
-        return not c.spaced and 0 < len(c.segment) <= 30 and c.segment != c.core and not known.begin(c.segment.lower(), text)
+        return not c.spaced and 0 < len(c.segment) <= 30 and c.segment != c.core
     return c.kind == "none" and c.shape not in ("letter", "digit", "stop", "first", "empty")
 
 
-_TAILS = ("…", "...", " […]", " [...]", "... Read more", " ... Read more", " (more)", "… [+{n} chars]", "\n[connection closed]", "�", "&am", "&nbs", "<a hre", "<p cla", "")
+#: What artificial cuts leave at the end.
+TAILS = ("…", "...", " […]", " [...]", "... Read more", " ... Read more", " (more)", "… [+{n} chars]", "\n[connection closed]", "�", "&am", "&nbs", "<a hre", "<p cla", "")
 
 
-def examples(text: str, gap: str, limits: bool, rng: random.Random) -> list[tuple[str, str, int]]:
+def examples(text: str, gap: str, limits: bool, rng: random.Random, tails: tuple[str, ...] = TAILS) -> list[tuple[str, str, int]]:
     """Training examples, as (text, gap, label), of one intact text: itself, without its full stop, up to the ends of sentences within it, also
     without full stop, and cut in three places."""
     chance = lambda p: rng.random() < p
@@ -237,7 +205,7 @@ def examples(text: str, gap: str, limits: bool, rng: random.Random) -> list[tupl
             kept = kept.rsplit(None, 1)[0] if " " in kept else kept
         if close_of(kept).shape in ("ended", "empty") or bare[at:].strip(".!?\"')") == "":
             continue
-        tail = "" if plain else rng.choice(_TAILS).format(n=rng.randrange(20, 2000))
+        tail = "" if plain else rng.choice(tails).format(n=rng.randrange(20, 2000))
         near = ("0" if plain else rng.choice(("0", "1-3", "4-16"))) if limits and chance(0.6) else gap
         out.append((kept + tail, near, 1))
     return out
@@ -261,27 +229,24 @@ def fit(x: np.ndarray, labels: np.ndarray, epochs: int = 4, batch: int = 128, ra
     return w
 
 
-def source_limits(docs: DataFrame, text: str, source: Column) -> DataFrame:
-    """(source, limits): the lengths that texts of a source were cut at. Counted over all texts; the driver sees none."""
-    counts = docs.where(F.col(text).isNotNull()).groupBy(source.alias("source"), F.length(text).alias("size")).agg(F.count("*").alias("n"))
-
-    def spikes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            found = {}
-            for s, sizes, n in zip(b["source"], b["sizes"], b["n"]):
-                by = dict(zip(sizes.tolist(), n.tolist()))
-                found[s] = [k for k, v in by.items() if v >= LIMIT_TEXTS and v >= LIMIT_TIMES * max(0.5, (sum(by.get(k + d, 0) for d in range(-LIMIT_AROUND, LIMIT_AROUND + 1)) - v) / (2 * LIMIT_AROUND))]
-            yield pd.DataFrame({"source": list(found), "limits": [sorted(x) for x in found.values()]})
-
-    # One row per source: as many pairs as a source has different lengths.
-    listed = counts.groupBy("source").agg(F.collect_list(F.struct("size", "n")).alias("x")).select("source", F.col("x.size").alias("sizes"), F.col("x.n").alias("n"))
-    return listed.mapInPandas(spikes, "source string, limits array<bigint>")
+def source_limits(docs: DataFrame, text: str, source: Column) -> tuple[DataFrame, int]:
+    """((source, limits), texts): the lengths that texts of a source were cut at, and the number of texts. Counted over
+    all texts. The lengths around one are in its block or a neighbour, so each block is sent to three places and none
+    has more than 3 * LIMIT_AROUND lengths."""
+    counts = cut_lineage(docs.where(F.col(text).isNotNull()).groupBy(source.alias("source"), F.length(text).alias("size")).agg(F.count("*").alias("n")))
+    block = F.floor(F.col("size") / LIMIT_AROUND)
+    near = Window.partitionBy("source", "block").orderBy("size").rangeBetween(-LIMIT_AROUND, LIMIT_AROUND)
+    spread = counts.withColumn("own", block).withColumn("block", F.explode(F.array(F.col("own") - 1, F.col("own"), F.col("own") + 1)))
+    mean = (F.sum("n").over(near) - F.col("n")) / (2.0 * LIMIT_AROUND)
+    spikes = spread.withColumn("mean", mean).where((F.col("own") == F.col("block")) & (F.col("n") >= LIMIT_TEXTS) & (F.col("n") >= LIMIT_TIMES * F.greatest(F.lit(0.5), "mean")))
+    limits = spikes.groupBy("source").agg(F.array_sort(F.collect_list(F.col("size").cast("bigint"))).alias("limits"))
+    return cut_lineage(limits), counts.agg(F.sum("n")).first()[0] or 0
 
 
 def known_words(docs: DataFrame, text: str) -> Filter:
     """The words that MIN_TEXTS texts have with a separator after them, marks of cutting aside, and that no more texts
     end in. Over all texts; the driver gets the cells of the filter."""
-    bare = F.regexp_replace(F.lower(F.col(text)), r"(?U)\s+$", "")
+    bare = F.translate(F.regexp_replace(F.lower(F.col(text)), r"(?U)\s+$", ""), "123456789", "0" * 9)
     core = F.concat(F.expr(f"substring(_bare, 1, greatest(length(_bare) - {TAIL}, 0))"), F.regexp_replace(F.expr(f"right(_bare, {TAIL})"), _MARKS_JVM, ""))
     parts = docs.select(bare.alias("_bare")).select(F.split(core, r"[^\p{L}\p{N}]+").alias("p"))
     # The last part is the word that the text ends in, or empty.
@@ -291,48 +256,16 @@ def known_words(docs: DataFrame, text: str) -> Filter:
     return filter_of(hashes, hashes.count())
 
 
-def known_begins(rows: DataFrame, picked: Column) -> tuple[Filter, Filter]:
-    """Of the last stretches that features will ask about, in texts and in examples of the picked ones, those that a
-    text's sentences begin with, and those that sentences of two different texts begin with. Beginnings come from all
-    texts; the filters hold only what is asked, at most a stretch a text and a few an example."""
-
-    def begin(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            found, asked = [np.empty(0, np.int64)], set()
-            texts = [np.empty(0, np.int64)]
-            for d, t, limits, p in zip(b["doc"], b["text"], b["limits"], b["picked"]):
-                own = beginnings(t)
-                found.append(np.fromiter(own, np.int64, len(own)))
-                texts.append(np.full(len(own), xxhash.xxh64_intdigest(t) >> 1, np.int64))
-                limits = [] if limits is None else limits.tolist()
-                made = examples(t, gap_of(len(t), limits), bool(limits), random.Random(int(d))) if p else []
-                segments = {close_of(x).segment.lower() for x in (t, *(x for x, _, _ in made))}
-                asked.update(begin_hash(x) for x in segments if 0 < len(x) <= 30)
-            h, text = np.concatenate(found), np.concatenate(texts)
-            order = np.argsort(h, kind="stable")
-            h, text = h[order], text[order]
-            starts = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.empty(0, np.int64)
-            lo, hi = (np.minimum.reduceat(text, starts), np.maximum.reduceat(text, starts)) if len(h) else (text, text)
-            yield pd.DataFrame({"h": h[starts], "lo": lo, "hi": hi, "asked": False})
-            yield pd.DataFrame({"h": np.fromiter(asked, np.int64, len(asked)), "lo": np.iinfo(np.int64).max, "hi": -1, "asked": True})
-
-    seen = rows.select("doc", "text", "limits", picked.alias("picked")).mapInPandas(begin, "h bigint, lo bigint, hi bigint, asked boolean")
-    both = seen.groupBy("h").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.bool_or("asked").alias("asked"))
-    found = cut_lineage(both.where(F.col("asked") & (F.col("hi") >= 0)).select("h", (F.col("lo") < F.col("hi")).alias("shared")))
-    n = found.agg(F.count("*"), F.count_if("shared")).first()
-    return filter_of(found, n[0]), filter_of(found.where("shared"), n[1])
-
-
 def _sample(doc: str, rows: int, total: int) -> Column:
     """Whether a text is one of about `rows` chosen by a hash of their number."""
-    share = min(1.0, rows / max(1, total))
-    return F.pmod(F.xxhash64(F.lit(17), F.col(doc)), F.lit(1_000_000)) < int(share * 1_000_000)
+    least = (1 << 64) * rows // max(rows, total, 1) - (1 << 63)
+    return F.xxhash64(F.lit(17), F.col(doc)) < min(least, (1 << 63) - 1)
 
 
 @dataclass
 class Model:
     weights: np.ndarray
-    known: Known
+    known: Filter
 
     def score(self, texts: list[str], gaps: list[str]) -> np.ndarray:
         if not len(texts):
@@ -341,13 +274,12 @@ class Model:
         return 1 / (1 + np.exp(-self.weights[x].sum(axis=1)))
 
 
-def train(rows: DataFrame, sample: int = SAMPLE, total: int | None = None) -> Model:
-    """Fit on (doc, text, limits). About twice `sample` texts are looked at, so that `sample` of them are intact."""
-    spark = rows.sparkSession
-    picked = _sample("doc", 2 * sample, rows.count() if total is None else total)
-    part = rows.where(picked)
-    known = Known(known_words(rows, "text"), *known_begins(rows, picked))
-    sent = spark.sparkContext.broadcast(known)
+def train(rows: DataFrame, total: int, sample: int = SAMPLE, tails: tuple[str, ...] = TAILS) -> Model | None:
+    """Fit on (doc, text, limits). About twice `sample` texts are looked at, so that `sample` of them are intact. None
+    where not one text looks intact, so that there is nothing to learn from."""
+    part = rows.where(_sample("doc", 2 * sample, total))
+    known = known_words(rows, "text")
+    sent = rows.sparkSession.sparkContext.broadcast(known)
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         k = sent.value
@@ -356,48 +288,51 @@ def train(rows: DataFrame, sample: int = SAMPLE, total: int | None = None) -> Mo
             for d, t, limits in zip(b["doc"], b["text"], b["limits"]):
                 limits = [] if limits is None else limits.tolist()
                 gap = gap_of(len(t), limits)
-                if t.strip() and looks_intact(t, gap, k):
-                    made += [(features(x, g, k, t), y) for x, g, y in examples(t, gap, bool(limits), random.Random(int(d)))]
+                if looks_intact(t, gap):
+                    made += [(features(x, g, k), y) for x, g, y in examples(t, gap, bool(limits), random.Random(int(d)), tails)]
             if made:
                 yield pd.DataFrame({"x": [np.array([x for x, _ in made], np.int32).tobytes()], "y": [np.array([y for _, y in made], np.int8).tobytes()]})
 
     got = part.mapInPandas(make, "x binary, y binary").toArrow().to_pylist()
     if not got:
-        return Model(np.zeros(DIM), known)
+        return None
     labels = np.frombuffer(b"".join(r["y"] for r in got), np.int8)
     return Model(fit(np.frombuffer(b"".join(r["x"] for r in got), np.int32).reshape(len(labels), -1), labels.astype(float)), known)
 
 
-def scored(docs: DataFrame, doc: str = "doc_id", text: str = "text", source: str = "source", sample: int = SAMPLE) -> DataFrame:
+def scored(docs: DataFrame, doc: str = "doc_id", text: str = "text", source: str = "source", sample: int = SAMPLE, tails: tuple[str, ...] = TAILS) -> DataFrame:
     """(doc, source, score): of each text the probability that it was cut.
 
     The source is trimmed, in lower case, with underscores; null stays null and has limits of its own. Null and blank
-    texts have the score 0: nothing is left that could have been cut. Empty tables give no rows. A text given twice is
-    scored twice, alike.
+    texts have the score 0: nothing is left that could have been cut. Where no text looks intact, so that there is
+    nothing to learn from, the others have a null score: it isn't known. Empty tables give no rows. A text given twice
+    is scored twice, alike.
     """
     name = source_name(F.col(source))
-    limits = source_limits(docs, text, name).withColumnRenamed("source", "_s")
-    small = limits.limit(MAX_SOURCES + 1).collect()
-    if len(small) <= MAX_SOURCES:
-        limits = F.broadcast(docs.sparkSession.createDataFrame(small, limits.schema))
+    docs = spread(docs)
+    limits, total = source_limits(docs, text, name)
+    limits = broadcast_within(limits.withColumnRenamed("source", "_s"), MAX_SOURCES)
     key = docs.select(F.col(doc).alias("doc"), F.col(text).alias("text"), name.alias("source"))
     rows = key.join(limits, F.col("source").eqNullSafe(F.col("_s")), "left")
-    texts = rows.where(F.col("text").rlike(r"\S"))
-    model = train(texts.select(F.xxhash64("doc").alias("doc"), "text", "limits"), sample)
+    seen = F.col("text").rlike(r"(?U)\S")
+    model = train(rows.where(seen).select(F.xxhash64("doc").alias("doc"), "text", "limits"), total, sample, tails)
+    if model is None:
+        return rows.select(F.col("doc").alias(doc), "source", F.when(F.coalesce(seen, F.lit(False)), F.lit(None)).otherwise(0.0).cast("double").alias("score"))
     sent = docs.sparkSession.sparkContext.broadcast(Model(model.weights.astype(np.float32), model.known))
     kind = docs.schema[doc].dataType.simpleString()
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = sent.value
         for b in batches:
-            there = [t is not None and bool(t.strip()) for t in b["text"]]
+            there = b["size"].notna().to_numpy()
             picked = b[there]
             out = np.zeros(len(b))
-            out[np.array(there, bool)] = m.score(list(picked["text"]), [gap_of(len(t), [] if x is None else x.tolist()) for t, x in zip(picked["text"], picked["limits"])])
+            out[there] = m.score(list(picked["tail"]), [gap_of(int(n), [] if x is None else x.tolist()) for n, x in zip(picked["size"], picked["limits"])])
             yield pd.DataFrame({doc: b["doc"], "source": b["source"], "score": out})
 
     # Keys travel as text: pandas would turn whole numbers beside a null into floats.
-    return rows.select(F.col("doc").cast("string").alias("doc"), "text", "source", "limits").mapInPandas(score, f"{doc} string, source string, score double").withColumn(doc, F.col(doc).cast(kind))
+    tails_only = rows.select(F.col("doc").cast("string").alias("doc"), "source", F.when(seen, F.length("text")).alias("size"), F.expr(f"right(text, {TAIL})").alias("tail"), "limits")
+    return tails_only.mapInPandas(score, f"{doc} string, source string, score double").withColumn(doc, F.col(doc).cast(kind))
 
 
 def truncation_rates(docs: DataFrame, **columns) -> DataFrame:

@@ -50,8 +50,8 @@ def test_limits(spark):
     rows, _ = corpus()
     from pyspark.sql import functions as F
 
-    got = {r["source"]: r["limits"] for r in T.source_limits(spark.createDataFrame(rows, SCHEMA), "text", T.source_name(F.col("source"))).collect()}
-    assert got == {"feed_items": [200], "books": []}
+    got = {r["source"]: r["limits"] for r in T.source_limits(spark.createDataFrame(rows, SCHEMA), "text", T.source_name(F.col("source")))[0].collect()}
+    assert got == {"feed_items": [200]}
 
 
 def test_rates(spark):
@@ -78,26 +78,54 @@ def test_closings(text, kind, shape):
 def test_stumps_stay_unknown(spark):
     ends = ["", "…", "...", " [...]", "… [+40 chars]", "\n[connection closed]", "�", "&am", "<a hre", "...\n[cut]", " \n"]
     rows = [(i, f"The government of river {i} opens. A new gover{e}", "books", 0, 0) for i, e in enumerate(ends * 4)]
-    known = T.Known(T.known_words(spark.createDataFrame(rows, SCHEMA), "text"), None, None)
+    known = T.known_words(spark.createDataFrame(rows, SCHEMA), "text")
     assert [known.word(w) for w in ("government", "river", "opens", "new", "gover")] == [True, True, True, True, False]
     rows += [(100 + i, "A gover slip is in few texts.", "books", 0, 0) for i in range(3)]
-    assert not T.Known(T.known_words(spark.createDataFrame(rows, SCHEMA), "text"), None, None).word("gover")
+    assert not T.known_words(spark.createDataFrame(rows, SCHEMA), "text").word("gover")
 
 
 def test_filter_of_words_grows(spark):
-    n = 200_000
-    words = T.known_words(spark.range(3).selectExpr(f"concat_ws(' ', transform(sequence(1, {n}), x -> concat('w', x)), '.') AS text"), "text")
-    assert all(T.word_hash(f"w{i}") in words for i in range(1, n, 7)) and sum(T.word_hash(f"v{i}") in words for i in range(20_000)) < 400
+    """Numbers are one word each by their length, and a filter has room for all others."""
+    name = "concat('w', translate(cast(x AS string), '0123456789', 'abcdefghij'))"
+    words = T.known_words(spark.range(3).selectExpr(f"concat_ws(' ', transform(sequence(1, 200000), x -> {name}), 'x12', '.') AS text"), "text")
+    letters = lambda i: "".join("abcdefghij"[int(c)] for c in str(i))
+    assert all(words.word("w" + letters(i)) for i in range(1, 200_000, 7)) and sum(words.word("v" + letters(i)) for i in range(20_000)) < 400
+    assert words.word("x34") and not words.word("x5")
 
 
-def test_beginnings_of_other_texts(spark, monkeypatch):
+def test_nothing_to_learn_from(spark):
+    rows = [(i, f"note without any end {i}", "notes", 0, 0) for i in range(40)] + [(41, None, "notes", 0, 0)]
+    got = {r["doc_id"]: r["score"] for r in T.scored(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert len(got) == 41 and got[41] == 0.0 and all(v is None for k, v in got.items() if k != 41)
+    assert T.truncation_rates(spark.createDataFrame(rows, SCHEMA)).first()["cut_docs"] == 0
+
+
+def test_sample_of_any_size(spark):
+    rows = spark.range(100_000)
+    assert rows.where(T._sample("id", 500, 1000)).count() == pytest.approx(50_000, rel=0.02)
+    assert rows.where(T._sample("id", 500, 200)).count() == 100_000
+    assert 5 < spark.range(40_000_000).where(T._sample("id", 500_000, 10**12)).count() < 50  # 20, where a millionth would be the least
+
+
+def test_lengths_of_one_source(spark):
     from pyspark.sql import functions as F
 
-    rows = [(0, "A first one. Quite late the"), (1, "Quite late the river rose. Only here"), (2, "Only here it stands. Only here it stays"), (2, "Only here it stands. Only here it stays")]
-    df = spark.createDataFrame([(d, t, None) for d, t in rows], "doc bigint, text string, limits array<bigint>")
-    known = T.Known(None, *T.known_begins(df, F.lit(False)))  # all texts count, whichever are examples
-    assert known.begin("quite late the", rows[0][1]) and known.begin("only here", rows[1][1])
-    assert not known.begin("quite late the", rows[1][1])  # a text cut artificially knows no beginnings of its own
-    assert not known.begin("only here it stays", rows[2][1]) and not known.begin("never", rows[0][1])
-    twice = spark.createDataFrame([(d, "Same words stand here. Same words", None) for d in range(2)], df.schema)
-    assert not T.Known(None, *T.known_begins(twice, F.lit(False))).begin("same words", "Same words stand here. Same words")
+    lengths = spark.range(30_000).select(F.lit("s").alias("source"), F.expr("repeat('x', cast(IF(id % 3 = 0, 977, 400 + pmod(id * 7919, 2000)) AS int))").alias("text"))
+    limits, n = T.source_limits(lengths, "text", F.col("source"))
+    assert limits.first()["limits"] == [977] and n == 30_000
+
+
+def test_marks_not_seen_in_training(spark):
+    """Recall on texts cut with marks that training leaves out, whether the patterns of marks have them or not."""
+    rng = random.Random(11)
+    left_out = ("... Read more", " [...]", "\n[connection closed]", "<a hre", " >>", " (continued on next page", " ~~")
+    rows, cut = corpus(900, 3)
+    for i in range(210):
+        text = whole(rng)
+        rows.append((5000 + i, text[: rng.randrange(25, len(text) - 30)].rstrip(". ") + left_out[i % len(left_out)], "books", 0, 0))
+    tails = tuple(t for t in T.TAILS if t.strip() not in {x.strip() for x in left_out})
+    scores = {r["doc_id"]: r["score"] for r in T.scored(spark.createDataFrame(rows, SCHEMA), tails=tails).collect()}
+    found = [scores[5000 + i] >= 0.5 for i in range(210)]
+    by_mark = {m: sum(found[i] for i in range(k, 210, len(left_out))) / 30 for k, m in enumerate(left_out)}
+    print(by_mark)
+    assert sum(found) / len(found) > 0.8, by_mark
