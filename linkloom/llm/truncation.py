@@ -12,11 +12,13 @@ from __future__ import annotations
 
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -49,8 +51,10 @@ MARKS = re.compile(
     r"|(?P<broken>�+)|(?P<entity>&#?\w{0,8})|(?P<tag><[a-z/!][^<>]*)|(?P<ell>…)|(?P<dots>\.\.\.))$",
     re.IGNORECASE,
 )
-#: The same at the end for the JVM, as often as they stand there.
-_MARKS_JVM = "(?iU)(?:" + MARKS.pattern.replace("(?P<", "(?<").removesuffix("$") + ")+$"
+#: Characters of the longest mark that isn't an open tag.
+LONGEST_MARK = 60
+#: Distinct words that a task counts before it passes them on.
+TASK_WORDS = 500_000
 _STOPS = (".", "!", "?")
 _ENDED = re.compile(r"[.!?][\"'”’»)\]]*$")
 _SENTENCE = re.compile(r"(?<=[.!?…])[\"'”’»)\]]*\s+|\n+")
@@ -98,6 +102,16 @@ def filter_of(hashes: DataFrame, n: int) -> Filter:
     return Filter(cells)
 
 
+_ZEROS = str.maketrans("123456789", "0" * 9)
+
+
+def _bare_of_marks(tail: str) -> str:
+    """The end of a text without the marks of cutting, as often as they stand there."""
+    while (c := close_of(tail)).kind != "none":
+        tail = c.core
+    return c.core
+
+
 @dataclass
 class Close:
     """A text's end taken apart."""
@@ -114,8 +128,11 @@ class Close:
 def close_of(text: str) -> Close:
     tail = text[-TAIL:]
     bare = tail.rstrip()
-    # What ends in a full stop can end in no mark but dots or an open tag.
-    m = None if bare[-1:] in _STOPS and not bare.endswith("..") and "<" not in bare else MARKS.search(bare)
+    tag = bare.rfind("<")
+    # What ends in a full stop can end in no mark but dots or an open tag; other marks are short.
+    at = len(bare) if bare.endswith(_STOPS) and not bare.endswith("..") else max(0, len(bare) - LONGEST_MARK)
+    at = at if tag < 0 else min(at, len(bare[:tag].rstrip()))
+    m = MARKS.search(bare, at) if at < len(bare) else None
     kind = m.lastgroup if m else "none"
     core = bare[: m.start()] if m else bare
     spaced = (m.end() - m.start() > len(m[0].lstrip())) if m else len(tail) > len(bare)
@@ -229,30 +246,64 @@ def fit(x: np.ndarray, labels: np.ndarray, epochs: int = 4, batch: int = 128, ra
     return w
 
 
-def source_limits(docs: DataFrame, text: str, source: Column) -> tuple[DataFrame, int]:
-    """((source, limits), texts): the lengths that texts of a source were cut at, and the number of texts. Counted over
-    all texts. The lengths around one are in its block or a neighbour, so each block is sent to three places and none
-    has more than 3 * LIMIT_AROUND lengths."""
-    counts = cut_lineage(docs.where(F.col(text).isNotNull()).groupBy(source.alias("source"), F.length(text).alias("size")).agg(F.count("*").alias("n")))
+_COUNTS = pa.schema([("source", pa.string()), ("size", pa.int32()), ("h", pa.int64()), ("n", pa.int64()), ("ends", pa.int64())])
+
+
+def _count_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of a task's texts: by source and length, and by word how many texts have it with a separator after it and
+    how many end in it, marks of cutting aside."""
+    sizes, inner, ends = Counter(), Counter(), Counter()
+
+    def words() -> pa.RecordBatch:
+        every = list(inner.keys() | ends.keys())
+        h = np.array([word_hash(w) for w in every], np.uint64).view(np.int64)
+        n = [pa.array([c[w] for w in every], pa.int64()) for c in (inner, ends)]
+        inner.clear()
+        ends.clear()
+        return pa.RecordBatch.from_arrays([pa.nulls(len(every), pa.string()), pa.nulls(len(every), pa.int32()), pa.array(h), *n], schema=_COUNTS)
+
+    for b in batches:
+        for source, t in zip(b.column("source").to_pylist(), b.column("text").to_pylist()):
+            sizes[source, len(t)] += 1
+            core = t.rstrip()
+            if not core.endswith(_STOPS) or core.endswith(".."):
+                tail = core[-TAIL:]
+                core = core[: len(core) - len(tail)] + _bare_of_marks(tail)
+            own = _WORD.findall(core.lower().translate(_ZEROS))
+            if own and core[-1].isalnum():
+                ends[own.pop()] += 1
+            inner.update(set(own))
+        if len(inner) + len(ends) > TASK_WORDS:
+            yield words()
+    yield words()
+    k = len(sizes)
+    counted = [pa.array([x[0] for x in sizes], pa.string()), pa.array([x[1] for x in sizes], pa.int32()), pa.nulls(k, pa.int64()), pa.array(list(sizes.values()), pa.int64()), pa.nulls(k, pa.int64())]
+    yield pa.RecordBatch.from_arrays(counted, schema=_COUNTS)
+
+
+def corpus_counts(docs: DataFrame, text: str, source: Column) -> DataFrame:
+    """(source, size, h, n, ends): of all texts how many have each length, by source, and each word. One pass."""
+    texts = docs.where(F.col(text).isNotNull()).select(source.alias("source"), F.col(text).alias("text"))
+    counted = texts.mapInArrow(_count_texts, "source string, size int, h bigint, n bigint, ends bigint")
+    return cut_lineage(counted.groupBy("source", "size", "h").agg(F.sum("n").alias("n"), F.sum("ends").alias("ends")))
+
+
+def source_limits(counts: DataFrame) -> DataFrame:
+    """(source, limits): the lengths that texts of a source were cut at. The lengths around one are in its block or a
+    neighbour, so each block is sent to three places and none has more than 3 * LIMIT_AROUND lengths."""
+    counts = counts.where("size is not null").select("source", "size", "n")
     block = F.floor(F.col("size") / LIMIT_AROUND)
     near = Window.partitionBy("source", "block").orderBy("size").rangeBetween(-LIMIT_AROUND, LIMIT_AROUND)
-    spread = counts.withColumn("own", block).withColumn("block", F.explode(F.array(F.col("own") - 1, F.col("own"), F.col("own") + 1)))
+    spread_out = counts.withColumn("own", block).withColumn("block", F.explode(F.array(F.col("own") - 1, F.col("own"), F.col("own") + 1)))
     mean = (F.sum("n").over(near) - F.col("n")) / (2.0 * LIMIT_AROUND)
-    spikes = spread.withColumn("mean", mean).where((F.col("own") == F.col("block")) & (F.col("n") >= LIMIT_TEXTS) & (F.col("n") >= LIMIT_TIMES * F.greatest(F.lit(0.5), "mean")))
-    limits = spikes.groupBy("source").agg(F.array_sort(F.collect_list(F.col("size").cast("bigint"))).alias("limits"))
-    return cut_lineage(limits), counts.agg(F.sum("n")).first()[0] or 0
-
-
-def known_words(docs: DataFrame, text: str) -> Filter:
-    """The words that MIN_TEXTS texts have with a separator after them, marks of cutting aside, and that no more texts
-    end in. Over all texts; the driver gets the cells of the filter."""
-    bare = F.translate(F.regexp_replace(F.lower(F.col(text)), r"(?U)\s+$", ""), "123456789", "0" * 9)
-    core = F.concat(F.expr(f"substring(_bare, 1, greatest(length(_bare) - {TAIL}, 0))"), F.regexp_replace(F.expr(f"right(_bare, {TAIL})"), _MARKS_JVM, ""))
-    parts = docs.select(bare.alias("_bare")).select(F.split(core, r"[^\p{L}\p{N}]+").alias("p"))
-    # The last part is the word that the text ends in, or empty.
-    words = F.concat(F.transform(F.array_distinct(F.slice("p", 1, F.size("p") - 1)), lambda w: F.struct(w.alias("w"), F.lit(1).alias("inner"))), F.array(F.struct(F.element_at("p", -1).alias("w"), F.lit(0).alias("inner"))))
-    counts = parts.select(F.inline(words)).where("w <> ''").groupBy("w").agg(F.sum("inner").alias("n"), F.sum(1 - F.col("inner")).alias("ends"))
-    hashes = cut_lineage(counts.where((F.col("n") >= MIN_TEXTS) & (F.col("n") >= F.col("ends"))).select(F.xxhash64("w").alias("h")))
+    spikes = spread_out.withColumn("mean", mean).where((F.col("own") == F.col("block")) & (F.col("n") >= LIMIT_TEXTS) & (F.col("n") >= LIMIT_TIMES * F.greatest(F.lit(0.5), "mean")))
+    return cut_lineage(spikes.groupBy("source").agg(F.array_sort(F.collect_list(F.col("size").cast("bigint"))).alias("limits")))
+
+
+def known_words(counts: DataFrame) -> Filter:
+    """The words that MIN_TEXTS texts have with a separator after them and that no more texts end in. The driver gets the
+    cells of the filter."""
+    hashes = cut_lineage(counts.where("h is not null").where((F.col("n") >= MIN_TEXTS) & (F.col("n") >= F.col("ends"))).select("h"))
     return filter_of(hashes, hashes.count())
 
 
@@ -274,11 +325,10 @@ class Model:
         return 1 / (1 + np.exp(-self.weights[x].sum(axis=1)))
 
 
-def train(rows: DataFrame, total: int, sample: int = SAMPLE, tails: tuple[str, ...] = TAILS) -> Model | None:
-    """Fit on (doc, text, limits). About twice `sample` texts are looked at, so that `sample` of them are intact. None
+def train(rows: DataFrame, known: Filter, total: int, sample: int = SAMPLE, tails: tuple[str, ...] = TAILS) -> Model | None:
+    """Fit on (doc, text, limits) of `total` texts. About twice `sample` texts are looked at, so that `sample` of them are intact. None
     where not one text looks intact, so that there is nothing to learn from."""
     part = rows.where(_sample("doc", 2 * sample, total))
-    known = known_words(rows, "text")
     sent = rows.sparkSession.sparkContext.broadcast(known)
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -310,12 +360,13 @@ def scored(docs: DataFrame, doc: str = "doc_id", text: str = "text", source: str
     """
     name = source_name(F.col(source))
     docs = spread(docs)
-    limits, total = source_limits(docs, text, name)
-    limits = broadcast_within(limits.withColumnRenamed("source", "_s"), MAX_SOURCES)
+    counts = corpus_counts(docs, text, name)
+    limits = broadcast_within(source_limits(counts).withColumnRenamed("source", "_s"), MAX_SOURCES)
+    total = counts.where("size is not null").agg(F.sum("n")).first()[0] or 0
     key = docs.select(F.col(doc).alias("doc"), F.col(text).alias("text"), name.alias("source"))
     rows = key.join(limits, F.col("source").eqNullSafe(F.col("_s")), "left")
     seen = F.col("text").rlike(r"(?U)\S")
-    model = train(rows.where(seen).select(F.xxhash64("doc").alias("doc"), "text", "limits"), total, sample, tails)
+    model = train(rows.where(seen).select(F.xxhash64("doc").alias("doc"), "text", "limits"), known_words(counts), total, sample, tails)
     if model is None:
         return rows.select(F.col("doc").alias(doc), "source", F.when(F.coalesce(seen, F.lit(False)), F.lit(None)).otherwise(0.0).cast("double").alias("score"))
     sent = docs.sparkSession.sparkContext.broadcast(Model(model.weights.astype(np.float32), model.known))
