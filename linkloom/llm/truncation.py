@@ -24,17 +24,16 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..runtime import broadcast_within, cut_lineage, spread, table
+from .filters import Filter, filter_of
 from .mixing import source_name
 
 #: Intact texts that the classifier is fitted on, chosen by hash; everything else covers all texts.
 SAMPLE = 12_000
 #: Weights of the classifier.
 DIM = 1 << 18
-#: Bits of the filter for each known word, at least, and the logarithm of the most bits that it has (128 MB); digits are
-#: masked in words, so that numbers don't fill it.
-BITS_EACH, MOST_BITS = 16, 30
 #: A word is known if this many texts have it with a separator after it, and no fewer than end in it. Words that were
-#: cut stand at ends only, so both counts grow with the corpus and stumps stay unknown at any size.
+#: cut stand at ends only, so both counts grow with the corpus and stumps stay unknown at any size. Digits are
+#: masked in words, so that numbers don't fill the filter.
 MIN_TEXTS = 3
 #: A length is a limit if at least LIMIT_TEXTS texts of a source have it and LIMIT_TIMES as many as the lengths around.
 LIMIT_TEXTS, LIMIT_TIMES, LIMIT_AROUND = 5, 6.0, 25
@@ -78,28 +77,8 @@ def word_hash(word: str) -> int:
     return xxhash.xxh64_intdigest(word, seed=42)
 
 
-@dataclass
-class Filter:
-    """The known words: a Bloom filter with three places for each hash, in 64-bit cells; their number is a power of two."""
-
-    cells: np.ndarray
-
-    def word(self, w: str) -> bool:
-        h = word_hash(_DIGITS.sub("0", w))
-        at, step, mask = h & 0xFFFFFFFF, h >> 32 | 1, 64 * len(self.cells) - 1
-        return all(int(self.cells[(at + i * step & mask) >> 6]) >> (at + i * step & 63) & 1 for i in range(3))
-
-
-def filter_of(hashes: DataFrame, n: int) -> Filter:
-    """The filter of the n hashes in column h, sized by n. Tasks set the bits of cells; the driver gets the cells."""
-    size = min(MOST_BITS, max(6, (BITS_EACH * n - 1).bit_length()))
-    step = F.shiftrightunsigned("h", 32).bitwiseOR(F.lit(1))
-    places = F.array(*[(F.col("h").bitwiseAND(F.lit(0xFFFFFFFF)) + i * step).bitwiseAND(F.lit((1 << size) - 1)) for i in range(3)])
-    set_bits = hashes.select(F.explode(places).alias("p")).select(F.shiftright("p", 6).alias("cell"), F.expr("shiftleft(1L, CAST(p & 63 AS INT))").alias("bit"))
-    got = set_bits.groupBy("cell").agg(F.bit_or("bit").alias("bits")).toArrow()
-    cells = np.zeros(1 << (size - 6), np.uint64)
-    cells[got["cell"].to_numpy()] = got["bits"].to_numpy().astype(np.int64).view(np.uint64)
-    return Filter(cells)
+def is_known(word: str, known: Filter) -> bool:
+    return word_hash(_DIGITS.sub("0", word)) in known
 
 
 _ZEROS = str.maketrans("123456789", "0" * 9)
@@ -166,13 +145,13 @@ def features(text: str, gap: str, known: Filter) -> list[int]:
     segment = c.segment.lower()
     n = len(segment.split())
     glued = bool(low) and low[-1].isalnum()
-    is_known = "known" if not glued or known.word(_WORD.findall(c.core[-60:].lower())[-1]) else "unknown"
+    word = "known" if not glued or is_known(_WORD.findall(c.core[-60:].lower())[-1], known) else "unknown"
     size = "short" if len(segment) <= 30 else "long"
     opened = f"{segment.count('(') > segment.count(')')}{segment.count('[') > segment.count(']')}{segment.count(chr(34)) % 2}{segment.count('“') > segment.count('”')}"
     out = [
-        _h("bias", ""), _h("kind", c.kind), _h("shape", c.shape), _h("state", state), _h("spaced", f"{c.spaced}{c.kind}"), _h("gapkind", gap + c.kind), _h("gapstate", gap + state), _h("gapknown", gap + c.kind + is_known),
-        _h("known", is_known + c.shape), _h("size", size + state), _h("n", f"{min(n, 12)}{c.shape}"), _h("open", opened + c.shape), _h("w1", w1 + c.shape), _h("w2", " ".join(words[-2:]) + c.shape), _h("w3", " ".join(words) + c.shape),
-        _h("first", segment.split()[0] if n else ""), _h("item", f"{c.shape}{min(len(c.last_line.split()), 6)}{is_known}"),
+        _h("bias", ""), _h("kind", c.kind), _h("shape", c.shape), _h("state", state), _h("spaced", f"{c.spaced}{c.kind}"), _h("gapkind", gap + c.kind), _h("gapstate", gap + state), _h("gapknown", gap + c.kind + word),
+        _h("known", word + c.shape), _h("size", size + state), _h("n", f"{min(n, 12)}{c.shape}"), _h("open", opened + c.shape), _h("w1", w1 + c.shape), _h("w2", " ".join(words[-2:]) + c.shape), _h("w3", " ".join(words) + c.shape),
+        _h("first", segment.split()[0] if n else ""), _h("item", f"{c.shape}{min(len(c.last_line.split()), 6)}{word}"),
     ]
     out += [_h(f"c{k}", low[-k:]) for k in range(1, 8)]
     return out

@@ -83,9 +83,9 @@ def test_stumps_stay_unknown(spark):
     ends = ["", "…", "...", " [...]", "… [+40 chars]", "\n[connection closed]", "�", "&am", "<a hre", "...\n[cut]", " \n"]
     rows = [(i, f"The government of river {i} opens. A new gover{e}", "books", 0, 0) for i, e in enumerate(ends * 4)]
     known = words_of(spark.createDataFrame(rows, SCHEMA))
-    assert [known.word(w) for w in ("government", "river", "opens", "new", "gover")] == [True, True, True, True, False]
+    assert [T.is_known(w, known) for w in ("government", "river", "opens", "new", "gover")] == [True, True, True, True, False]
     rows += [(100 + i, "A gover slip is in few texts.", "books", 0, 0) for i in range(3)]
-    assert not words_of(spark.createDataFrame(rows, SCHEMA)).word("gover")
+    assert not T.is_known("gover", words_of(spark.createDataFrame(rows, SCHEMA)))
 
 
 def test_filter_of_words_grows(spark):
@@ -93,8 +93,8 @@ def test_filter_of_words_grows(spark):
     name = "concat('w', translate(cast(x AS string), '0123456789', 'abcdefghij'))"
     words = words_of(spark.range(3).selectExpr(f"concat_ws(' ', transform(sequence(1, 200000), x -> {name}), 'x12', '.') AS text"))
     letters = lambda i: "".join("abcdefghij"[int(c)] for c in str(i))
-    assert all(words.word("w" + letters(i)) for i in range(1, 200_000, 7)) and sum(words.word("v" + letters(i)) for i in range(20_000)) < 400
-    assert words.word("x34") and not words.word("x5")
+    assert all(T.is_known("w" + letters(i), words) for i in range(1, 200_000, 7)) and sum(T.is_known("v" + letters(i), words) for i in range(20_000)) < 400
+    assert T.is_known("x34", words) and not T.is_known("x5", words)
 
 
 def test_nothing_to_learn_from(spark):
