@@ -2,30 +2,36 @@
 
 Labels give each term a weight of evidence for each subject. A document is read as units (its sentences); a unit's terms
 say what it is about. The features of a document and a subject are the evidence for it against the strongest other, how
-many units keep to each, the length, and the kind of the record. A chain of logistic classifiers, one per subject and
+many units keep to each, the length, the kind of the record, and how far its feed and its host keep to subjects. A chain of logistic classifiers, one per subject and
 shrunk towards one that all share, sees these and the subjects already decided, so what occurs together counts. Beam
-search over the chain finds the likeliest combination; probabilities are calibrated on labels held back.
+search over the chain finds the likeliest combination; probabilities are calibrated on labels held back. Texts are read
+where they are: of the labelled sample the driver gets numbers of terms, at most as many as the sample has words.
 """
 
 from __future__ import annotations
 
 import re
-from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..runtime import table
+from ..functions.urls import netloc
+from ..runtime import cut_lineage, spread, table
 
 #: Labelled documents that the model is fitted on, chosen by hash; all documents are classified.
 SAMPLE = 24_000
+#: Subjects at most, and labelled documents times subjects that the fit holds: with many subjects the sample is smaller.
+MAX_SUBJECTS, MAX_CELLS = 2_000, 600_000
 #: Documents that must have a term, what a term's evidence is shrunk by, and the least evidence worth keeping.
 MIN_DOCS, SHRINK, MIN_EVIDENCE = 3, 2.0, 0.8
+#: What the evidence of a feed or host is shrunk by.
+SOURCE_SHRINK = 20.0
 #: Combinations that the beam keeps.
 BEAM = 6
 #: Rounds of sharing a unit's evidence out among its document's labels.
@@ -93,23 +99,12 @@ class Corpus:
     lengths: np.ndarray
 
     @staticmethod
-    def of(texts: list[str]) -> Corpus:
-        counts: Counter[str] = Counter()
-        for t in texts:
-            counts.update({x for u in units(t) for x in terms(u)})
-        index = {t: i for i, t in enumerate(sorted(t for t, n in counts.items() if n >= MIN_DOCS))}
-        del counts
-        at, starts, docs, lengths = array("i"), array("i"), array("i"), np.zeros(len(texts))
-        for d, text in enumerate(texts):
-            u = units(text)
-            lengths[d] = len(u)
-            for w in u:
-                known = {i for t in terms(w) if (i := index.get(t)) is not None}
-                if known:
-                    starts.append(len(at))
-                    docs.append(d)
-                    at.extend(sorted(known))
-        return Corpus(index, *(np.frombuffer(x, np.int32) if len(x) else np.zeros(0, np.int32) for x in (at, starts, docs)), lengths)
+    def of(index: dict[str, int], units_of: list[list[int]], terms_of: list[list[int]], lengths: list[int]) -> Corpus:
+        """From each document's sizes of units, its terms unit by unit and its number of units in all."""
+        sizes = np.concatenate([np.asarray(x, np.int32) for x in units_of] or [np.zeros(0, np.int32)])
+        docs = np.repeat(np.arange(len(units_of), dtype=np.int32), [len(x) for x in units_of])
+        every = np.concatenate([np.asarray(x, np.int32) for x in terms_of] or [np.zeros(0, np.int32)])
+        return Corpus(index, every, (np.cumsum(sizes) - sizes).astype(np.int32), docs, np.asarray(lengths, float))
 
     def learn(self, own: np.ndarray, use: np.ndarray) -> np.ndarray:
         """Each term's log odds for each subject, zeros where it says nothing, from the documents in `use`.
@@ -207,7 +202,23 @@ class Evidence:
         return total, about, lengths
 
 
-def _structure(total: np.ndarray, about: np.ndarray, lengths: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+def source_odds(values: np.ndarray, own: np.ndarray, use: np.ndarray) -> dict[str, np.ndarray]:
+    """Of each feed or host the log odds of each subject, from the documents in `use`."""
+    prior = (own[use].sum(axis=0) + 1.0) / (own[use].sum() + own.shape[1])
+    names, at = np.unique(values[use].astype(str), return_inverse=True)
+    counts = np.zeros((len(names), own.shape[1]))
+    np.add.at(counts, at, own[use])
+    n = counts.sum(axis=1, keepdims=True)
+    odds = np.log((counts + SOURCE_SHRINK * prior) / (n + SOURCE_SHRINK) / prior).astype(np.float32)
+    return {x: odds[i] for i, x in enumerate(names) if x}
+
+
+def read_odds(odds: dict[str, np.ndarray], values: np.ndarray, k: int) -> np.ndarray:
+    none = np.zeros(k, np.float32)
+    return np.stack([odds.get(x, none) for x in values]) if len(values) else np.zeros((0, k), np.float32)
+
+
+def _structure(total: np.ndarray, about: np.ndarray, lengths: np.ndarray, kinds: np.ndarray, sources: list[np.ndarray]) -> np.ndarray:
     """Features of each document and subject, without those of the chain: (documents, subjects, features)."""
     n, k = about.shape
     other_units, other_total = np.empty((n, k)), np.empty((n, k))
@@ -222,7 +233,7 @@ def _structure(total: np.ndarray, about: np.ndarray, lengths: np.ndarray, kinds:
     cell = np.eye(42)[a * 7 + o]  # how many units are about it, against the strongest other
     ratio = about / np.maximum(other_units, 0.5)
     long = np.broadcast_to(np.log1p(lengths)[:, None], (n, k))
-    dense = np.stack([np.ones((n, k)), share, weight, share**2, weight**2, np.minimum(ratio, 4), np.minimum(total / np.maximum(other_total, 0.5), 4), np.log1p(total), (about > 0).astype(float), (total > 1).astype(float), long, long * share, long * weight], axis=2)
+    dense = np.stack([np.ones((n, k)), share, weight, share**2, weight**2, np.minimum(ratio, 4), np.minimum(total / np.maximum(other_total, 0.5), 4), np.log1p(total), (about > 0).astype(float), (total > 1).astype(float), long, long * share, long * weight, *sources, *[x * share for x in sources]], axis=2)
     kind = np.broadcast_to((kinds[:, None] == np.arange(len(KINDS))[None, :]).astype(float)[:, None, :], (n, k, len(KINDS))) * share[:, :, None]
     return np.concatenate([dense, cell, kind], axis=2)
 
@@ -231,6 +242,7 @@ def _structure(total: np.ndarray, about: np.ndarray, lengths: np.ndarray, kinds:
 class Chain:
     subjects: list[str]
     evidence: Evidence
+    sources: list[dict[str, np.ndarray]]
     order: list[int]
     weights: np.ndarray
     scale: tuple[float, float] = (1.0, 0.0)
@@ -243,10 +255,11 @@ class Chain:
         taken = (given * about).sum(axis=1) / np.maximum(about.sum(axis=1), 1)
         return np.column_stack([count == 1, count >= 2, taken, np.where(count > 0, given @ self.pairs[:, j] / np.maximum(count, 1), 0)])
 
-    def decode(self, texts: list[str], kinds: np.ndarray) -> list[list[int]]:
+    def decode(self, texts: list[str], kinds: np.ndarray, sources: list[np.ndarray]) -> list[list[int]]:
         """The likeliest combination of each document."""
         total, about, lengths = self.evidence.read(texts)
-        return self.decode_features(_structure(total, about, lengths, kinds), about)
+        said = [read_odds(odds, values, len(self.subjects)) for odds, values in zip(self.sources, sources)]
+        return self.decode_features(_structure(total, about, lengths, kinds, said), about)
 
     def decode_features(self, x: np.ndarray, about: np.ndarray) -> list[list[int]]:
         n, k = about.shape
@@ -272,26 +285,27 @@ class Chain:
         return [np.flatnonzero(r).tolist() for r in chosen]
 
 
-def fit_chain(texts: list[str], kinds: np.ndarray, labels: list[set[int]], subjects: list[str], seed: int = 5) -> Chain:
+def fit_chain(corpus: Corpus, kinds: np.ndarray, sources: list[np.ndarray], labels: list[set[int]], subjects: list[str], seed: int = 5) -> Chain:
     """Every third of the labels is read with evidence from the other two, so the chain never sees evidence fitted to its
     own labels. It is fitted on two thirds and calibrated on the last; the evidence that it keeps is from all."""
-    k, n = len(subjects), len(texts)
+    k, n = len(subjects), len(labels)
     y = np.zeros((n, k))
     for i, own in enumerate(labels):
         y[i, list(own)] = 1
     order = np.argsort(-y.sum(axis=0), kind="stable").tolist()
     together = y.T @ y + 1.0
     np.fill_diagonal(together, 1.0)
-    chain = Chain(subjects, Evidence({}, np.zeros((0, k))), order, np.zeros((k, 0)), pairs=np.log(together / together.mean()) / 3)
-    fold = np.random.default_rng(seed).integers(0, 3, n)
-    corpus = Corpus.of(texts)
+    chain = Chain(subjects, Evidence({}, np.zeros((0, k))), [], order, np.zeros((k, 0)), pairs=np.log(together / together.mean()) / 3)
+    rng = np.random.default_rng(seed)
+    fold = rng.integers(0, 3, n)
     x, about = None, np.zeros((n, k))
     for f in range(3):
         here = fold == f
         if not here.any():
             continue
         t, a, lengths = corpus.read(corpus.learn(y, ~here), here)
-        part = _structure(t, a, lengths, kinds[here]).astype(np.float32)
+        said = [read_odds(source_odds(values, y, ~here), values[here], k) for values in sources]
+        part = _structure(t, a, lengths, kinds[here], said).astype(np.float32)
         if x is None:
             x = np.zeros((n, k, part.shape[2]), np.float32)
         x[here], about[here] = part, a
@@ -304,7 +318,7 @@ def fit_chain(texts: list[str], kinds: np.ndarray, labels: list[set[int]], subje
         given[:, j] = y[:, j]
     block = lambda j, rows: (np.hstack([x[rows, j], links[j][rows]]), y[rows, j])
     width = x.shape[2] + links[order[0]].shape[1]
-    some = train[: max(1, SHARED // k)]
+    some = rng.permutation(train)[: max(1, SHARED // k)]
     shared = logistic([block(j, some) for j in order], np.zeros(width), 1.0)
     weights = np.zeros((k, width))
     for j in order:
@@ -316,20 +330,69 @@ def fit_chain(texts: list[str], kinds: np.ndarray, labels: list[set[int]], subje
         labels_held.append(own)
     scale = logistic([(np.column_stack([np.concatenate(z), np.ones(len(held) * k)]), np.concatenate(labels_held))], np.array([1.0, 0.0]), 1.0)
     chain.weights, chain.scale = weights, (float(scale[0]), float(scale[1]))
-    chain.evidence = Evidence.of(corpus, corpus.learn(y, np.ones(n, bool)))
+    every = np.ones(n, bool)
+    chain.evidence = Evidence.of(corpus, corpus.learn(y, every))
+    chain.sources = [source_odds(values, y, every) for values in sources]
     return chain
 
 
-def labelled(docs: DataFrame, labels: DataFrame, subjects: list[str], key: str, text: str, kind: str, sample: int = SAMPLE) -> tuple[list[str], np.ndarray, list[set[int]]]:
-    """A bounded sample of labelled documents, chosen by a hash of the key, for the driver. Labels are read without
-    regard to case and space; those that name no subject and documents without text are left out."""
+def labelled(docs: DataFrame, labels: DataFrame, subjects: list[str], key: str, sample: int = SAMPLE) -> DataFrame:
+    """A bounded sample of labelled documents (with _key, _text and the rest of docs), chosen by a hash of the key, and
+    _own, their subjects' numbers. Labels are read without regard to case and space; those that name no subject and
+    documents without text are left out. Of rows with one key the one with the smallest text is taken."""
     known = F.create_map(*[F.lit(x) for i, s in enumerate(subjects) for x in (s.lower(), i)])
     own = labels.select(F.col(key).alias("_key"), F.try_element_at(known, F.lower(F.regexp_replace("subject", r"^[\s\p{Z}]+|[\s\p{Z}]+$", ""))).alias("_s")).where("_key is not null and _s is not null")
     own = own.groupBy("_key").agg(F.array_sort(F.collect_set("_s")).alias("_own"))
     own = own.orderBy(F.xxhash64(F.lit(3), "_key"), "_key").limit(sample)  # this bound makes the broadcast below safe
-    texts = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"), F.col(kind).alias("_kind"))
-    rows = texts.join(F.broadcast(own), "_key").where(F.col("_text").rlike(r"\S")).dropDuplicates(["_key"]).orderBy("_key").toArrow().to_pandas()
-    return list(rows["_text"]), _kinds(rows["_kind"]), [set(map(int, x)) for x in rows["_own"]]
+    rows = docs.join(F.broadcast(own), "_key").where(F.col("_text").rlike(r"\S"))
+    rest = [c for c in rows.columns if c not in ("_key", "_text")]
+    one = rows.groupBy("_key").agg(F.min(F.struct("_text", *rest)).alias("r"))
+    return cut_lineage(one.select("_key", "r.*").repartition(docs.sparkSession.sparkContext.defaultParallelism, "_key"))
+
+
+_COUNTED = pa.schema([("term", pa.string()), ("n", pa.int64())])
+_ENCODED = pa.schema([("key", pa.string()), ("kind", pa.string()), ("feed", pa.string()), ("host", pa.string()), ("own", pa.list_(pa.int32())), ("units", pa.list_(pa.int32())), ("terms", pa.list_(pa.int32())), ("length", pa.int32())])
+
+
+def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    counts: Counter[str] = Counter()
+    for b in batches:
+        for t in b.column("_text").to_pylist():
+            counts.update({x for u in units(t) for x in terms(u)})
+    yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], schema=_COUNTED)
+
+
+def _encode(sent):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        get = sent.value.get
+        for b in batches:
+            sizes, every, lengths = [], [], []
+            for text in b.column("_text").to_pylist():
+                u = units(text)
+                hits = [x for w in u if (x := sorted({i for t in terms(w) if (i := get(t)) is not None}))]
+                sizes.append([len(x) for x in hits])
+                every.append([i for x in hits for i in x])
+                lengths.append(len(u))
+            columns = [b.column(c).cast(f.type) for c, f in zip(("_key", "_kind", "_feed", "_host", "_own"), _ENCODED)]
+            columns += [pa.array(x, f.type) for x, f in zip((sizes, every, lengths), list(_ENCODED)[5:])]
+            yield pa.RecordBatch.from_arrays(columns, schema=_ENCODED)
+
+    return run
+
+
+def fitted(rows: DataFrame, subjects: list[str]) -> Chain | None:
+    """The chain of a labelled sample; None where there is none."""
+    counts = rows.select("_text").mapInArrow(_count_terms, "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
+    known = counts.where(F.col("n") >= MIN_DOCS).select("term").toArrow()["term"].to_pylist()
+    index = {t: i for i, t in enumerate(sorted(known))}
+    encoded = rows.mapInArrow(_encode(rows.sparkSession.sparkContext.broadcast(index)), "key string, kind string, feed string, host string, own array<int>, units array<int>, terms array<int>, length int")
+    got = encoded.toArrow().sort_by("key")
+    if not got.num_rows:
+        return None
+    lists = {c: got[c].combine_chunks().to_numpy(zero_copy_only=False) for c in ("units", "terms", "length")}
+    corpus = Corpus.of(index, list(lists["units"]), list(lists["terms"]), lists["length"])
+    text = {c: pd.Series(got[c].to_pylist(), dtype=object) for c in ("kind", "feed", "host")}
+    return fit_chain(corpus, _kinds(text["kind"]), [_values(text["feed"]), _values(text["host"])], [set(x) for x in got["own"].to_pylist()], subjects)
 
 
 def _kinds(c: pd.Series) -> np.ndarray:
@@ -337,18 +400,28 @@ def _kinds(c: pd.Series) -> np.ndarray:
     return np.array([at.get((x or "").strip().lower() if isinstance(x, str) else "", len(KINDS) - 1) for x in c], dtype=int)
 
 
-def with_subjects(docs: DataFrame, labels: DataFrame, subjects: DataFrame, key: str = "bm_seq", text: str = "content", kind: str = "bookmark_type", sample: int = SAMPLE) -> DataFrame:
+def _values(c: pd.Series) -> np.ndarray:
+    return np.array([x.strip() if isinstance(x, str) else "" for x in c], dtype=object)
+
+
+def with_subjects(docs: DataFrame, labels: DataFrame, subjects: DataFrame, key: str = "bm_seq", text: str = "content", kind: str = "bookmark_type", feed: str | None = "feed_id", url: str | None = "url", sample: int = SAMPLE) -> DataFrame:
     """(key, subjects): of each document the subjects it is about, sorted, as they are spelled in `subjects`.
 
     An empty list where the text is null, blank or about none of them, or where there are no labels to learn from.
-    Repeated rows are each classified, alike. Columns other than those named play no part.
+    Repeated rows are each classified, alike. feed and url name columns that tell the source; null or missing ones tell
+    nothing. Other columns play no part. More than MAX_SUBJECTS subjects raise ValueError.
     """
-    names = [r[0] for r in subjects.where("subject is not null").select("subject").distinct().orderBy("subject").limit(10_000).collect()]
+    names = [r[0] for r in subjects.where("subject is not null").select("subject").distinct().orderBy("subject").limit(MAX_SUBJECTS + 1).collect()]
+    if len(names) > MAX_SUBJECTS:
+        raise ValueError(f"more than {MAX_SUBJECTS} subjects")
     key_type = docs.schema[key].dataType.simpleString()
-    texts, kinds, own = labelled(docs, labels, names, key, text, kind, sample) if names else ([], np.zeros(0, int), [])
-    if not texts:
+    there = lambda c: F.col(c).cast("string") if c in docs.columns else F.lit(None).cast("string")
+    docs = spread(docs)
+    rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"), there(kind).alias("_kind"), there(feed).alias("_feed"), F.lower(netloc(there(url))).alias("_host"))
+    chain = fitted(labelled(rows, labels, names, key, min(sample, MAX_CELLS // len(names))), names) if names else None
+    if chain is None:
         return docs.select(F.col(key), F.array().cast("array<string>").alias("subjects"))
-    sent = docs.sparkSession.sparkContext.broadcast(fit_chain(texts, kinds, own, names))
+    sent = docs.sparkSession.sparkContext.broadcast(chain)
 
     def classify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         chain = sent.value
@@ -356,13 +429,12 @@ def with_subjects(docs: DataFrame, labels: DataFrame, subjects: DataFrame, key:
             there = np.array([isinstance(t, str) and bool(t.strip()) for t in b["_text"]], bool)
             out: list[list[str]] = [[] for _ in range(len(b))]
             picked = b[there]
-            for i, own in zip(np.flatnonzero(there), chain.decode(list(picked["_text"]), _kinds(picked["_kind"])) if len(picked) else []):
+            for i, own in zip(np.flatnonzero(there), chain.decode(list(picked["_text"]), _kinds(picked["_kind"]), [_values(picked["_feed"]), _values(picked["_host"])]) if len(picked) else []):
                 out[i] = [chain.subjects[j] for j in own]
             yield pd.DataFrame({key: b["_key"], "subjects": out})
 
     # Keys travel as text: pandas would turn whole numbers beside a null into floats.
-    rows = docs.select(F.col(key).cast("string").alias("_key"), F.col(text).alias("_text"), F.col(kind).alias("_kind"))
-    return rows.mapInPandas(classify, f"{key} string, subjects array<string>").withColumn(key, F.col(key).cast(key_type))
+    return rows.withColumn("_key", F.col("_key").cast("string")).mapInPandas(classify, f"{key} string, subjects array<string>").withColumn(key, F.col(key).cast(key_type))
 
 
 def _classified(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -376,4 +448,4 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p2_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(subjects, docs, share): the collection by combination of subjects; an empty combination is content on none."""
     counts = _classified(spark, sf_dir).groupBy("subjects").agg(F.count("*").alias("docs"))
-    return counts.select(F.array_join("subjects", " ").alias("subjects"), "docs", (F.col("docs") / F.sum("docs").over(Window.partitionBy())).alias("share"))
+    return counts.select(F.array_join("subjects", ", ").alias("subjects"), "docs", (F.col("docs") / F.sum("docs").over(Window.partitionBy())).alias("share"))

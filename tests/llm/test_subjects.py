@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pytest
 
 from linkloom.llm import subjects as S
 
@@ -67,3 +68,33 @@ def test_odd_rows(spark):
 def test_units():
     assert len(S.units("One two. Three four! Five\nsix")) == 3
     assert len(S.units(" ".join(["word"] * 100))) > 3 and S.units(" ... ") == []
+
+
+def test_more_labels_than_the_sample(spark):
+    """The fit takes as many as its bound says; all documents are classified."""
+    docs, own = made(random.Random(4), 1500)
+    lab = spark.createDataFrame([(i, s, "a") for i, o in enumerate(own) for s in o], "bm_seq bigint, subject string, annotator string")
+    subj, df = spark.createDataFrame([(s,) for s in TERMS], "subject string"), spark.createDataFrame(docs, DOCS)
+    rows = df.selectExpr("bm_seq AS _key", "content AS _text", "bookmark_type AS _kind", "'f' AS _feed", "'h' AS _host")
+    assert S.labelled(rows, lab, sorted(TERMS), "bm_seq", 300).count() == 300
+    got = {r["bm_seq"]: set(r["subjects"]) for r in S.with_subjects(df, lab, subj, sample=300).collect()}
+    assert len(got) == 1500 and np.mean([got[i] == own[i] for i in range(1500)]) > 0.88
+
+
+def test_many_subjects(spark, monkeypatch):
+    docs, own = made(random.Random(5), 300)
+    lab = spark.createDataFrame([(i, s, "a") for i, o in enumerate(own) for s in o], "bm_seq bigint, subject string, annotator string")
+    subj = spark.createDataFrame([(s,) for s in TERMS] + [(f"other {i}",) for i in range(196)], "subject string")
+    df = spark.createDataFrame(docs, DOCS)
+    got = {r["bm_seq"]: set(r["subjects"]) for r in S.with_subjects(df, lab, subj).collect()}
+    assert len(got) == 300 and np.mean([got[i] == own[i] for i in range(300)]) > 0.8
+    monkeypatch.setattr(S, "MAX_SUBJECTS", 199)
+    with pytest.raises(ValueError, match="199"):
+        S.with_subjects(df, lab, subj)
+
+
+def test_sources_count():
+    values, own = np.array(["a", "b", "a", "", "b"] * 40, object), np.tile(np.array([[1, 0], [0, 1], [1, 0], [0, 1], [0, 1]], float), (40, 1))
+    odds = S.source_odds(values, own, np.ones(200, bool))
+    assert set(odds) == {"a", "b"} and odds["a"][0] > 0.5 > 0 > odds["a"][1] and odds["b"][1] > 0
+    assert S.read_odds(odds, np.array(["a", "new", ""], object), 2)[1:].tolist() == [[0, 0], [0, 0]]
