@@ -90,8 +90,8 @@ def with_utc_micros(df: DataFrame, out: str, zones: list[str]) -> DataFrame:
     """df with the BIGINT column `out`: microseconds since 1970 UTC, or null.
 
     df has `_parts` (from written_parts), `_zone` (an IANA zone or null), `_order` (dmy, mdy or another, which reads no
-    date in digits that doesn't begin with the year) and `_short_names` (MAP of a short zone name to the offset in
-    seconds that it has in that zone). zones: the zone names that are known. The steps are projections of their own so
+    date in digits that doesn't begin with the year) and `_short_names` (MAP of a short zone name to what it means in
+    that zone: an ARRAY of STRUCT<since, seconds>, the offset from that second since 1970 UTC on). zones: the zone names that are known. The steps are projections of their own so
     that each part is worked out once.
     """
 
@@ -130,18 +130,20 @@ def with_utc_micros(df: DataFrame, out: str, zones: list[str]) -> DataFrame:
         "_off_h": F.when(has_offset, F.get(c("_offset_parts"), F.lit(1))).cast("bigint"),
         "_off_m": F.when(has_offset, F.coalesce(F.nullif(F.get(c("_offset_parts"), F.lit(2)), F.lit("")), F.lit("0"))).cast("bigint"),
         "_off_sign": F.when(F.get(c("_offset_parts"), F.lit(0)) == "-", -1).otherwise(1),
-        "_short": F.try_element_at(c("_short_names"), upper),
+        "_meanings": F.try_element_at(c("_short_names"), upper),
         # The zone whose rules apply: the one written, else the feed's; null where none is known or an offset holds.
         "_rules": F.when(has_offset | fixed, None).when(F.contains(c("_written_zone"), F.lit("/")), F.when(c("_region").isin(zones), c("_region"))).when(c("_zone").isin(zones), c("_zone")),
         "_digits": digits, "_whole": F.abs(c("_epoch").try_cast("bigint")), "_sign": F.when(F.startswith(c("_epoch"), F.lit("-")), -1).otherwise(1),
     })
     # A repeated wall time is the first of the two, a skipped one keeps the offset before the change.
+    # Of what a short name meant at different times, the last whose time has come by that instant.
+    short = F.try_element_at(F.filter("_meanings", lambda m: c("_wall") - m["seconds"].cast("bigint") * 1_000_000 >= m["since"] * 1_000_000), F.lit(-1))["seconds"].cast("bigint")
     by_rules = F.unix_micros(F.to_utc_timestamp(F.timestamp_micros(c("_wall")), c("_rules")))
     offset_ok = (c("_off_h") * 60 + c("_off_m") <= 18 * 60) & (c("_off_m") <= 59)
     at = (
         F.when(c("_has_offset"), F.when(offset_ok, c("_wall") - c("_off_sign") * (c("_off_h") * 60 + c("_off_m")) * 60_000_000))
         .when(fixed, c("_wall"))
-        .when(c("_short").isNotNull(), c("_wall") - c("_short").cast("bigint") * 1_000_000)
+        .when(c("_meanings").isNotNull(), c("_wall") - short * 1_000_000)
         .when(c("_rules").isNotNull() & c("_wall").isNotNull(), by_rules)
     )
     bare = (

@@ -17,6 +17,7 @@ from ..runtime import broadcast_within, table
 MAX_FEEDS = 20_000
 #: Short zone names are looked up over these years.
 _YEARS = range(1970, 2038)
+_EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
 
 
 def known_zones(spark: SparkSession) -> list[str]:
@@ -26,19 +27,33 @@ def known_zones(spark: SparkSession) -> list[str]:
     return sorted(names & set(jvm.java.time.ZoneId.getAvailableZoneIds())) if jvm else sorted(names)
 
 
-def _short_names(zone: str | None) -> dict[str, int]:
-    """Short name -> offset in seconds within one zone; of a name that meant several offsets, the latest one."""
+def _short_names(zone: str | None) -> dict[str, list[tuple[int, int]]]:
+    """Short name -> (from, offset in seconds) within one zone, in order of time: what the name means from that second
+    since 1970 UTC on. The first meaning holds before it too."""
     try:
         info = ZoneInfo(zone)
     except Exception:  # unknown or null zone
         return {}
-    found: dict[str, int] = {}
-    for year in _YEARS:
-        at = datetime(year, 1, 1, tzinfo=timezone.utc)
-        for week in range(53):
-            local = (at + timedelta(days=7 * week)).astimezone(info)
-            if local.tzname().isalpha():
-                found[local.tzname().upper()] = int(local.utcoffset().total_seconds())
+
+    def at(second: int) -> tuple[str, int]:
+        local = (_EPOCH + timedelta(seconds=second)).astimezone(info)
+        return local.tzname().upper(), int(local.utcoffset().total_seconds())
+
+    found: dict[str, list[tuple[int, int]]] = {}
+    start, end = (int((datetime(y, 1, 1, tzinfo=timezone.utc) - _EPOCH).total_seconds()) for y in (_YEARS[0], _YEARS[-1] + 1))
+    week, now = 7 * 86_400, at(start)
+    changes = [(-(1 << 40), now)]
+    for then in range(start + week, end, week):
+        if (new := at(then)) != now:
+            low, high = then - week, then  # the second of the change
+            while high - low > 1:
+                middle = (low + high) // 2
+                low, high = (middle, high) if at(middle) == now else (low, middle)
+            changes.append((high, new))
+            now = new
+    for second, (name, offset) in changes:
+        if name.isalpha() and (name not in found or found[name][-1][1] != offset):
+            found.setdefault(name, []).append((second if name in found else -(1 << 40), offset))
     return found
 
 
@@ -47,10 +62,10 @@ def feed_rules(feeds: DataFrame) -> DataFrame:
 
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield b.assign(short_names=[list(_short_names(z).items()) for z in b["_zone"]])
+            yield b.assign(short_names=[[{"name": n, "meanings": [{"since": a, "seconds": x} for a, x in m]} for n, m in _short_names(z).items()] for z in b["_zone"]])
 
     one = feeds.where(F.col("feed_id").isNotNull()).groupBy(F.col("feed_id").alias("_feed")).agg(F.min("zone_name").alias("_zone"), F.min("date_order").alias("_order"))
-    named = one.mapInPandas(add, "_feed string, _zone string, _order string, short_names array<struct<name: string, seconds: int>>")
+    named = one.mapInPandas(add, "_feed string, _zone string, _order string, short_names array<struct<name: string, meanings: array<struct<since: bigint, seconds: int>>>>")
     return named.select("_feed", "_zone", "_order", F.map_from_entries("short_names").alias("_short_names"))
 
 

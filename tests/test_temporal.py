@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from linkloom.operators.temporal import normalise_times
 
-FEEDS = [("ny", "America/New_York", "mdy"), ("be", "Europe/Berlin", "dmy"), ("ka", "Asia/Kolkata", "dmy"), ("no", None, "ymd"), ("bad", "Mars/Base", "dmy"), ("ym", "UTC", "ymd")]
+FEEDS = [("ny", "America/New_York", "mdy"), ("be", "Europe/Berlin", "dmy"), ("ka", "Asia/Kolkata", "dmy"), ("no", None, "ymd"), ("bad", "Mars/Base", "dmy"), ("ym", "UTC", "ymd"), ("mo", "Europe/Moscow", "dmy")]
 
 
 def us(*at, zone=timezone.utc, fold=0):
