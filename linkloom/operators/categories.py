@@ -1,7 +1,6 @@
 """Categories of a text against the taxonomy: scores, ranking, normalisation and place in the tree.
 
-The scorer writes the taxonomy's names out as literals, which generated code evaluates two to three times as fast as a
-join with a table of names; category_matches is the join, for a taxonomy that is data.
+The scorer writes the taxonomy's names out as literals; category_matches is for a taxonomy that is data.
 """
 
 from __future__ import annotations
@@ -11,10 +10,10 @@ from pyspark.sql import functions as F
 
 from .. import vocab
 from ..functions.text import half_even, let, words
-from ..runtime import broadcast_within
+from ..runtime import within
 
-#: Names of a taxonomy given as data are broadcast up to this many.
-MAX_NAMES = 100_000
+#: Names of a taxonomy given as data, at most.
+MAX_NAMES = 10_000
 
 
 def taxonomy(spark: SparkSession) -> DataFrame:
@@ -77,11 +76,16 @@ def places(df: DataFrame, category: str, key: str) -> DataFrame:
 
 
 def category_matches(df: DataFrame, key: str, text: str, names: DataFrame) -> DataFrame:
-    """(key, main, points): the scorer for names given as data (main, name, weight). It compares every text with every
-    name, so the names must fit a broadcast; beyond MAX_NAMES they are refused."""
-    small = broadcast_within(names.select("main", F.lower("name").alias("_name"), "weight"), MAX_NAMES)
-    low = df.select(key, F.lower(F.col(text)).alias("_low"))
-    return low.join(small, F.contains(F.col("_low"), F.col("_name"))).groupBy(key, "main").agg(F.sum("weight").cast("bigint").alias("points"))
+    """(key, main, points): the scorer for names given as data (main, name, weight).
+
+    Every text is compared with every name where it stands, so the names go to all executors: more than MAX_NAMES raise
+    ValueError. Null and empty texts have no row, nor have those without any name.
+    """
+    low = names.where("main IS NOT NULL AND name <> ''").select("main", F.lower("name").alias("_name"), "weight")
+    if not within(low, MAX_NAMES):
+        raise ValueError(f"more than {MAX_NAMES} names of categories")
+    texts = df.select(key, F.lower(F.col(text)).alias("_low"))
+    return texts.join(F.broadcast(low), F.contains(F.col("_low"), F.col("_name"))).groupBy(key, "main").agg(F.sum("weight").cast("bigint").alias("points"))
 
 
 def suggest(df: DataFrame, text: str, least: int = 3, n: int = 10) -> DataFrame:

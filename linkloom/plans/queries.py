@@ -24,6 +24,7 @@ from ..operators import tags as G
 from ..operators import threads as H
 from ..operators import validate as V
 from ..runtime import table
+from ..streaming.windows import sessions, windowed
 from . import views
 from .views import ANSWERS, BOOKMARKS, EVENTS, PAGES, POSTS, RECORDS, plain, view
 
@@ -399,18 +400,23 @@ add("clean_tags", lambda s, d: tagged(s, d).select("proc_id", joined(F.array_sor
 _TAGS = vocab.tag_rows()
 VOCAB_SQL = "voc(co, ko, category, kw) AS (VALUES " + ", ".join(f"({i}, {j}, {lit(c)}, {lit(k)})" for i, j, c, k in _TAGS) + ")"
 add("tag_categorize", lambda s, d: tagged(s, d).select(F.explode("tags").alias("tag")).distinct().select("tag", G.category(col("tag")).alias("category")), TAGS_SQL.rstrip() + f", {VOCAB_SQL}, d AS (SELECT DISTINCT unnest(tags) AS tag FROM t) SELECT tag, coalesce((SELECT arg_min(category, co * 100 + ko) FROM voc WHERE contains(tag, kw) OR contains(kw, tag)), 'general') AS category FROM d")
-_SOME = "list_concat(coalesce(tags, CAST([] AS VARCHAR[])), ['web', 'mobile', 'python', 'javascript', 'news', 'guide'])"
-add("tag_hierarchy", lambda s, d: tagged(s, d).select("proc_id", F.explode(G.hierarchy(F.array_distinct(F.concat(F.array(*[F.lit(x) for x in ("web", "mobile", "python", "javascript", "news", "guide")]), F.coalesce("tags", F.array().cast("array<string>"))))))).select("proc_id", col("key").alias("general"), joined(F.array_sort("value")).alias("specific")))
+_FIXED = ("web", "mobile", "python", "javascript", "news", "guide")
+HIERARCHY_SQL = TAGS_SQL.rstrip() + f", {VOCAB_SQL}, a AS (SELECT proc_id, list_concat([{', '.join(map(lit, _FIXED))}], coalesce(tags, CAST([] AS VARCHAR[]))) AS l FROM t), e AS (SELECT proc_id, unnest(range(len(l))) AS pos, unnest(l) AS tag FROM a), o AS (SELECT proc_id, tag, min(pos) AS pos FROM e GROUP BY proc_id, tag), f AS (SELECT DISTINCT proc_id, co, tag, pos FROM o JOIN voc ON contains(tag, kw) OR contains(kw, tag)), g AS (SELECT proc_id, co, arg_min(tag, length(tag) * 100000 + pos) AS general, list_sort(list(tag)) AS own FROM f GROUP BY proc_id, co HAVING count(*) > 1), k AS (SELECT *, row_number() OVER (PARTITION BY proc_id, general ORDER BY co DESC) AS n FROM g) "
+add("tag_hierarchy", lambda s, d: tagged(s, d).select("proc_id", F.explode(G.hierarchy(F.array_distinct(F.concat(F.array(*[F.lit(x) for x in _FIXED]), F.coalesce("tags", F.array().cast("array<string>"))))))).select("proc_id", col("key").alias("general"), joined(F.array_sort("value")).alias("specific")), HIERARCHY_SQL + f"SELECT proc_id, general, {q_join('list_filter(own, lambda x: x <> general)')} AS specific FROM k WHERE n = 1")
 add("related_tags", lambda s, d: tagged(s, d).select("proc_id", joined(G.related(col("tags"))).alias("related")), TAGS_SQL.rstrip() + f", {VOCAB_SQL}, u AS (SELECT proc_id, unnest(tags) AS tag FROM t), c AS (SELECT DISTINCT proc_id, v.category FROM u JOIN voc v ON contains(tag, kw) OR contains(kw, tag)), r AS (SELECT proc_id, list_sort(list_distinct(list(kw)))AS kws FROM c JOIN voc USING (category) GROUP BY proc_id) SELECT t.proc_id, CASE WHEN tags IS NULL THEN NULL ELSE coalesce(array_to_string(list_filter(kws, lambda k: NOT list_contains(tags, k))[1:10], '|'), '') END AS related FROM t LEFT JOIN r ON t.proc_id = r.proc_id")
 add("tag_term_join", lambda s, d: view(s, d, BOOKMARKS).select("bm_seq", long(T.hits(F.lower(col("content")), [k.lower() for _, _, _, k in _TAGS])).alias("terms")), f"WITH b AS ({BOOKMARKS}) SELECT bm_seq, CAST({q_hits('lower(content)', [k.lower() for _, _, _, k in _TAGS])} AS BIGINT) AS terms FROM b")
 q_terms = q_some([f"CASE WHEN contains(lower(content), {lit(k.lower())}) THEN {lit(k)} END" for _, _, _, k in _TAGS])
-add("tag_fallback", lambda s, d: view(s, d, BOOKMARKS).select("bm_seq", joined(G.by_keywords(col("content"))).alias("tags")))
-add("tag_candidates", lambda s, d: view(s, d, BOOKMARKS).select("bm_seq", joined(T.sorted_set(F.slice(G.candidates(F.lower(col("content"))), 1, 100000))).alias("candidates")), f"WITH b AS ({BOOKMARKS}) SELECT bm_seq, {q_join(q_sorted(f'list_concat({q_terms}, list_transform(regexp_extract_all(lower(content), {lit(chr(104) + "ttps?://([^/" + chr(92) + "s]+)")}, 1), lambda h: split_part(h, {lit(chr(46))}, 1)), regexp_extract_all(lower(content), {lit("#" + _UW)}, 1))'))} AS candidates FROM b")
+q_proper = "list_filter(string_split_regex(content, '[^\\p{L}\\p{M}\\p{N}\\p{Pc}]+'), lambda w: regexp_full_match(w, '[A-Z][a-z]+'))"
+q_hosts = f"list_transform(regexp_extract_all(content, {lit('https?://([^/' + chr(92) + 's]+)')}, 1), lambda h: split_part(h, '.', 1))"
+q_candidates = f"list_concat({q_proper}, {q_terms}, {q_hosts}, regexp_extract_all(content, {lit('#' + _UW)}, 1))"
+q_tag_list = q_cleaned.replace("list_filter(tags, lambda t: t IS NOT NULL)", q_candidates)
+add("tag_fallback", lambda s, d: view(s, d, BOOKMARKS).select("bm_seq", joined(G.by_keywords(col("content"))).alias("tags")), f"WITH b AS ({BOOKMARKS}), c AS (SELECT bm_seq, {q_tag_list} AS l FROM b) SELECT bm_seq, {q_join('list_filter(l, lambda x, i: list_position(l, x) = i)[1:10]')} AS tags FROM c")
+add("tag_candidates", lambda s, d: view(s, d, BOOKMARKS).select("bm_seq", joined(G.candidates(col("content"))).alias("candidates")), f"WITH b AS ({BOOKMARKS}) SELECT bm_seq, {q_join(q_candidates)} AS candidates FROM b")
 add("tag_confidence", lambda s, d: tagged(s, d).select(F.explode("tags").alias("tag")).distinct().select("tag", G.confidence(col("tag")).alias("confidence")), TAGS_SQL.rstrip() + f", {VOCAB_SQL}, d AS (SELECT DISTINCT unnest(tags) AS tag FROM t) SELECT tag, CASE WHEN tag IN (SELECT kw FROM voc) THEN 8.0::DOUBLE ELSE 5.0::DOUBLE END AS confidence FROM d")
 add("merge_similar_tags", lambda s, d: tagged(s, d).select("proc_id", joined(G.merge_similar(col("tags"))).alias("merged")))
 add("tag_stats_top", lambda s, d: A.top_items(tagged(s, d), col("tags"), 20, "tag"), TAGS_SQL + "SELECT tag, count(*) AS n FROM (SELECT unnest(tags) AS tag FROM t) GROUP BY tag ORDER BY n DESC, tag LIMIT 20")
 add("tag_stats_categories", lambda s, d: A.histogram(tagged(s, d).select(F.explode("tags").alias("tag")), G.category(col("tag")), "category"), TAGS_SQL.rstrip() + f", {VOCAB_SQL}, d AS (SELECT unnest(tags) AS tag FROM t), u AS (SELECT DISTINCT tag FROM d), g AS (SELECT tag, coalesce((SELECT arg_min(category, co * 100 + ko) FROM voc WHERE contains(tag, kw) OR contains(kw, tag)), 'general') AS category FROM u) SELECT category, count(*) AS n FROM d JOIN g USING (tag) GROUP BY category")
-add("tag_stats_summary", lambda s, d: tagged(s, d).agg(F.count("*").alias("total_tagged"), F.sum(F.coalesce(F.size("tags"), F.lit(0))).alias("n"), F.avg(F.when(F.size("tags") >= 0, F.size("tags")).otherwise(0)).alias("mean")).select("total_tagged", T.half_even(col("mean"), 2).alias("average_tags_per_item")), TAGS_SQL + "SELECT count(*) AS total_tagged, round_even(avg(coalesce(len(tags), 0)), 2) AS average_tags_per_item FROM t")
+add("tag_stats_summary", lambda s, d: G.statistics(tagged(s, d)), TAGS_SQL.rstrip() + f", {VOCAB_SQL}, u AS (SELECT unnest(tags) AS tag FROM t) SELECT (SELECT count(*) FROM t) AS total_tagged, (SELECT round_even(avg(coalesce(len(tags), 0)), 2) FROM t) AS average_tags_per_item, count(DISTINCT tag) AS total_unique_tags, round_even(avg(CASE WHEN tag IN (SELECT kw FROM voc) THEN 8.0::DOUBLE ELSE 5.0::DOUBLE END), 2) AS average_confidence FROM u")
 
 # Responses of models
 
@@ -477,13 +483,14 @@ SAVED_SQL = "WITH f AS (SELECT DISTINCT response_id, bookmark_id, step, created_
 add("latest_checkpoint", lambda s, d: S.latest(saved(s, d), "bookmark_id", "created_at", "response_id").select("bookmark_id", "response_id"), SAVED_SQL + "SELECT bookmark_id, response_id FROM (SELECT *, row_number() OVER (PARTITION BY bookmark_id ORDER BY created_at DESC, response_id DESC) AS k FROM f) WHERE k = 1")
 add("checkpoint_retention", lambda s, d: S.beyond_newest(saved(s, d), "step", "created_at", "response_id", 3).select("step", "response_id"), SAVED_SQL + "SELECT step, response_id FROM (SELECT *, row_number() OVER (PARTITION BY step ORDER BY created_at DESC, response_id DESC) AS k FROM f) WHERE k > 3")
 add("checkpoint_list", lambda s, d: saved(s, d).orderBy(F.desc("created_at"), F.desc("response_id")).select("response_id", "bookmark_id"), SAVED_SQL + "SELECT response_id, bookmark_id FROM f")
-add("checkpoint_stats", lambda s, d: S.statistics(saved(s, d), "created_at", "size").select("total", "total_size_bytes", F.date_format("oldest", "yyyy-MM-dd HH:mm:ss").alias("oldest"), F.date_format("newest", "yyyy-MM-dd HH:mm:ss").alias("newest")), SAVED_SQL + "SELECT count(*) AS total, CAST(coalesce(sum(size), 0) AS BIGINT) AS total_size_bytes, strftime(min(created_at), '%Y-%m-%d %H:%M:%S') AS oldest, strftime(max(created_at), '%Y-%m-%d %H:%M:%S') AS newest FROM f")
+add("checkpoint_stats", lambda s, d: S.statistics(saved(s, d), "created_at", "size", "step").select("total", "total_size_bytes", "total_size_human", joined(F.transform(F.array_sort(F.map_entries("by_step")), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))).alias("steps"), F.date_format("oldest", "yyyy-MM-dd HH:mm:ss").alias("oldest"), F.date_format("newest", "yyyy-MM-dd HH:mm:ss").alias("newest")), SAVED_SQL + f"SELECT count(*) AS total, CAST(coalesce(sum(size), 0) AS BIGINT) AS total_size_bytes, (SELECT {q_size} FROM (SELECT coalesce(sum(size), 0) AS n FROM f)) AS total_size_human, (SELECT array_to_string(list_sort(list(step || '=' || n)), '|') FROM (SELECT step, count(*) AS n FROM f WHERE step IS NOT NULL GROUP BY step)) AS steps, strftime(min(created_at), '%Y-%m-%d %H:%M:%S') AS oldest, strftime(max(created_at), '%Y-%m-%d %H:%M:%S') AS newest FROM f")
 add("checkpoint_expired", lambda s, d: S.expired(saved(s, d), "created_at", F.lit("2024-06-01").cast("timestamp_ntz")).select("response_id"), SAVED_SQL + "SELECT response_id FROM f WHERE created_at < TIMESTAMP '2024-06-01' - INTERVAL 30 DAY")
 add("run_stats", lambda s, d: S.run_counters(checked(s, d), col("checked.is_valid") & (T.strip(col("content")) != ""), ~col("checked.is_valid")), CHECKED_SQL + f"SELECT count(*) FILTER (len(errs) = 0 AND {q_strip('content')} <> '') AS successful, count(*) FILTER (NOT (len(errs) = 0 AND {q_strip('content')} <> '')) AS failed, count(*) FILTER (len(errs) > 0) AS skipped, count(*) AS total_processed FROM c")
 add("batch_assign", lambda s, d: S.batch_number(table(s, d, "bookmarks").select("bm_seq"), "bm_seq", 10), "SELECT bm_seq, CAST((row_number() OVER (ORDER BY bm_seq) - 1) // 10 AS BIGINT) AS batch FROM bookmarks")
-add("rate_window", lambda s, d: S.window_usage(view(s, d, EVENTS), "user_id", "ts", "value", 3600).select("event_id", "requests"), "SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL '3599.999999 seconds' PRECEDING AND CURRENT ROW) AS requests FROM events")
+add("rate_window", lambda s, d: S.window_usage(view(s, d, EVENTS), "user_id", "ts", "value", 3600).select("event_id", "requests", F.round("used", 6).alias("used")), "SELECT event_id, count(*) OVER w AS requests, round(sum(value) OVER w, 6) AS used FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL '3599.999999 seconds' PRECEDING AND CURRENT ROW)")
 add("rate_admission", lambda s, d: S.admitted(view(s, d, EVENTS).select("event_id", "user_id", "ts", F.coalesce("value", F.lit(0.0)).alias("value")), "user_id", "ts", "event_id", "value", 3, 200.0, 6 * 3600).select("event_id", "admitted"))
-add("event_windows", lambda s, d: view(s, d, EVENTS).groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.date_format(col("w")["start"], "yyyy-MM-dd HH:mm").alias("hour"), "event_type", "n"), "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS hour, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+add("event_windows", lambda s, d: windowed(view(s, d, EVENTS), "ts", "1 hour", "1 hour", by=("event_type",)).select(F.date_format(col("window")["start"], "yyyy-MM-dd HH:mm").alias("hour"), "event_type", "n"), "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS hour, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+add("event_sessions", lambda s, d: sessions(view(s, d, EVENTS), "ts", "6 hours", "1 hour", "user_id").select("user_id", F.date_format(col("session")["start"], "yyyy-MM-dd HH:mm:ss").alias("began"), "n"), "WITH m AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), g AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM m) SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS began, count(*) AS n FROM g GROUP BY user_id, k")
 
 # Sources
 

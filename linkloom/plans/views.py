@@ -10,7 +10,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..runtime import table
+from ..runtime import spread, table
 
 _URLS = [
     "'https://twitter.com/' || coalesce(author, 'someone') || '/status/' || CAST(7000000 + bm_seq AS VARCHAR(20))",
@@ -86,7 +86,7 @@ EVENTS = "SELECT event_id, user_id, ts, event_type, value FROM @events"
 def view(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """A view over the tables of a directory, in Spark."""
     for name in sorted(set(re.findall(r"@(\w+)", re.sub(r"'[^']*'", "", sql)))):
-        table(spark, sf_dir, name).createOrReplaceTempView(f"linkloom_{name}")
+        spread(table(spark, sf_dir, name)).createOrReplaceTempView(f"linkloom_{name}")
         sql = re.sub(rf"(FROM|JOIN) @{name}\b", rf"\1 linkloom_{name}", sql)
     return spark.sql(sql)
 

@@ -9,26 +9,23 @@ from pyspark.sql.streaming import StreamingQuery
 from ..plans.pipeline import Options, enrich
 from ..sources.bookmarks import BOOKMARK
 
+STORE, ROCKS = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-def start(spark: SparkSession, source: str, target: str, checkpoint: str, options: Options = Options(), schema=BOOKMARK, files_per_batch: int = 1000) -> StreamingQuery:
+
+def start(spark: SparkSession, source: str, target: str, checkpoint: str, options: Options = Options(), schema=BOOKMARK, files_per_batch: int = 1000, forget_after: str | None = None) -> StreamingQuery:
     """Processes the JSON-lines files that are new in `source`, each id once over all runs, and appends to `target`.
 
     The ids seen are streaming state in `checkpoint`, with the files read, so a run that is stopped or loses executors
-    goes on where it was, and a second run without new files writes nothing. Both folders must be shared.
+    goes on where it was, and a second run without new files writes nothing. Both folders must be shared. That state
+    grows with the ids; where an id comes again only within a known time, forget_after (such as "7 days" since it was
+    read) bounds it. State lives in RocksDB on the executors' disks unless the session names another store.
     """
+    if not spark.conf.get(STORE, ""):
+        spark.conf.set(STORE, ROCKS)
     rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).json(source)
-    fresh = rows.where("id is not null").dropDuplicates(["id"])
+    rows = rows.where("id is not null")
+    if forget_after is None:
+        fresh = rows.dropDuplicates(["id"])
+    else:
+        fresh = rows.withColumn("_read_at", F.current_timestamp()).withWatermark("_read_at", forget_after).dropDuplicatesWithinWatermark(["id"]).drop("_read_at")
     return enrich(fresh, options).writeStream.format("parquet").option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start(target)
-
-
-def windowed(events: DataFrame, at: str, late: str, length: str, slide: str | None = None, by: tuple[str, ...] = ()) -> DataFrame:
-    """Counts in tumbling or sliding windows of event time, with a bound on lateness. Works on streams and on tables."""
-    w = F.window(at, length, slide) if slide else F.window(at, length)
-    rows = events.withWatermark(at, late) if events.isStreaming else events
-    return rows.groupBy(w.alias("window"), *by).agg(F.count("*").alias("n"))
-
-
-def sessions(events: DataFrame, at: str, gap: str, late: str, by: str) -> DataFrame:
-    """Sessions of one key that end after a gap."""
-    rows = events.withWatermark(at, late) if events.isStreaming else events
-    return rows.groupBy(F.session_window(at, gap).alias("session"), by).agg(F.count("*").alias("n"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from linkloom.plans.pipeline import enrich, process
 from linkloom.sinks import files
 from linkloom.sources import bookmarks
-from linkloom.streaming import incremental
+from linkloom.streaming import incremental, windows
 
 ROWS = [{"id": str(i), "url": f"https://e.com/{i}", "title": f"t{i}", "content": f"A good tutorial {i} on Python #tag{i}", "author": "ann", "metadata": {"n": i}} for i in range(12)]
 
@@ -89,6 +89,6 @@ def test_partitioning_changes_nothing(spark, tmp_path):
 
 def test_windows(spark):
     df = spark.sql("SELECT timestamp'2024-01-01 00:00:00' + make_interval(0,0,0,0,0,id * 10,0) AS ts, id % 2 AS u FROM range(12)")
-    assert sorted(r["n"] for r in incremental.windowed(df, "ts", "1 hour", "1 hour").collect()) == [6, 6]
-    assert incremental.windowed(df, "ts", "1 hour", "1 hour", "30 minutes").agg(F.sum("n")).first()[0] == 24
-    assert incremental.sessions(df, "ts", "15 minutes", "1 hour", "u").count() == 12
+    assert sorted(r["n"] for r in windows.windowed(df, "ts", "1 hour", "1 hour").collect()) == [6, 6]
+    assert windows.windowed(df, "ts", "1 hour", "1 hour", "30 minutes").agg(F.sum("n")).first()[0] == 24
+    assert windows.sessions(df, "ts", "15 minutes", "1 hour", "u").count() == 12

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import difflib
+import random
+from datetime import datetime, timedelta
+
+import pytest
 from pyspark.sql import functions as F
 
 from linkloom.functions import text as T
@@ -177,3 +182,73 @@ def test_state(spark):
     assert [r["n"] for r in state.beyond_newest(df.where("id = 'a'"), "id", "o", "n", 1).collect()] == [2]
     numbers = state.batch_number(spark.range(25).withColumnRenamed("id", "n"), "n", 10)
     assert sorted((r["batch"] for r in numbers.collect())) == [0] * 10 + [1] * 10 + [2] * 5
+
+
+def test_merging_against_plain_version(spark):
+    """A tag that no earlier one has taken leads; it takes all that are like it, and the shortest stands for them."""
+    rng = random.Random(4)
+    stems = ["color", "colour", "colours", "react", "reactjs", "react-js", "Reacts", "zebra", "zebras", "py", "python", "pythons"]
+    rows = [[rng.choice(stems) for _ in range(rng.randrange(9))] for _ in range(200)]
+
+    def plain(row):
+        left, out = list(dict.fromkeys(row)), []
+        while left:
+            first = left[0]
+            like = [t for t in left if t == first or difflib.SequenceMatcher(None, first.lower(), t.lower()).ratio() >= 0.8]
+            out.append(sorted(like, key=len)[0])
+            left = [t for t in left if t not in like]
+        return out
+
+    df = spark.createDataFrame(list(enumerate(rows)), "i int, t array<string>")
+    got = {r["i"]: r["m"] for r in df.select("i", tags.merge_similar("t").alias("m")).collect()}
+    assert got == {i: plain(r) for i, r in enumerate(rows)}
+
+
+def limiter(requests, per_window, most, seconds):
+    kept, out = [], []
+    for t, a in requests:
+        kept = [(u, b) for u, b in kept if t - u < seconds]
+        ok = len(kept) < per_window and sum(b for _, b in kept) + a <= most
+        kept += [(t, a)] * ok
+        out.append(ok)
+    return out
+
+
+def test_hot_keys(spark):
+    """One key has a third of the rows; results are those of plain versions."""
+    rng = random.Random(9)
+    t0 = datetime(2024, 3, 1)
+    rows = [(i, None if i % 3 == 0 else f"k{rng.randrange(20)}", t0 + timedelta(seconds=rng.randrange(4000) + (9000 if i % 2 else 0)), float(rng.randrange(1, 30))) for i in range(1500)]
+    df = spark.createDataFrame(rows, "i int, k string, ts timestamp, v double")
+    by = {}
+    for r in rows:
+        by.setdefault(r[1], []).append(r)
+    pruned = {r["i"] for r in state.beyond_newest(df, "k", "ts", "i", 5).collect()}
+    assert pruned == {r[0] for own in by.values() for r in sorted(own, key=lambda r: (r[2], r[0]))[:-5]}
+    newest = {r["k"]: (r["i"], r["v"]) for r in state.latest(df, "k", "ts", "i").collect()}
+    assert newest == {k: (m[0], m[3]) for k, own in by.items() for m in [max(own, key=lambda r: (r[2], r[0]))]}
+    used = {r["i"]: (r["requests"], r["used"]) for r in state.window_usage(df, "k", "ts", "v", 60).collect()}
+    for own in by.values():
+        for r in own:
+            inside = [x for x in own if 0 <= (r[2] - x[2]).total_seconds() < 60]
+            assert used[r[0]] == (len(inside), pytest.approx(sum(x[3] for x in inside)))
+    got = {r["i"]: r["admitted"] for r in state.admitted(df, "k", "ts", "i", "v", 3, 60.0, 60).collect()}
+    for own in by.values():
+        own = sorted(own, key=lambda r: (r[2], r[0]))
+        assert [got[r[0]] for r in own] == limiter([((r[2] - t0).total_seconds(), r[3]) for r in own], 3, 60.0, 60)
+
+
+def test_names_of_categories_have_a_bound(spark, monkeypatch):
+    df = spark.createDataFrame([(1, "Alpha beta"), (2, None)], "i int, t string")
+    names = spark.createDataFrame([("m", "alpha", 2), ("m", "BETA", 3), (None, "x", 1), ("m", "", 9)], "main string, name string, weight int")
+    assert [tuple(r) for r in categories.category_matches(df, "i", "t", names).collect()] == [(1, "m", 5)]
+    monkeypatch.setattr(categories, "MAX_NAMES", 1)
+    with pytest.raises(ValueError, match="more than 1 names"):
+        categories.category_matches(df, "i", "t", names)
+
+
+def test_statistics_of_nothing(spark):
+    got = tags.statistics(spark.createDataFrame([], "tags array<string>")).first().asDict()
+    assert got == {"total_tagged": 0, "average_tags_per_item": None, "total_unique_tags": 0, "average_confidence": None}
+    two = tags.statistics(spark.createDataFrame([(["python", "x", "x"],), (None,)], "tags array<string>")).first()
+    assert (two["total_tagged"], two["total_unique_tags"], two["average_confidence"], two["average_tags_per_item"]) == (2, 2, 6.5, 1.5)
