@@ -17,10 +17,34 @@ def json_rows(df: DataFrame) -> DataFrame:
     return df.select("id", F.to_json(F.struct(*[F.col(c) for c in df.columns]), {"ignoreNullFields": "false"}).alias("json"))
 
 
-def csv_rows(df: DataFrame) -> DataFrame:
-    """Texts cut at 1000 characters, lists joined by semicolons; null lists are empty."""
-    flat = {c: F.array_join(F.coalesce(F.col(c), F.array().cast("array<string>")), "; ") for c in ("categories", "tags")}
-    return df.withColumns(flat | {"content": F.substring("content", 1, 1000)})
+#: Columns of a CSV file and of JSON rows, in order; those after the first that a table lacks are null.
+COLUMNS = ("id", "title", "url", "author", "content", "bookmark_type", "categories", "tags", "created_at", "processed_at", "processing_time")
+MORE = ("metadata", "analysis_results")
+
+
+def header(df: DataFrame, version: str = "1") -> DataFrame:
+    """One row about a collection: when it was made, its number of records, the maker and its version."""
+    return df.agg(F.count("*").alias("total_bookmarks")).select(F.current_timestamp().cast("string").alias("generated_at"), "total_bookmarks", F.lit("linkloom").alias("generator"), F.lit(version).alias("version"))
+
+
+def csv_rows(df: DataFrame, with_more: bool = False) -> DataFrame:
+    """COLUMNS as flat values: texts cut at 1000 characters, lists joined by semicolons, null lists empty, times as ISO
+    text. with_more adds MORE as JSON."""
+    lists = {c: F.array_join(F.coalesce(F.col(c), F.array().cast("array<string>")), "; ") for c in ("categories", "tags") if c in df.columns}
+    flat = df.withColumns(lists | {"content": F.substring("content", 1, 1000)} if "content" in df.columns else lists)
+    times = {c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss") for c, kind in flat.dtypes if c in COLUMNS and kind.startswith("timestamp")}
+    nested = {c: F.to_json(c) for c, kind in flat.dtypes if c in MORE and kind.startswith(("struct", "map", "array"))}
+    flat = flat.withColumns(times | nested)
+    return flat.select(*[F.col(c) if c in flat.columns else F.lit(None).cast("string").alias(c) for c in COLUMNS + (MORE if with_more else ())])
+
+
+def exported(df: DataFrame, format: str = "json") -> DataFrame:
+    """(value): the records as text, one object a row. CSV isn't exported in this way; other formats are unknown."""
+    if format == "csv":
+        raise NotImplementedError("CSV export not yet implemented")
+    if format != "json":
+        raise ValueError(f"Unsupported export format: {format}")
+    return df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("value"))
 
 
 def markdown_record(title: Column, author: Column, url: Column, kind: Column, tags: Column, created: Column, content: Column, insights: Column) -> Column:

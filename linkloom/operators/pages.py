@@ -95,6 +95,13 @@ def post_metadata(html: Column) -> Column:
     return F.struct(*counts, sorted_set(hashtags(html)).alias("hashtags"), sorted_set(mentions(html)).alias("mentions"), post_media(html).alias("media_urls"))
 
 
+def engagement_counts(metadata: Column) -> Column:
+    """MAP of replies, retweets and likes for those of the counts that are there; null for none."""
+    names = (("replies", "reply_count"), ("retweets", "retweet_count"), ("likes", "like_count"))
+    present = F.map_filter(F.create_map(*[x for name, count in names for x in (F.lit(name), metadata[count])]), lambda k, v: v.isNotNull())
+    return F.when(F.size(present) > 0, present)
+
+
 def better_post_title(title: Column, content: Column, author: Column) -> Column:
     """A generic title becomes one of the author and the first 50 characters."""
     cut = F.concat(F.substring(content, 1, 50), F.when(F.length(content) > 50, "...").otherwise(""))
@@ -157,6 +164,15 @@ def youtube(html: Column) -> Column:
     return F.struct(F.coalesce(title, F.lit("YouTube Video")).alias("title"), F.coalesce(squeeze(unescape(strip(first_match(html, YT_TEXTS)))), F.lit("")).alias("content"), F.coalesce(unescape(strip(first_match(html, YT_AUTHORS))), F.lit("")).alias("author"))
 
 
+def youtube_date(html: Column) -> Column:
+    return first_date(html, YT_DATES)
+
+
+def video_date(html: Column) -> Column:
+    """Of any other platform's page."""
+    return first_date(html, VIDEO_DATES)
+
+
 def simple_youtube(html: Column) -> Column:
     parts = (("title", r"<title>([^<]+)</title>"), ("content", r'"description":\{"simpleText":"([^"]+)"'), ("author", r'"author":"([^"]+)"'))
     return F.struct(*[(F.coalesce(match(html, p), F.lit("")) if n == "author" else clean_text(F.coalesce(match(html, p), F.lit("")))).alias(n) for n, p in parts])

@@ -6,6 +6,7 @@ are the operator. Parsing is a fold over the lines that carries the section they
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -26,22 +27,60 @@ def prompt(kind: str, content: Column, templates: dict[str, tuple[str, str]] = P
     return F.replace(F.lit(templates[kind][1]), F.lit("{content}"), F.coalesce(content, F.lit("")))
 
 
-def request_json(provider: str, model: str, prompt_text: Column, system: str, temperature: float = 0.3, max_tokens: int = 2000) -> Column:
+#: What one provider is asked to block unless told otherwise.
+SAFETY = tuple({"category": f"HARM_CATEGORY_{c}", "threshold": "BLOCK_MEDIUM_AND_ABOVE"} for c in ("HARASSMENT", "HATE_SPEECH", "SEXUALLY_EXPLICIT", "DANGEROUS_CONTENT"))
+
+
+def _json(value: object) -> Column:
+    """A constant of any shape, to be put into a body as it is."""
+    return F.parse_json(F.lit(json.dumps(value)))
+
+
+def _image_parts(images: Column, of: Callable[[Column], Column]) -> Column:
+    """Each image as a part of a message, in JSON; images is an ARRAY<STRUCT<media_type, data>>, null for none."""
+    return F.transform(F.coalesce(images, F.array().cast("array<struct<media_type: string, data: string>>")), of)
+
+
+def request_json(
+    provider: str, model: str, prompt_text: Column, system: str | None, temperature: float = 0.3, max_tokens: int = 2000, tools: list | None = None, tool_choice: object = None,
+    images: Column | None = None, response_format: dict | None = None, safety: list | tuple | None = SAFETY, stop: list[str] | None = None,
+) -> Column:
     """The body of a request in the layout of one of three providers: messages with a system field (claude), messages
-    alone (grok), contents with a generation config (gemini)."""
+    alone (grok), contents with a generation config (gemini). tools, tool_choice, response_format (grok), safety and stop
+    (gemini) are constants; images is an ARRAY<STRUCT<media_type, data>> of base64 data before the text (claude, gemini).
+    What a provider has no place for raises ValueError."""
     text, temp, most = prompt_text, F.lit(temperature), F.lit(max_tokens)
-    user = F.struct(F.lit("user").alias("role"), text.alias("content"))
+    lacking = {"claude": {"response_format": response_format}, "grok": {"images": images}, "gemini": {"response_format": response_format, "tool_choice": tool_choice}}
+    if provider not in lacking:
+        raise ValueError(f"unknown provider: {provider}")
+    if wrong := [n for n, x in lacking[provider].items() if x is not None]:
+        raise ValueError(f"{provider} has no {wrong[0]}")
+    fields: list[Column] = []
     if provider == "claude":
-        body = F.struct(F.lit(model).alias("model"), most.alias("max_tokens"), temp.alias("temperature"), F.array(user).alias("messages"), F.lit(system).alias("system"))
+        content = text
+        if images is not None:
+            picture = lambda i: F.struct(F.lit("image").alias("type"), F.struct(F.lit("base64").alias("type"), F.coalesce(i["media_type"], F.lit("image/jpeg")).alias("media_type"), i["data"].alias("data")).alias("source"), F.lit(None).cast("string").alias("text"))
+            words = F.struct(F.lit("text").alias("type"), F.lit(None).cast("struct<type: string, media_type: string, data: string>").alias("source"), text.alias("text"))
+            content = F.concat(_image_parts(images, picture), F.array(words))
+        fields = [F.lit(model).alias("model"), most.alias("max_tokens"), temp.alias("temperature"), F.array(F.struct(F.lit("user").alias("role"), content.alias("content"))).alias("messages")]
+        fields += [F.lit(system).alias("system")] * bool(system) + [_json(tools).alias("tools")] * bool(tools) + [_json(tool_choice).alias("tool_choice")] * bool(tool_choice)
     elif provider == "grok":
-        body = F.struct(F.lit(model).alias("model"), F.array(F.struct(F.lit("system").alias("role"), F.lit(system).alias("content")), user).alias("messages"), most.alias("max_tokens"), temp.alias("temperature"), F.lit(0.9).alias("top_p"))
-    elif provider == "gemini":
-        parts = lambda c: F.struct(F.array(F.struct(c.alias("text"))).alias("parts"))
-        config = F.struct(temp.alias("temperature"), F.lit(0.8).alias("topP"), F.lit(40).alias("topK"), most.alias("maxOutputTokens"))
-        body = F.struct(F.array(parts(text)).alias("contents"), config.alias("generationConfig"), parts(F.lit(system)).alias("systemInstruction"))
+        said = [F.struct(F.lit(r).alias("role"), c.alias("content")) for r, c in (("system", F.lit(system)), ("user", text)) if r == "user" or system]
+        fields = [F.lit(model).alias("model"), F.array(*said).alias("messages"), most.alias("max_tokens"), temp.alias("temperature")]
+        fields += [_json(tools).alias("tools"), _json(tool_choice or "auto").alias("tool_choice")] if tools else []
+        fields += [_json(response_format).alias("response_format")] if response_format else []
+        fields += [F.lit(0.9).alias("top_p")] if not tools and not response_format else []
     else:
-        raise ValueError(f"unknown provider: {provider}")
-    return F.to_json(body, {"ignoreNullFields": "false"})
+        parts = F.array(F.struct(F.lit(None).cast("struct<mime_type: string, data: string>").alias("inline_data"), text.alias("text")))
+        if images is not None:
+            picture = lambda i: F.struct(F.struct(F.coalesce(i["media_type"], F.lit("image/jpeg")).alias("mime_type"), i["data"].alias("data")).alias("inline_data"), F.lit(None).cast("string").alias("text"))
+            parts = F.concat(_image_parts(images, picture), parts)
+        config = [temp.alias("temperature"), F.lit(0.8).alias("topP"), F.lit(40).alias("topK"), most.alias("maxOutputTokens")]
+        config += [F.array(*[F.lit(x) for x in stop]).alias("stopSequences")] if stop else []
+        fields = [F.array(F.struct(parts.alias("parts"))).alias("contents"), F.struct(*config).alias("generationConfig")]
+        fields += [F.struct(F.array(F.struct(F.lit(system).alias("text"))).alias("parts")).alias("systemInstruction")] * bool(system) + [_json(tools).alias("tools")] * bool(tools)
+        fields += [_json(list(safety)).alias("safetySettings")] if safety and not tools and images is None else []
+    return F.to_json(F.struct(*fields))
 
 
 def response_text(provider: str, json: Column) -> Column:

@@ -103,6 +103,32 @@ def check_response(content: Column, usage: Column, model: Column, seconds: Colum
     return _result(errors, _messages((F.coalesce(seconds > 300, F.lit(False)), "Processing time is very high (>5 minutes)")))
 
 
+def check_response_json(json: Column) -> Column:
+    """As check_response for a response as JSON text, where a field may be missing or of any kind."""
+    v = F.try_parse_json(json)
+    kind = lambda path: F.schema_of_variant(F.try_variant_get(v, path, "variant"))
+    there = lambda name: F.coalesce(F.array_contains(F.json_object_keys(F.when(is_object, json)), name), F.lit(False))
+    is_object = F.coalesce(F.startswith(F.schema_of_variant(v), F.lit("OBJECT")), F.lit(False))
+    text = lambda name: F.when(kind(f"$.{name}") == "STRING", F.try_variant_get(v, f"$.{name}", "string"))
+    usage = F.coalesce(F.startswith(kind("$.usage"), F.lit("OBJECT")), F.lit(False))
+    usage_keys = F.coalesce(F.json_object_keys(F.get_json_object(json, "$.usage")), F.array().cast("array<string>"))
+
+    def count_wrong(name: str) -> Column:
+        whole = F.coalesce(kind(f"$.usage.{name}") == "BIGINT", F.lit(False))
+        return usage & F.array_contains(usage_keys, name) & ~(whole & F.coalesce(F.try_variant_get(v, f"$.usage.{name}", "bigint") >= 0, F.lit(False)))
+
+    seconds = F.when(kind("$.processing_time").rlike("^(BIGINT|DOUBLE|DECIMAL.*)$"), F.try_variant_get(v, "$.processing_time", "double"))
+    errors = _messages(
+        *[(~there(n), f"Missing required field: {n}") for n in ("content", "model", "usage")],
+        (there("content") & text("content").isNull(), "Content must be a string"), (F.coalesce(strip(text("content")) == "", F.lit(False)), "Content is empty"),
+        (there("usage") & ~usage, "Usage must be a dictionary"), *[(count_wrong(n), f"Usage field {n} must be a non-negative integer") for n in ("prompt_tokens", "completion_tokens", "total_tokens")],
+        (there("model") & F.coalesce(strip(text("model")) == "", F.lit(True)), "Model must be a non-empty string"),
+        (there("processing_time") & F.coalesce(seconds < 0, F.lit(True)), "Processing time must be a non-negative number"),
+    )
+    errors = F.when(is_object, errors).otherwise(F.array(F.lit("LLM response must be a dictionary")))
+    return _result(errors, _messages((F.coalesce(seconds > 300, F.lit(False)), "Processing time is very high (>5 minutes)")))
+
+
 def response_word_count(content: Column) -> Column:
     return F.when(strip(content) != "", word_count(content))
 

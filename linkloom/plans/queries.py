@@ -25,8 +25,8 @@ from ..operators import threads as H
 from ..operators import validate as V
 from ..runtime import table
 from ..streaming.windows import sessions, windowed
-from . import views
-from .views import ANSWERS, BOOKMARKS, EVENTS, PAGES, POSTS, RECORDS, plain, view
+from . import pipeline, views
+from .views import ANSWERS, BOOKMARKS, EVENTS, KB, PAGES, POSTS, RECORDS, plain, view
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -112,7 +112,8 @@ def long(c: Column) -> Column:
 
 _P = U._PARTS
 q_host = "lower(regexp_extract(url, " + lit(_P) + ", 2))"
-project("bookmark_type", BOOKMARKS, "bm_seq", ("type", lambda: U.bookmark_type(col("url")), "CASE WHEN url IS NULL THEN NULL WHEN contains(url, 'twitter.com') OR contains(url, 'x.com') THEN CASE WHEN contains(url, '/status/') THEN 'tweet' WHEN contains(url, '/thread/') THEN 'thread' END WHEN contains(url, 'youtube.com') OR contains(url, 'youtu.be') THEN 'video' ELSE 'general' END"))
+q_route = "CASE WHEN url IS NULL THEN NULL WHEN contains(url, 'twitter.com') OR contains(url, 'x.com') THEN CASE WHEN contains(url, '/status/') THEN 'tweet' WHEN contains(url, '/thread/') THEN 'thread' END WHEN contains(url, 'youtube.com') OR contains(url, 'youtu.be') THEN 'video' ELSE 'general' END"
+project("bookmark_type", BOOKMARKS, "bm_seq", ("type", lambda: U.bookmark_type(col("url")), q_route))
 project("extractor_route", BOOKMARKS, "bm_seq", ("route", lambda: U.extractor_route(col("url")), f"CASE WHEN contains({q_host}, 'twitter.com') OR contains({q_host}, 'x.com') THEN 'twitter' WHEN contains({q_host}, 'youtube.com') OR contains({q_host}, 'youtu.be') THEN 'youtube' ELSE 'generic' END"))
 project(
     "url_parts", BOOKMARKS, "bm_seq", ("scheme", lambda: U.scheme(col("url")), f"lower(regexp_extract(url, {lit(_P)}, 1))"), ("netloc", lambda: U.netloc(col("url")), f"regexp_extract(url, {lit(_P)}, 2)"),
@@ -180,6 +181,24 @@ add(
     "llm_response_validate", lambda s, d: table(s, d, "llm_responses").select("response_id", V.check_response(col("content"), col("usage"), col("model"), col("processing_time")).alias("c"), long(V.response_word_count(col("content"))).alias("word_count")).select("response_id", col("c")["is_valid"].alias("is_valid"), joined(col("c")["errors"]).alias("errors"), joined(col("c")["warnings"]).alias("warnings"), "word_count"),
     f"SELECT response_id, len({q_resp}) = 0 AS is_valid, {q_join(q_resp)} AS errors, CASE WHEN processing_time > 300 THEN 'Processing time is very high (>5 minutes)' ELSE '' END AS warnings, CASE WHEN {q_strip('content')} <> '' THEN CAST(len({q_words('content')}) AS BIGINT) END AS word_count FROM llm_responses",
 )
+_SHAPES = (
+    """'{"content": "some text", "model": "m", "usage": {"total_tokens": ' || coalesce(CAST(usage.total_tokens AS VARCHAR(20)), '"x"') || '}, "processing_time": 400.5}'""", """'{"content": 5, "model": " ", "usage": [1]}'""",
+    """'{"usage": {"prompt_tokens": 1.5, "completion_tokens": -1}, "processing_time": -2}'""", """'[1, 2]'""", """'{broken'""", """'{"content": " ", "model": null, "usage": {}, "processing_time": "fast"}'""",
+)
+SHAPED = f"SELECT response_id, CASE response_id % 6 {' '.join(f'WHEN {i} THEN {x}' for i, x in enumerate(_SHAPES))} END AS j FROM @llm_responses"
+_TYPE = lambda path: f"json_type(v, '$.{path}')"
+_TOKENS = ("prompt_tokens", "completion_tokens", "total_tokens")
+q_shape = q_some(
+    [f"CASE WHEN v IS NOT NULL AND {_TYPE(n)} IS NULL THEN 'Missing required field: {n}' END" for n in ("content", "model", "usage")]
+    + [f"CASE WHEN {_TYPE('content')} <> 'VARCHAR' THEN 'Content must be a string' END", f"CASE WHEN {_TYPE('content')} = 'VARCHAR' AND trim(v ->> '$.content') = '' THEN 'Content is empty' END", f"CASE WHEN {_TYPE('usage')} <> 'OBJECT' THEN 'Usage must be a dictionary' END"]
+    + [f"CASE WHEN {_TYPE('usage')} = 'OBJECT' AND {_TYPE('usage.' + n)} IS NOT NULL AND NOT ({_TYPE('usage.' + n)} IN ('UBIGINT', 'BIGINT') AND try_cast(v ->> '$.usage.{n}' AS DOUBLE) >= 0) THEN 'Usage field {n} must be a non-negative integer' END" for n in _TOKENS]
+    + [f"CASE WHEN {_TYPE('model')} IS NOT NULL AND ({_TYPE('model')} <> 'VARCHAR' OR trim(v ->> '$.model') = '') THEN 'Model must be a non-empty string' END"]
+    + [f"CASE WHEN {_TYPE('processing_time')} IS NOT NULL AND NOT ({_TYPE('processing_time')} IN ('UBIGINT', 'BIGINT', 'DOUBLE') AND coalesce(try_cast(v ->> '$.processing_time' AS DOUBLE) >= 0, false)) THEN 'Processing time must be a non-negative number' END"]
+)
+add(
+    "llm_response_json_validate", lambda s, d: view(s, d, SHAPED).select("response_id", V.check_response_json(col("j")).alias("c")).select("response_id", col("c")["is_valid"].alias("is_valid"), joined(col("c")["errors"]).alias("errors"), joined(col("c")["warnings"]).alias("warnings")),
+    f"WITH b AS ({SHAPED}), o AS (SELECT response_id, CASE WHEN json_valid(j) THEN CASE WHEN json_type(j) = 'OBJECT' THEN j END END AS v FROM b), e AS (SELECT response_id, CASE WHEN v IS NULL THEN ['LLM response must be a dictionary'] ELSE {q_shape} END AS errs, CASE WHEN {_TYPE('processing_time')} IN ('UBIGINT', 'BIGINT', 'DOUBLE') AND try_cast(v ->> '$.processing_time' AS DOUBLE) > 300 THEN 'Processing time is very high (>5 minutes)' ELSE '' END AS warnings FROM o) SELECT response_id, len(errs) = 0 AS is_valid, array_to_string(errs, '|') AS errors, warnings FROM e",
+)
 _NEEDED = ["source", "tags", "reading_time"]
 q_keys = "CASE WHEN json_valid(metadata) AND json_type(metadata) = 'OBJECT' THEN json_keys(metadata) ELSE CAST([] AS VARCHAR[]) END"
 add("json_structure", lambda s, d: table(s, d, "bookmarks").select("bm_seq", joined(V.json_missing(col("metadata"), _NEEDED)).alias("missing")), f"SELECT bm_seq, {q_join(f'list_filter({_NEEDED}, lambda r: NOT list_contains({q_keys}, r))')} AS missing FROM bookmarks")
@@ -248,6 +267,11 @@ project(
 )
 q_dates = "coalesce(" + ", ".join(f"try_cast(replace({q_match('html', p)}, 'Z', '') AS TIMESTAMP)" for p in P.POST_DATES) + ")"
 project("published_date", PAGES, "extract_id", ("published", lambda: F.date_format(P.post_date(col("html")), "yyyy-MM-dd HH:mm:ss"), f"strftime({q_dates}, '%Y-%m-%d %H:%M:%S')"))
+for _name, _fn, _patterns in (("youtube", P.youtube_date, P.YT_DATES), ("other", P.video_date, P.VIDEO_DATES)):
+    q_video_date = "coalesce(" + ", ".join(f"try_cast(replace({q_match('html', p)}, 'Z', '') AS TIMESTAMP)" for p in _patterns) + ")"
+    project(f"video_date_{_name}", PAGES, "extract_id", ("published", lambda f=_fn: F.date_format(f(col("html")), "yyyy-MM-dd HH:mm:ss"), f"strftime({q_video_date}, '%Y-%m-%d %H:%M:%S')"))
+_COUNTS = (("replies", "reply"), ("retweets", "retweet"), ("likes", "like"))
+project("tweet_engagement", PAGES, "extract_id", ("engagement", lambda: joined(F.transform(F.array_sort(F.map_entries(P.engagement_counts(P.post_metadata(col("html"))))), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))), "nullif(array_to_string([x for x in [" + ", ".join(f"'{n}=' || ({q_count(w)})" for n, w in sorted(_COUNTS)) + "] if x IS NOT NULL], '|'), '')"))
 project("is_retweet", POSTS, "bm_seq", ("retweet", lambda: P.is_retweet(col("content")), "starts_with(content, 'RT @') OR contains(lower(content), 'retweeted')"))
 project("is_reply", POSTS, "bm_seq", ("reply", lambda: P.is_reply(col("content")), "starts_with(content, '@') OR contains(lower(content), 'replying to')"))
 for _name, _mark, _fn in (("hashtags", "#", T.hashtags), ("mentions", "@", T.mentions)):
@@ -344,7 +368,8 @@ project("content_type", BOOKMARKS, "bm_seq", ("content_type", lambda: A.content_
 q_topics = q_some([f"CASE WHEN contains(lower(content), {lit(w)}) THEN {lit(w.title())} END" for w in vocab.TECH_TOPICS + vocab.BUSINESS_TOPICS])
 project("topics_fallback", BOOKMARKS, "bm_seq", ("topics", lambda: joined(A.topics_by_keyword(col("content"))), q_join(f"({q_topics})[1:5]")))
 q_sentences = f"list_transform(string_split(content, '.'), lambda s: {q_strip('s')})"
-project("insights_fallback", BOOKMARKS, "bm_seq", ("insights", lambda: joined(A.insights_by_keyword(col("content"))), q_join(f"list_filter({q_sentences}, lambda s: length(s) > 20 AND {q_any('lower(s)', vocab.INSIGHT_WORDS)})[1:3]")))
+q_insights = q_join(f"list_filter({q_sentences}, lambda s: length(s) > 20 AND {q_any('lower(s)', vocab.INSIGHT_WORDS)})[1:3]")
+project("insights_fallback", BOOKMARKS, "bm_seq", ("insights", lambda: joined(A.insights_by_keyword(col("content"))), q_insights))
 project(
     "keyword_pipeline", BOOKMARKS, "bm_seq", ("sentiment", lambda: A.analysis(col("content"))["sentiment"], q_sentiment), ("content_type", lambda: A.analysis(col("content"))["content_type"], q_kind), ("category", lambda: C.by_keywords(col("content"))["primary"], "{PRIMARY}"),
 )
@@ -436,11 +461,38 @@ def unpacked(name: str, base: str, key: str, struct: Callable[[], Column], lists
 unpacked("parse_analysis", ANSWERS, "response_id", lambda: R.parse_analysis(col("answer"), col("original")), ("main_topics", "key_insights", "actionable_items", "technologies_tools"))
 unpacked("parse_category", ANSWERS, "response_id", lambda: R.parse_categories(col("answer"), col("original")), ("secondary",))
 unpacked("parse_tags", ANSWERS, "response_id", lambda: R.parse_tags(col("answer"), col("original")), ("tags", "confidence"))
-add("llm_request_json", lambda s, d: view(s, d, ANSWERS).select("response_id", *[F.get_json_object(R.request_json(p, "m", R.prompt("tags", col("original")), "sys"), path).alias(p) for p, path in (("claude", "$.messages[0].content"), ("grok", "$.messages[1].content"), ("gemini", "$.contents[0].parts[0].text"))]), f"WITH b AS ({ANSWERS}), p AS (SELECT response_id, replace({lit(R.PROMPTS['tags'][1])}, '{{content}}', coalesce(original, '')) AS t FROM b) SELECT response_id, t AS claude, t AS grok, t AS gemini FROM p")
+_TOOLS = [{"name": "look_up", "input_schema": {"type": "object"}}]
+
+
+def requested(spark: SparkSession, d: str) -> DataFrame:
+    """Fields read back from request bodies: the text, the system text, limits, tools, an image and what to block."""
+    text, picture = R.prompt("tags", col("original")), F.array(F.struct(F.lit(None).cast("string").alias("media_type"), F.base64(F.encode("step", "utf-8")).alias("data")))
+    bodies = {
+        "claude": R.request_json("claude", "m", text, "sys", images=picture, tools=_TOOLS), "grok": R.request_json("grok", "m", text, "sys", tools=_TOOLS), "gemini": R.request_json("gemini", "m", text, "sys"),
+    }
+    paths = {
+        "claude": ("$.messages[0].content[1].text", "claude", "$.system", "claude_system", "$.messages[0].content[0].source.data", "claude_image", "$.messages[0].content[0].source.media_type", "claude_kind", "$.tools[0].name", "claude_tool"),
+        "grok": ("$.messages[1].content", "grok", "$.messages[0].content", "grok_system", "$.max_tokens", "grok_most", "$.tool_choice", "grok_choice"),
+        "gemini": ("$.contents[0].parts[0].text", "gemini", "$.systemInstruction.parts[0].text", "gemini_system", "$.safetySettings[3].category", "gemini_safety", "$.generationConfig.topK", "gemini_k"),
+    }
+    fields = [F.get_json_object(bodies[p], path).alias(n) for p, own in paths.items() for path, n in zip(own[::2], own[1::2])]
+    return view(spark, d, ANSWERS).select("response_id", *fields)
+
+
+add("llm_request_json", requested, f"WITH b AS ({ANSWERS}), p AS (SELECT response_id, step, replace({lit(R.PROMPTS['tags'][1])}, '{{content}}', coalesce(original, '')) AS t FROM b) SELECT response_id, t AS claude, 'sys' AS claude_system, base64(encode(step)) AS claude_image, 'image/jpeg' AS claude_kind, 'look_up' AS claude_tool, t AS grok, 'sys' AS grok_system, '2000' AS grok_most, 'auto' AS grok_choice, t AS gemini, 'sys' AS gemini_system, 'HARM_CATEGORY_DANGEROUS_CONTENT' AS gemini_safety, '40' AS gemini_k FROM p")
 _BODIES = {"claude": "to_json(named_struct('content', array(named_struct('type', 'text', 'text', answer), named_struct('type', 'tool', 'text', 'no'))))", "grok": "to_json(named_struct('choices', array(named_struct('message', named_struct('content', answer)))))", "gemini": "to_json(named_struct('candidates', array(named_struct('content', named_struct('parts', array(named_struct('text', answer)))))))"}
 add("llm_response_parse", lambda s, d: view(s, d, ANSWERS).select("response_id", *[R.response_text(p, F.expr(b)).alias(p) for p, b in _BODIES.items()]), f"WITH b AS ({ANSWERS}) SELECT response_id, coalesce(answer, '') AS claude, coalesce(answer, '') AS grok, coalesce(answer, '') AS gemini FROM b")
-add("sse_parse", lambda s, d: view(s, d, ANSWERS).select("response_id", joined(R.stream_events(F.expr("concat('data: a', char(10), 'event: x', char(10), 'data: ', cast(response_id as string), char(10), 'data: [DONE]', char(10), 'data: late')"))).alias("events")), f"WITH b AS ({ANSWERS}) SELECT response_id, 'a|' || response_id AS events FROM b")
-add("batch_defaults", lambda s, d: table(s, d, "llm_responses").select("response_id", F.coalesce(F.when(T.strip(col("content")) != "", A.sentiment(col("content"))), A.default_analysis(F.lit("blank"))["sentiment"]).alias("sentiment")), f"SELECT response_id, CASE WHEN {q_strip('content')} <> '' THEN {q_sentiment} ELSE 'Neutral' END AS sentiment FROM llm_responses")
+add("sse_parse", lambda s, d: view(s, d, ANSWERS).select("response_id", joined(R.stream_events(F.expr("concat('event: x', char(10), 'data: ', replace(coalesce(answer, ''), char(10), concat(char(10), 'data: ')), char(10), 'data: [DONE]', char(10), 'data: late')"))).alias("events")), f"WITH b AS ({ANSWERS}) SELECT response_id, {q_join('list_transform(string_split(coalesce(answer, ' + lit('') + '), chr(10)), lambda l: ' + q_strip('l') + ')')} AS events FROM b")
+_DEFAULTED = ("sentiment", "complexity_level", "content_type", "word_count")
+
+
+def defaulted(spark: SparkSession, d: str) -> DataFrame:
+    """Analyses with the default one where there is nothing to analyse."""
+    rows = table(spark, d, "llm_responses").select("response_id", F.when(T.strip(col("content")) != "", A.analysis(col("content"))).alias("a"), A.default_analysis(F.lit("Content cannot be empty")).alias("e"))
+    return rows.select("response_id", *[F.coalesce(col("a")[f].cast("string"), col("e")[f].cast("string")).alias(f) for f in _DEFAULTED], F.when(col("a").isNull(), col("e")["error"]).alias("error"))
+
+
+add("batch_defaults", defaulted, f"WITH x AS (SELECT *, coalesce({q_strip('content')} <> '', false) AS there FROM llm_responses) SELECT response_id, CASE WHEN there THEN {q_sentiment} ELSE 'Neutral' END AS sentiment, CASE WHEN there THEN {q_complexity} ELSE 'Medium' END AS complexity_level, CASE WHEN there THEN {q_kind} ELSE 'Article' END AS content_type, CAST(CASE WHEN there THEN len({q_words('content')}) ELSE 0 END AS VARCHAR) AS word_count, CASE WHEN NOT there THEN 'Content cannot be empty' END AS error FROM x")
 add("token_usage", lambda s, d: table(s, d, "llm_responses").groupBy("model").agg(F.count("*").alias("n"), F.sum(F.when(col("usage.total_tokens") >= 0, col("usage.total_tokens"))).alias("tokens")), "SELECT model, count(*) AS n, CAST(sum(CASE WHEN usage.total_tokens >= 0 THEN usage.total_tokens END) AS BIGINT) AS tokens FROM llm_responses GROUP BY model")
 
 # Knowledge base
@@ -452,11 +504,20 @@ def recs(spark: SparkSession, d: str) -> DataFrame:
     return view(spark, d, RECORDS)
 
 
-add("kb_csv_rows", lambda s, d: K.csv_rows(recs(s, d).select("proc_id", "id", "title", F.lit("x").alias("content"), "categories", "tags")).select("proc_id", "id", "title", "categories", "tags"), R_SQL + "SELECT proc_id, id, title, array_to_string(coalesce(categories, CAST([] AS VARCHAR[])), '; ') AS categories, array_to_string(coalesce(tags, CAST([] AS VARCHAR[])), '; ') AS tags FROM b")
-add("kb_json_rows", lambda s, d: K.json_rows(recs(s, d).select("id", "title", "url", "author")).select("id", F.get_json_object("json", "$.title").alias("title"), F.get_json_object("json", "$.author").alias("author")), R_SQL + "SELECT id, title, author FROM b")
-add("kb_markdown_sections", lambda s, d: recs(s, d).select("proc_id", K.primary(col("categories")).alias("category"), K.markdown_record(col("title"), col("author"), col("url"), F.lit("general"), F.array_compact("tags"), F.date_format("processed_at", "yyyy-MM-dd"), F.lit(""), F.array_compact("key_insights")).alias("block")), R_SQL + "SELECT proc_id, coalesce(categories[1], 'Uncategorized') AS category, '### ' || coalesce(title, '') || chr(10) || '**Author:** ' || coalesce(author, '') || chr(10) || '**URL:** [' || coalesce(url, '') || '](' || coalesce(url, '') || ')' || chr(10) || '**Type:** general' || chr(10) || '**Tags:** ' || coalesce(array_to_string(tags, ', '), '') || chr(10) || '**Created:** ' || strftime(processed_at, '%Y-%m-%d') || coalesce(CASE WHEN len(list_filter(key_insights, lambda k: k IS NOT NULL)) > 0 THEN chr(10) || chr(10) || '**Key Insights:**' || chr(10) || array_to_string(list_transform(list_filter(key_insights, lambda k: k IS NOT NULL)[1:3], lambda i: '- ' || i), chr(10)) END, '') || chr(10) || chr(10) || '---' || chr(10) AS block FROM b")
+KB_SQL = f"WITH b AS ({KB}) "
+
+
+def kept(spark: SparkSession, d: str) -> DataFrame:
+    return view(spark, d, KB)
+
+
+add("kb_csv_rows", lambda s, d: K.csv_rows(kept(s, d)), KB_SQL + "SELECT id, title, url, author, left(content, 1000) AS content, bookmark_type, array_to_string(coalesce(categories, CAST([] AS VARCHAR[])), '; ') AS categories, array_to_string(coalesce(tags, CAST([] AS VARCHAR[])), '; ') AS tags, created_at, strftime(processed_at, '%Y-%m-%dT%H:%M:%S') AS processed_at, processing_time FROM b")
+_OWN = ("id", "title", "url", "author", "content", "bookmark_type", "created_at")
+add("kb_json_rows", lambda s, d: K.json_rows(kept(s, d).select(*_OWN, "categories", "tags", "processing_time")).select(*[F.get_json_object("json", f"$.{c}").alias(c) for c in (*_OWN, "categories", "tags")], F.get_json_object("json", "$.processing_time").cast("double").alias("processing_time")), KB_SQL + f"SELECT {', '.join(_OWN)}, CAST(to_json(categories) AS VARCHAR) AS categories, CAST(to_json(tags) AS VARCHAR) AS tags, processing_time FROM b")
+add("kb_markdown_sections", lambda s, d: kept(s, d).select("proc_id", K.primary(col("categories")).alias("category"), K.markdown_record(col("title"), col("author"), col("url"), col("bookmark_type"), F.array_compact("tags"), F.date_format("processed_at", "yyyy-MM-dd"), col("content"), F.array_compact("key_insights")).alias("block")), KB_SQL + "SELECT proc_id, coalesce(categories[1], 'Uncategorized') AS category, '### ' || coalesce(title, '') || chr(10) || '**Author:** ' || coalesce(author, '') || chr(10) || '**URL:** [' || coalesce(url, '') || '](' || coalesce(url, '') || ')' || chr(10) || '**Type:** ' || coalesce(bookmark_type, '') || chr(10) || '**Tags:** ' || coalesce(array_to_string(tags, ', '), '') || chr(10) || '**Created:** ' || strftime(processed_at, '%Y-%m-%d') || coalesce(CASE WHEN length(content) > 0 THEN chr(10) || chr(10) || '**Content:**' || chr(10) || left(content, 500) || '...' END, '') || coalesce(CASE WHEN len(list_filter(key_insights, lambda k: k IS NOT NULL)) > 0 THEN chr(10) || chr(10) || '**Key Insights:**' || chr(10) || array_to_string(list_transform(list_filter(key_insights, lambda k: k IS NOT NULL)[1:3], lambda i: '- ' || i), chr(10)) END, '') || chr(10) || chr(10) || '---' || chr(10) AS block FROM b")
 add("kb_toc", lambda s, d: K.contents_table(recs(s, d)), R_SQL + "SELECT DISTINCT coalesce(categories[1], 'Uncategorized') AS category, '- [' || coalesce(categories[1], 'Uncategorized') || '](#' || replace(lower(coalesce(categories[1], 'Uncategorized')), ' ', '-') || ')' AS entry FROM b")
-add("training_jsonl", lambda s, d: recs(s, d).select("proc_id", K.training_rows(col("title"), col("categories"), col("tags"), F.struct("content_type"), col("url"), col("title"), col("author"), F.lit("general")).alias("j")).select("proc_id", F.get_json_object("j", "$.input").alias("input"), F.get_json_object("j", "$.metadata.url").alias("url"), F.get_json_object("j", "$.output.analysis.content_type").alias("kind")), R_SQL + "SELECT proc_id, title AS input, url, content_type AS kind FROM b")
+_ANALYSIS = ("content_type", "complexity_level", "word_count")
+add("training_jsonl", lambda s, d: kept(s, d).select("proc_id", K.training_rows(col("content"), col("categories"), col("tags"), F.struct(*_ANALYSIS), col("url"), col("title"), col("author"), col("bookmark_type")).alias("j")).select("proc_id", *[F.get_json_object("j", p).alias(n) for n, p in (("input", "$.input"), ("categories", "$.output.categories"), ("tags", "$.output.tags"), ("url", "$.metadata.url"), ("title", "$.metadata.title"), ("author", "$.metadata.author"), ("kind", "$.metadata.type"), *((c, f"$.output.analysis.{c}") for c in _ANALYSIS))]), KB_SQL + "SELECT proc_id, content AS input, CAST(to_json(categories) AS VARCHAR) AS categories, CAST(to_json(tags) AS VARCHAR) AS tags, url, title, author, bookmark_type AS kind, content_type, complexity_level, CAST(word_count AS VARCHAR) AS word_count FROM b")
 add("kb_type_counts", lambda s, d: A.histogram(table(s, d, "bookmarks"), col("bookmark_type"), "type"), "SELECT bookmark_type AS type, count(*) AS n FROM bookmarks GROUP BY 1")
 for _name, _field in (("kb_category_counts", "categories"), ("kb_tag_counts", "tags")):
     add(_name, lambda s, d, f=_field: A.item_counts(recs(s, d), col(f)), R_SQL + f"SELECT item, count(*) AS n FROM (SELECT unnest({_field}) AS item FROM b) WHERE item IS NOT NULL GROUP BY item")
@@ -492,6 +553,30 @@ add("rate_admission", lambda s, d: S.admitted(view(s, d, EVENTS).select("event_i
 add("event_windows", lambda s, d: windowed(view(s, d, EVENTS), "ts", "1 hour", "1 hour", by=("event_type",)).select(F.date_format(col("window")["start"], "yyyy-MM-dd HH:mm").alias("hour"), "event_type", "n"), "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS hour, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 add("event_sessions", lambda s, d: sessions(view(s, d, EVENTS), "ts", "6 hours", "1 hour", "user_id").select("user_id", F.date_format(col("session")["start"], "yyyy-MM-dd HH:mm:ss").alias("began"), "n"), "WITH m AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), g AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM m) SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS began, count(*) AS n FROM g GROUP BY user_id, k")
 
+# The whole pipeline
+
+_RAW = ("id", "url", "title", "content", "author", "created_at", "metadata")
+
+
+def outcomes(spark: SparkSession, d: str) -> DataFrame:
+    return pipeline.outcomes(view(spark, d, BOOKMARKS).select("bm_seq", *_RAW), pipeline.Options(False, False, False))
+
+
+q_content = q_strip("content")
+add("pipeline_outcomes", lambda s, d: outcomes(s, d).select("bm_seq", "status", joined(col("errors")).alias("errors")), CHECKED_SQL + f"SELECT bm_seq, CASE WHEN len(errs) > 0 THEN 'skipped' WHEN coalesce({q_content} = '', true) THEN 'failed' ELSE 'successful' END AS status, CASE WHEN len(errs) > 0 THEN {q_join('errs')} WHEN coalesce({q_content} = '', true) THEN 'Content cannot be empty' ELSE '' END AS errors FROM c")
+_FIRST = f"SELECT * FROM (SELECT *, {q_errors} AS errs, row_number() OVER (PARTITION BY id ORDER BY bm_seq) AS nth FROM ({BOOKMARKS}) AS every) AS f WHERE nth = 1 AND id IS NOT NULL AND len(errs) = 0 AND {q_content} <> ''"
+
+
+def piped(spark: SparkSession, d: str) -> DataFrame:
+    """All stages over all bookmarks: first seen, checked, routed, analysed, categorised, tagged."""
+    a = col("analysis_results")
+    rows = pipeline.process(view(spark, d, BOOKMARKS).select("bm_seq", *_RAW), ["bm_seq"])
+    lists = [joined(c).alias(n) for n, c in (("topics", a["main_topics"]), ("insights", a["key_insights"]), ("categories", col("categories")), ("tags", col("tags")))]
+    return rows.select("bm_seq", "bookmark_type", a["sentiment"].alias("sentiment"), a["complexity_level"].alias("complexity"), a["content_type"].alias("content_type"), *lists)
+
+
+add("pipeline_process", piped, SCORED_SQL.replace(f"({BOOKMARKS})", f"({_FIRST})", 1) + f"SELECT bm_seq, {q_route} AS bookmark_type, {q_sentiment} AS sentiment, {q_complexity} AS complexity, {q_kind} AS content_type, {q_join(f'({q_topics})[1:5]')} AS topics, {q_insights} AS insights, array_to_string(list_concat([coalesce(ranked[1], 'Other')], coalesce(ranked[2:4], CAST([] AS VARCHAR[]))), '|') AS categories, {q_join(f'list_filter({q_tag_list}, lambda x, i: list_position({q_tag_list}, x) = i)[1:10]')} AS tags FROM (SELECT r.*, b.url FROM r JOIN b USING (bm_seq)) AS x")
+
 # Sources
 
 INLINE_SQL = "SELECT 1 AS n, 'https://a.example/1' AS url UNION ALL SELECT 2, 'https://x.com/a/status/2' UNION ALL SELECT 3, 'https://youtu.be/abcdefghijk'"

@@ -72,6 +72,10 @@ min(analysis_results.relevance_score) AS relevance_score, min(analysis_results.w
 min(analysis_results.content_type) AS content_type, min(analysis_results.complexity_level) AS complexity_level, min(processed_at) AS processed_at, min(processing_time) AS processing_time,
 min(categories) AS categories, min(tags) AS tags, min(analysis_results.main_topics) AS main_topics, min(analysis_results.key_insights) AS key_insights FROM @processed_bookmarks GROUP BY proc_id"""
 
+# Stored contents are shorter than the limits of the formats; three times the content is longer than some.
+KB = f"""SELECT r.*, b.bookmark_type, b.metadata, b.content || ' ' || b.content || ' ' || b.content AS content FROM ({RECORDS}) AS r
+LEFT JOIN (SELECT id AS bid, min(content) AS content, min(bookmark_type) AS bookmark_type, min(metadata) AS metadata FROM @bookmarks GROUP BY id) AS b ON r.id = b.bid"""
+
 _ANSWERS = [
     "'**Main Topics**' || chr(10) || '- Databases' || chr(10) || '- Good tools' || chr(10) || '**Key Insights**' || chr(10) || '  - Indexes: matter' || chr(10) || '**Author Expertise**' || chr(10) || 'Level: Expert' || chr(10) || '**Relevance Score**' || chr(10) || 'Score: ' || CAST(response_id % 14 AS VARCHAR(20)) || '/10'",
     "'- **Main Topics**: one, two' || chr(10) || '- **Author Expertise**: Expert' || chr(10) || '- **Relevance Score**: abc' || chr(10) || 'Note: high' || chr(10) || 'A simple overview'",

@@ -14,25 +14,35 @@ log = logging.getLogger(__name__)
 
 
 def write_json(df: DataFrame, path: str) -> None:
-    """One JSON object a line, null fields kept."""
-    df.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+    """One JSON object a line, null fields kept, in path/bookmarks, and one line about the collection in path/metadata:
+    a single document would have to be written by one task."""
+    df.write.mode("overwrite").option("ignoreNullFields", "false").json(f"{path}/bookmarks")
+    knowledge.header(df).coalesce(1).write.mode("overwrite").json(f"{path}/metadata")
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """df has content, categories and tags; structs and maps become JSON."""
-    flat = knowledge.csv_rows(df)
-    nested = [f.name for f in flat.schema if f.dataType.typeName() in ("struct", "map", "array")]
-    flat.withColumns({n: F.to_json(n) for n in nested}).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    """The columns of knowledge.csv_rows, with metadata and analysis_results as JSON where df has them."""
+    more = any(c in df.columns for c in knowledge.MORE)
+    knowledge.csv_rows(df, more).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
-def write_markdown(df: DataFrame, path: str) -> None:
-    """Blocks of records sorted by category, each category under its heading, split over files by range of category.
+def write_markdown(df: DataFrame, path: str, title: str = "Knowledge Base", order: str | None = None) -> None:
+    """A title with date and count, a table of contents, then blocks of records by category, each category under its
+    heading; split over files by range of category. order names a column that orders the records of a category, by
+    default `id` where there is one.
+
     df has title, author, url, bookmark_type, tags, created_at, content, categories and key_insights."""
     c = F.col
+    order = order or ("id" if "id" in df.columns else "url")
     block = knowledge.markdown_record(c("title"), c("author"), c("url"), c("bookmark_type"), F.array_compact("tags"), c("created_at").cast("string"), c("content"), F.array_compact("key_insights"))
-    rows = df.select(knowledge.primary(c("categories")).alias("category"), F.lit(1).alias("kind"), block.alias("value"))
-    heads = rows.select("category").distinct().select("category", F.lit(0).alias("kind"), F.concat(F.lit("## "), c("category"), F.lit("\n")).alias("value"))
-    rows.unionByName(heads).orderBy("category", "kind", "value").select("value").write.mode("overwrite").text(path)
+    at = lambda kind, o: (F.lit(kind).alias("kind"), o.cast("string").alias("at"))
+    rows = df.select(F.lit(1).alias("section"), knowledge.primary(c("categories")).alias("category"), *at(1, c(order)), block.alias("value"))
+    contents = knowledge.contents_table(df)
+    heads = contents.select(F.lit(1).alias("section"), "category", *at(0, F.lit("")), F.concat(F.lit("## "), c("category"), F.lit("\n")).alias("value"))
+    entries = contents.select(F.lit(0).alias("section"), c("category"), *at(1, F.lit("")), c("entry").alias("value"))
+    top = knowledge.header(df).select(F.lit(0).alias("section"), F.lit("").alias("category"), *at(-1, F.lit("")), F.concat(F.lit(f"# {title}\n\nGenerated on: "), F.substring("generated_at", 1, 19), F.lit("\nTotal bookmarks: "), c("total_bookmarks").cast("string"), F.lit("\n\n---\n\n## Table of Contents\n")).alias("value"))
+    end = df.sparkSession.createDataFrame([(0, "\U0010ffff", 2, "", "\n---\n")], "section int, category string, kind int, at string, value string")
+    rows.unionByName(heads).unionByName(entries).unionByName(top).unionByName(end).orderBy("section", "category", "kind", "at", F.xxhash64("value")).select("value").write.mode("overwrite").text(path)
 
 
 def write_training(df: DataFrame, path: str, least: int = 11) -> bool:

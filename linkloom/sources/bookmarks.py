@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import time
+from collections import deque
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -48,17 +51,77 @@ def fetch(df: DataFrame, key: str, url: str, transport: Callable[[str], str], ou
     return df.select(F.col(key).alias("_key"), F.col(url).alias("_url")).mapInPandas(run, f"{key} {kind}, {url} string, {out} string, error string")
 
 
-def retrying(call: Callable[[str], str], attempts: int = 3, wait: Callable[[int], None] = lambda n: None, again: tuple[type[Exception], ...] = (ConnectionError, TimeoutError)) -> Callable[[str], str]:
-    """A transport that tries again on errors of the connection, waiting between; other errors fail at once."""
+def from_pages(df: DataFrame, pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
+    """df with the page stored for its address, null where there is none: fetching without a network. pages has one row
+    for each address, or several of which the greatest page is taken."""
+    one = pages.where(F.col(url).isNotNull()).groupBy(url).agg(F.max(html).alias(html))
+    return df.join(one, url, "left")
+
+
+def fetched_only(df: DataFrame) -> DataFrame:
+    """Rows of fetch that came back; failures are dropped."""
+    return df.where("error IS NULL").drop("error")
+
+
+class HttpError(Exception):
+    """An answer other than 200."""
+
+    def __init__(self, status: int, text: str = "") -> None:
+        super().__init__(f"HTTP {status}: {text}")
+        self.status = status
+
+
+def checked(call: Callable[[str], tuple[int, str]]) -> Callable[[str], str]:
+    """A transport from one that returns (status, text): any status but 200 is an HttpError, and an address that isn't
+    http or https is refused before the call."""
+
+    def run(url: str) -> str:
+        if not re.match(r"https?://[^/?#]", url):
+            raise ValueError("Invalid URL")
+        status, text = call(url)
+        if status != 200:
+            raise HttpError(status, text)
+        return text
+
+    return run
+
+
+def retrying(call: Callable[[str], str], attempts: int = 3, wait: Callable[[float], None] = time.sleep, delay: float = 1.0, again: tuple[type[Exception], ...] = (ConnectionError, TimeoutError)) -> Callable[[str], str]:
+    """A transport that tries again on errors of the connection and on status 429, waiting twice as long each time; other
+    errors fail at once."""
 
     def run(url: str) -> str:
         for n in range(attempts):
             try:
                 return call(url)
-            except again:
-                if n + 1 == attempts:
+            except Exception as e:
+                if n + 1 == attempts or not (isinstance(e, again) or getattr(e, "status", None) == 429):
                     raise
-                wait(2**n)
-        raise AssertionError
+                wait(delay * 2**n)
+        raise ValueError("no attempts")
+
+    return run
+
+
+def throttled(call: Callable[[str], str], per_minute: int, now: Callable[[], float] = time.monotonic, wait: Callable[[float], None] = time.sleep) -> Callable[[str], str]:
+    """A transport that waits until fewer than per_minute calls lie in the last minute. It counts its own worker's calls:
+    divide a provider's limit by the number of tasks that run at a time."""
+    made: deque[float] = deque()
+
+    def run(url: str) -> str:
+        while True:
+            while made and now() - made[0] >= 60:
+                made.popleft()
+            if len(made) < per_minute:
+                break
+            wait(60 - (now() - made[0]))
+        made.append(now())
+        return call(url)
 
     return run
+
+
+def posted(df: DataFrame, key: str, body: str, transport: Callable[[str], str], out: str = "response") -> DataFrame:
+    """(key, out, error): the answers to request bodies, as fetch does for addresses; bodies go through the same
+    transports."""
+    return fetch(df, key, body, transport, out).drop(body)
