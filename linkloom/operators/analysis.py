@@ -85,5 +85,11 @@ def item_counts(df: DataFrame, items: Column, name: str = "item") -> DataFrame:
     return df.select(F.explode(items).alias(name)).where(F.col(name).isNotNull()).groupBy(name).agg(F.count("*").alias("n"))
 
 
-def top_items(df: DataFrame, items: Column, n: int, name: str = "item") -> DataFrame:
-    return item_counts(df, items, name).orderBy(F.desc("n"), name).limit(n)
+def top_items(df: DataFrame, items: Column, n: int, name: str = "item", order: str | None = None) -> DataFrame:
+    """(name, n) of the n most frequent items. Of equally frequent ones the first seen comes first where `order` names a
+    column that orders the rows, else the smaller value."""
+    if order is None:
+        return item_counts(df, items, name).orderBy(F.desc("n"), name).limit(n)
+    each = df.select(F.col(order).alias("_order"), F.posexplode(items).alias("_pos", name)).where(F.col(name).isNotNull())
+    counts = each.groupBy(name).agg(F.count("*").alias("n"), F.min(F.struct("_order", "_pos")).alias("_first"))
+    return counts.orderBy(F.desc("n"), "_first").limit(n).select(name, "n")

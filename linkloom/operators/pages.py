@@ -121,6 +121,14 @@ def embed(json: Column) -> Column:
     return F.struct(F.coalesce(j["author_name"], F.lit("Tweet")).alias("title"), clean_html(j["html"]).alias("content"), F.coalesce(j["author_name"], F.lit("")).alias("author"), F.coalesce(j["provider_name"], F.lit("")).alias("provider_name"))
 
 
+def scraped_or_embedded(html: Column, json: Column) -> Column:
+    """A post's title, content and author from its page, or from its oEmbed answer where the page gives no content."""
+    page = F.struct(post_title(html).alias("title"), post_text(html).alias("content"), post_author(html).alias("author"), F.lit("web_scraping").alias("extraction_method"))
+    other = embed(json)
+    given = F.struct(other["title"].alias("title"), other["content"].alias("content"), other["author"].alias("author"), F.lit("oembed").alias("extraction_method"))
+    return F.when(F.length(post_text(html)) > 0, page).when(F.length(other["content"]) > 0, given).otherwise(page)
+
+
 def is_retweet(content: Column) -> Column:
     return F.coalesce(F.startswith(content, F.lit("RT @")) | F.contains(F.lower(content), F.lit("retweeted")), F.lit(False))
 
@@ -198,6 +206,15 @@ def any_video(html: Column) -> Column:
     return F.struct(get(VIDEO_TITLES, "Video").alias("title"), get(VIDEO_TEXTS, "").alias("content"), get(VIDEO_AUTHORS, "", lambda c: c).alias("author"))
 
 
+def video_page(html: Column, url: Column) -> Column:
+    """Title, content, author and time of a video's page by its platform: one platform's own patterns, else those of any
+    page."""
+    platform, tube, other = urls.platform(url), youtube(html), any_video(html)
+    own = platform == "youtube"
+    fields = [F.when(own, tube[f]).otherwise(other[f]).alias(f) for f in ("title", "content", "author")]
+    return F.struct(F.coalesce(platform, F.lit("unknown")).alias("platform"), *fields, F.when(own, youtube_date(html)).otherwise(video_date(html)).alias("created_at"))
+
+
 def format_duration(seconds: Column) -> Column:
     h, m, s = F.floor(seconds / 3600), F.floor(seconds % 3600 / 60), seconds % 60
     return F.when(seconds.isNull(), None).when(h > 0, F.format_string("%d:%02d:%02d", h, m, s)).otherwise(F.format_string("%d:%02d", m, s))

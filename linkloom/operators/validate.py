@@ -85,6 +85,13 @@ def bookmark_warnings(df: DataFrame, known: tuple[str, ...] = FIELDS) -> Column:
     return F.concat(F.transform(url_warnings(F.col("url")), lambda w: F.concat(F.lit("URL validation: "), w)), own) if "url" in df.columns else own
 
 
+def bookmark_facts(df: DataFrame) -> Column:
+    """What a check says besides its messages: how many fields are there, and whether content and author are given."""
+    there = [F.col(c).isNotNull().cast("int") for c in df.columns if c in FIELDS]
+    given = lambda c: F.coalesce(F.col(c) != "", F.lit(False)) if c in df.columns else F.lit(False)
+    return F.struct(sum(there[1:], there[0]).alias("field_count") if there else F.lit(0).alias("field_count"), given("content").alias("has_content"), given("author").alias("has_author"))
+
+
 def check_bookmarks(df: DataFrame, known: tuple[str, ...] = FIELDS) -> DataFrame:
     """df with `checked`. Blank, null and very long fields have a defined result; rows are kept as they are."""
     return df.withColumn("checked", _result(bookmark_errors(df), bookmark_warnings(df, known)))

@@ -28,15 +28,14 @@ def routed(df: DataFrame, html: str = "html", now: str | None = None) -> DataFra
     kind = F.col("bookmark_type")
     rows = df.withColumn("bookmark_type", urls.bookmark_type(F.col("url")))
     if html in df.columns:
-        page, host = F.col(html), urls.netloc(F.col("url"))
-        tube = F.contains(host, F.lit("youtu"))
-        video = lambda name: F.when(tube, pages.youtube(page)[name]).otherwise(pages.any_video(page)[name])
+        page = F.col(html)
+        video = pages.video_page(page, F.col("url"))
         post = kind.isin("tweet", "thread")
         found = {
-            "title": F.when(post, pages.better_post_title(pages.post_title(page), pages.post_text(page), pages.post_author(page))).when(kind == "video", video("title")),
-            "content": F.when(post, pages.post_text(page)).when(kind == "video", video("content")),
-            "author": F.when(post, pages.post_author(page)).when(kind == "video", video("author")),
-            "created_at": F.when(post, pages.post_date(page)).when(kind == "video", F.when(tube, pages.youtube_date(page)).otherwise(pages.video_date(page))).cast("string"),
+            "title": F.when(post, pages.better_post_title(pages.post_title(page), pages.post_text(page), pages.post_author(page))).when(kind == "video", video["title"]),
+            "content": F.when(post, pages.post_text(page)).when(kind == "video", video["content"]),
+            "author": F.when(post, pages.post_author(page)).when(kind == "video", video["author"]),
+            "created_at": F.when(post, pages.post_date(page)).when(kind == "video", video["created_at"]).cast("string"),
         }
         own = lambda c: F.col(c) if c in df.columns else F.lit(None).cast("string")
         rows = rows.withColumns({c: F.coalesce(F.when(page.isNotNull() & (f != ""), f), own(c)) for c, f in found.items()})

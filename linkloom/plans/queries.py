@@ -168,6 +168,7 @@ def _fields(df: DataFrame) -> DataFrame:
 
 CHECKED_SQL = f"WITH b AS ({BOOKMARKS}), c AS (SELECT *, {q_errors} AS errs, {q_warnings} AS warns FROM b) "
 add("bookmark_validate", lambda s, d: _fields(checked(s, d)), CHECKED_SQL + f"SELECT bm_seq, len(errs) = 0 AS is_valid, {q_join('errs')} AS errors, {q_join('warns')} AS warnings FROM c")
+add("bookmark_facts", lambda s, d: view(s, d, BOOKMARKS).select("bm_seq", F.inline(F.array(V.bookmark_facts(view(s, d, BOOKMARKS).select(*_FIELDS))))), f"WITH b AS ({BOOKMARKS}) SELECT bm_seq, {' + '.join(f'CAST({f} IS NOT NULL AS INTEGER)' for f in _FIELDS)} AS field_count, coalesce(content <> '', false) AS has_content, coalesce(author <> '', false) AS has_author FROM b")
 add("valid_bookmarks", lambda s, d: V.valid_bookmarks(view(s, d, BOOKMARKS)).select("bm_seq", "url"), CHECKED_SQL + "SELECT bm_seq, url FROM c WHERE len(errs) = 0")
 add("validation_summary", lambda s, d: V.summarise(checked(s, d)), CHECKED_SQL + "SELECT count(*) AS total_items, count(*) FILTER (len(errs) = 0) AS valid_items, count(*) FILTER (len(errs) > 0) AS invalid_items, count(*) FILTER (len(warns) > 0) AS items_with_warnings FROM c")
 for _name, _sql in (("common_errors", "errs"), ("common_warnings", "warns")):
@@ -272,6 +273,13 @@ for _name, _fn, _patterns in (("youtube", P.youtube_date, P.YT_DATES), ("other",
     project(f"video_date_{_name}", PAGES, "extract_id", ("published", lambda f=_fn: F.date_format(f(col("html")), "yyyy-MM-dd HH:mm:ss"), f"strftime({q_video_date}, '%Y-%m-%d %H:%M:%S')"))
 _COUNTS = (("replies", "reply"), ("retweets", "retweet"), ("likes", "like"))
 project("tweet_engagement", PAGES, "extract_id", ("engagement", lambda: joined(F.transform(F.array_sort(F.map_entries(P.engagement_counts(P.post_metadata(col("html"))))), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))), "nullif(array_to_string([x for x in [" + ", ".join(f"'{n}=' || ({q_count(w)})" for n, w in sorted(_COUNTS)) + "] if x IS NOT NULL], '|'), '')"))
+_EMBED = "'{\"author_name\": \"Someone\", \"html\": \"<p>Embedded ' || extract_id || '</p>\"}'"
+project(
+    "tweet_or_embed", PAGES, "extract_id", *[(f, lambda f=f: P.scraped_or_embedded(col("html"), F.expr(_EMBED))[f], q) for f, q in (
+        ("title", f"CASE WHEN length({q_post_content}) > 0 THEN {q_post_title} ELSE 'Someone' END"), ("content", f"CASE WHEN length({q_post_content}) > 0 THEN {q_post_content} ELSE 'Embedded ' || extract_id END"),
+        ("author", f"CASE WHEN length({q_post_content}) > 0 THEN {q_post_author} ELSE 'Someone' END"), ("extraction_method", f"CASE WHEN length({q_post_content}) > 0 THEN 'web_scraping' ELSE 'oembed' END"),
+    )],
+)
 project("is_retweet", POSTS, "bm_seq", ("retweet", lambda: P.is_retweet(col("content")), "starts_with(content, 'RT @') OR contains(lower(content), 'retweeted')"))
 project("is_reply", POSTS, "bm_seq", ("reply", lambda: P.is_reply(col("content")), "starts_with(content, '@') OR contains(lower(content), 'replying to')"))
 for _name, _mark, _fn in (("hashtags", "#", T.hashtags), ("mentions", "@", T.mentions)):
@@ -420,8 +428,8 @@ def tagged(spark: SparkSession, d: str) -> DataFrame:
     return view(spark, d, RECORDS).select("proc_id", G.clean(F.array_compact("tags")).alias("tags"))
 
 
-TAGS_SQL = f"WITH b AS ({RECORDS}), t AS (SELECT proc_id, list_distinct({q_cleaned}) AS tags FROM b) "
-add("clean_tags", lambda s, d: tagged(s, d).select("proc_id", joined(F.array_sort("tags")).alias("tags")), TAGS_SQL + "SELECT proc_id, array_to_string(list_sort(tags), '|') AS tags FROM t")
+TAGS_SQL = f"WITH b AS ({RECORDS}), cleaned AS (SELECT proc_id, {q_cleaned} AS l FROM b), t AS (SELECT proc_id, list_filter(l, lambda x, i: list_position(l, x) = i) AS tags FROM cleaned) "
+add("clean_tags", lambda s, d: tagged(s, d).select("proc_id", joined(col("tags")).alias("tags")), TAGS_SQL + "SELECT proc_id, array_to_string(tags, '|') AS tags FROM t")
 _TAGS = vocab.tag_rows()
 VOCAB_SQL = "voc(co, ko, category, kw) AS (VALUES " + ", ".join(f"({i}, {j}, {lit(c)}, {lit(k)})" for i, j, c, k in _TAGS) + ")"
 add("tag_categorize", lambda s, d: tagged(s, d).select(F.explode("tags").alias("tag")).distinct().select("tag", G.category(col("tag")).alias("category")), TAGS_SQL.rstrip() + f", {VOCAB_SQL}, d AS (SELECT DISTINCT unnest(tags) AS tag FROM t) SELECT tag, coalesce((SELECT arg_min(category, co * 100 + ko) FROM voc WHERE contains(tag, kw) OR contains(kw, tag)), 'general') AS category FROM d")
@@ -439,7 +447,7 @@ add("tag_fallback", lambda s, d: view(s, d, BOOKMARKS).select("bm_seq", joined(G
 add("tag_candidates", lambda s, d: view(s, d, BOOKMARKS).select("bm_seq", joined(G.candidates(col("content"))).alias("candidates")), f"WITH b AS ({BOOKMARKS}) SELECT bm_seq, {q_join(q_candidates)} AS candidates FROM b")
 add("tag_confidence", lambda s, d: tagged(s, d).select(F.explode("tags").alias("tag")).distinct().select("tag", G.confidence(col("tag")).alias("confidence")), TAGS_SQL.rstrip() + f", {VOCAB_SQL}, d AS (SELECT DISTINCT unnest(tags) AS tag FROM t) SELECT tag, CASE WHEN tag IN (SELECT kw FROM voc) THEN 8.0::DOUBLE ELSE 5.0::DOUBLE END AS confidence FROM d")
 add("merge_similar_tags", lambda s, d: tagged(s, d).select("proc_id", joined(G.merge_similar(col("tags"))).alias("merged")))
-add("tag_stats_top", lambda s, d: A.top_items(tagged(s, d), col("tags"), 20, "tag"), TAGS_SQL + "SELECT tag, count(*) AS n FROM (SELECT unnest(tags) AS tag FROM t) GROUP BY tag ORDER BY n DESC, tag LIMIT 20")
+add("tag_stats_top", lambda s, d: A.top_items(tagged(s, d), col("tags"), 20, "tag", "proc_id"), TAGS_SQL + "SELECT tag, count(*) AS n FROM (SELECT proc_id, unnest(tags) AS tag, unnest(range(len(tags))) AS pos FROM t) GROUP BY tag ORDER BY n DESC, min(proc_id * 100000 + pos) LIMIT 20")
 add("tag_stats_categories", lambda s, d: A.histogram(tagged(s, d).select(F.explode("tags").alias("tag")), G.category(col("tag")), "category"), TAGS_SQL.rstrip() + f", {VOCAB_SQL}, d AS (SELECT unnest(tags) AS tag FROM t), u AS (SELECT DISTINCT tag FROM d), g AS (SELECT tag, coalesce((SELECT arg_min(category, co * 100 + ko) FROM voc WHERE contains(tag, kw) OR contains(kw, tag)), 'general') AS category FROM u) SELECT category, count(*) AS n FROM d JOIN g USING (tag) GROUP BY category")
 add("tag_stats_summary", lambda s, d: G.statistics(tagged(s, d)), TAGS_SQL.rstrip() + f", {VOCAB_SQL}, u AS (SELECT unnest(tags) AS tag FROM t) SELECT (SELECT count(*) FROM t) AS total_tagged, (SELECT round_even(avg(coalesce(len(tags), 0)), 2) FROM t) AS average_tags_per_item, count(DISTINCT tag) AS total_unique_tags, round_even(avg(CASE WHEN tag IN (SELECT kw FROM voc) THEN 8.0::DOUBLE ELSE 5.0::DOUBLE END), 2) AS average_confidence FROM u")
 
@@ -525,7 +533,7 @@ add("kb_author_counts", lambda s, d: K.counts(table(s, d, "bookmarks"), col("aut
 add("kb_time_stats", lambda s, d: K.time_statistics(recs(s, d)).select(F.round("total", 3).alias("total"), F.round("average", 6).alias("average"), "min", "max"), R_SQL + "SELECT round(sum(processing_time), 3) AS total, round(avg(processing_time), 6) AS average, min(processing_time) AS min, max(processing_time) AS max FROM b")
 _STRUCT = lambda: F.when(col("content_type").isNotNull(), F.struct("relevance_score", "word_count", "reading_time_minutes"))
 add("analysis_summary", lambda s, d: A.summary(recs(s, d).withColumn("analysis_results", _STRUCT())), R_SQL + "SELECT count(*) AS total_analyzed, round_even(avg(relevance_score), 2) AS average_relevance_score, round_even(avg(word_count), 0) AS average_word_count, round_even(avg(reading_time_minutes), 1) AS average_reading_time FROM b WHERE content_type IS NOT NULL HAVING count(*) > 0")
-add("topic_top10", lambda s, d: A.top_items(recs(s, d), col("main_topics"), 10, "topic"), R_SQL + "SELECT topic, count(*) AS n FROM (SELECT unnest(main_topics) AS topic FROM b) WHERE topic IS NOT NULL GROUP BY topic ORDER BY n DESC, topic LIMIT 10")
+add("topic_top10", lambda s, d: A.top_items(recs(s, d), col("main_topics"), 10, "topic", "proc_id"), R_SQL + "SELECT topic, count(*) AS n FROM (SELECT proc_id, unnest(main_topics) AS topic, unnest(range(len(main_topics))) AS pos FROM b) WHERE topic IS NOT NULL GROUP BY topic ORDER BY n DESC, min(proc_id * 100000 + pos) LIMIT 10")
 for _name, _field in (("content_type_hist", "content_type"), ("complexity_hist", "complexity_level")):
     add(_name, lambda s, d, f=_field: A.histogram(recs(s, d), col(f)), R_SQL + f"SELECT {_field} AS value, count(*) AS n FROM b GROUP BY 1")
 
