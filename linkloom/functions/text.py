@@ -1,4 +1,5 @@
-"""Text functions as Column expressions. All stay in generated code; none needs Python."""
+"""Text functions as Column expressions of the JVM; none needs Python. What uses `let` or another function over arrays is
+evaluated term by term beside the generated code, which is what keeps that code short enough to compile."""
 
 from __future__ import annotations
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.temporal import staged, with_utc_micros, written_parts
-from ..runtime import broadcast_within, table
+from ..runtime import broadcast_within, spread, table
 
 #: A table of feeds is broadcast up to this many rows; a longer one is joined by shuffling.
 MAX_FEEDS = 20_000
@@ -86,6 +86,6 @@ def found_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     """p1_found: the instant of every bookmark's created_at and every extraction's published_date that denotes one."""
     feeds = table(spark, sf_dir, "feeds")
     sources = (("bookmarks", "bm_seq", "created_at"), ("extracted_content", "extract_id", "published_date"))
-    parts = [table(spark, sf_dir, name).select(F.lit(name).alias("table_name"), F.col(key).cast("bigint").alias("row_key"), F.col(value).alias("written"), "feed_id") for name, key, value in sources]
+    parts = [spread(table(spark, sf_dir, name)).select(F.lit(name).alias("table_name"), F.col(key).cast("bigint").alias("row_key"), F.col(value).alias("written"), "feed_id") for name, key, value in sources]
     every = parts[0].unionByName(parts[1])
     return normalise_times(every, "written", feeds).where("utc_us is not null").select("table_name", "row_key", "utc_us")
