@@ -27,7 +27,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """df on all cores where its scan gives fewer tasks than there are cores, as with one small file; else df as it is."""
+    """df, a scan, on all cores where it gives fewer tasks than there are cores, as one small file does; else as it is."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if 0 < df._jdf.rdd().getNumPartitions() < cores else df
 
