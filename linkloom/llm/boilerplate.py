@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import broadcast_within, cut_lineage, table
+from ..runtime import broadcast_within, cut_lineage, spread, table
 
 #: A class is valid from this share of the pages its tokens could recur on: one page with the token is set aside on each
 #: host, or rare tokens would look frequent on small hosts. Headings within texts come to about 0.04, parts of a
@@ -256,9 +256,9 @@ def drop_boilerplate(df: DataFrame, key: str = "extract_id", content: str = "con
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cleaned = drop_boilerplate(table(spark, sf_dir, "extracted_content"), with_text=False)
+    cleaned = drop_boilerplate(spread(table(spark, sf_dir, "extracted_content")), with_text=False)
     return cleaned.select("extract_id", F.explode("dropped").alias("line_no"))
 
 
 def p3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return drop_boilerplate(table(spark, sf_dir, "extracted_content"))
+    return drop_boilerplate(spread(table(spark, sf_dir, "extracted_content")))

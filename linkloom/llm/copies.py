@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import cut_lineage, table
+from ..runtime import cut_lineage, spread, table
 
 #: Bytes of a canonical key.
 WIDTH = 32
@@ -206,8 +206,8 @@ def copies(df: DataFrame, seq: str = "bm_seq", url: str = "url", content: str =
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return copies(table(spark, sf_dir, "bookmarks"))
+    return copies(spread(table(spark, sf_dir, "bookmarks")))
 
 
 def p4_collapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return collapse(table(spark, sf_dir, "bookmarks"))
+    return collapse(spread(table(spark, sf_dir, "bookmarks")))

@@ -281,7 +281,7 @@ def leaked(docs: DataFrame, items: DataFrame, doc: str = "doc_id", text: str = "
     text_of = lambda df, key, t, name: df.where(F.col(t).isNotNull()).select(F.col(key).cast("string").alias(name), F.col(t).alias("_text"))
     coded = text_of(items.where(F.col(item).isNotNull()), item, item_text, "_item").mapInArrow(_code_items, "_item string, codes array<bigint>")
     coded = cut_lineage(coded.where(F.size("codes") >= width).withColumn("_at", F.monotonically_increasing_id()))
-    rows = text_of(spread(docs), doc, text, "_doc")
+    rows = text_of(docs, doc, text, "_doc")
     n = coded.agg(F.sum(F.size("codes") - (width - 1))).first()[0] or 0
     if n <= MAX_WINDOWS:
         found = _with_few(rows, coded, width, min_words, min_coverage)
@@ -293,10 +293,10 @@ def leaked(docs: DataFrame, items: DataFrame, doc: str = "doc_id", text: str = "
 
 
 def p6_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return leaked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+    return leaked(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "eval_items"))
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Coverage plays no part here, so tiles shorter than a passage needn't be sought."""
-    found = leaked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"), min_tile=MIN_WORDS, min_coverage=2.0)
+    found = leaked(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "eval_items"), min_tile=MIN_WORDS, min_coverage=2.0)
     return found.select("doc_id", "item_id").distinct()

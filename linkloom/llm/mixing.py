@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import cut_lineage, table
+from ..runtime import cut_lineage, spread, table
 
 #: The public tokenizer's vocabulary: a parameter of each operator, or the setting TOKENIZER_SETTING of the session, or
 #: this file.
@@ -189,8 +189,8 @@ def mix_report(docs: DataFrame, targets: DataFrame, total: int | None = None, se
 
 
 def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+    return mix_report(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "mix_targets"))
 
 
 def p7_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixed(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+    return mixed(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "mix_targets"))

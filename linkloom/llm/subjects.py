@@ -416,7 +416,6 @@ def with_subjects(docs: DataFrame, labels: DataFrame, subjects: DataFrame, key:
         raise ValueError(f"more than {MAX_SUBJECTS} subjects")
     key_type = docs.schema[key].dataType.simpleString()
     there = lambda c: F.col(c).cast("string") if c in docs.columns else F.lit(None).cast("string")
-    docs = spread(docs)
     rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"), there(kind).alias("_kind"), there(feed).alias("_feed"), F.lower(netloc(there(url))).alias("_host"))
     chain = fitted(labelled(rows, labels, names, key, min(sample, MAX_CELLS // len(names))), names) if names else None
     if chain is None:
@@ -438,7 +437,7 @@ def with_subjects(docs: DataFrame, labels: DataFrame, subjects: DataFrame, key:
 
 
 def _classified(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_subjects(table(spark, sf_dir, "bookmarks"), table(spark, sf_dir, "subject_labels"), table(spark, sf_dir, "subjects"))
+    return with_subjects(spread(table(spark, sf_dir, "bookmarks")), table(spark, sf_dir, "subject_labels"), table(spark, sf_dir, "subjects"))
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:

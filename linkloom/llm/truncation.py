@@ -338,7 +338,6 @@ def scored(docs: DataFrame, doc: str = "doc_id", text: str = "text", source: str
     is scored twice, alike.
     """
     name = source_name(F.col(source))
-    docs = spread(docs)
     counts = corpus_counts(docs, text, name)
     limits = broadcast_within(source_limits(counts).withColumnRenamed("source", "_s"), MAX_SOURCES)
     total = counts.where("size is not null").agg(F.sum("n")).first()[0] or 0
@@ -371,8 +370,8 @@ def truncation_rates(docs: DataFrame, **columns) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scored(table(spark, sf_dir, "documents")).where(F.col("score") >= THRESHOLD).select("doc_id")
+    return scored(spread(table(spark, sf_dir, "documents"))).where(F.col("score") >= THRESHOLD).select("doc_id")
 
 
 def p8_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return truncation_rates(table(spark, sf_dir, "documents"))
+    return truncation_rates(spread(table(spark, sf_dir, "documents")))
