@@ -13,6 +13,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -298,12 +299,19 @@ def fit_chain(corpus: Corpus, kinds: np.ndarray, sources: list[np.ndarray], labe
     chain = Chain(subjects, Evidence({}, np.zeros((0, k))), [], order, np.zeros((k, 0)), pairs=np.log(together / together.mean()) / 3)
     rng = np.random.default_rng(seed)
     fold = rng.integers(0, 3, n)
-    x, about = None, np.zeros((n, k))
+    x, about, every = None, np.zeros((n, k)), np.ones(n, bool)
+
+    def learnt(use: np.ndarray) -> tuple[np.ndarray, tuple]:
+        weights = corpus.learn(y, use)
+        return weights, corpus.read(weights, ~use)
+
+    with ThreadPoolExecutor(4) as pool:  # the four fits don't depend on each other, and numpy leaves the interpreter free
+        *folds, (final, _) = pool.map(learnt, [fold != f for f in range(3)] + [every])
     for f in range(3):
         here = fold == f
         if not here.any():
             continue
-        t, a, lengths = corpus.read(corpus.learn(y, ~here), here)
+        t, a, lengths = folds[f][1]
         said = [read_odds(source_odds(values, y, ~here), values[here], k) for values in sources]
         part = _structure(t, a, lengths, kinds[here], said).astype(np.float32)
         if x is None:
@@ -330,8 +338,7 @@ def fit_chain(corpus: Corpus, kinds: np.ndarray, sources: list[np.ndarray], labe
         labels_held.append(own)
     scale = logistic([(np.column_stack([np.concatenate(z), np.ones(len(held) * k)]), np.concatenate(labels_held))], np.array([1.0, 0.0]), 1.0)
     chain.weights, chain.scale = weights, (float(scale[0]), float(scale[1]))
-    every = np.ones(n, bool)
-    chain.evidence = Evidence.of(corpus, corpus.learn(y, every))
+    chain.evidence = Evidence.of(corpus, final)
     chain.sources = [source_odds(values, y, every) for values in sources]
     return chain
 
