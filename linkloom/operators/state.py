@@ -29,6 +29,14 @@ def unprocessed(df: DataFrame, done: DataFrame, key: str) -> DataFrame:
     return df.join(done.select(key).distinct(), key, "left_anti")
 
 
+def done_ids(key: str, *parts: DataFrame) -> DataFrame:
+    """(key): what is done after several runs, each once; null is never done."""
+    every = parts[0].select(key)
+    for p in parts[1:]:
+        every = every.unionByName(p.select(key))
+    return every.where(F.col(key).isNotNull()).distinct()
+
+
 def latest(df: DataFrame, key: str, at: str, tie: str) -> DataFrame:
     """The newest row of each key, nulls last; a partial aggregate, so a key with very many rows is reduced first."""
     rest = [c for c in df.columns if c != key]

@@ -31,8 +31,10 @@ def assemble(df: DataFrame, thread: str = "thread_id", pos: str = "pos") -> Data
     """One row per thread: (thread, author, title, content, thread_length, tweets, totals, hashtags, mentions).
 
     df has content, author, replies, retweets, likes, hashtags and mentions. Posts without text keep their number but
-    add nothing to the content. Null counts are 0; null lists are empty.
+    add nothing to the content. Null counts are 0; null lists are empty. Posts without a thread are none: their null key
+    would bring them together in one row.
     """
+    df = df.where(F.col(thread).isNotNull())
     tweet = F.struct(F.col(pos).alias("pos"), F.coalesce("content", F.lit("")).alias("content"), F.coalesce("author", F.lit("Unknown")).alias("author"), *[F.coalesce(F.col(c).cast("bigint"), F.lit(0).cast("bigint")).alias(c) for c in ("replies", "retweets", "likes")])
     empty = F.array().cast("array<string>")
     marks = [sorted_set(F.flatten(F.collect_list(F.coalesce(c, empty)))).alias(c) for c in ("hashtags", "mentions")]

@@ -543,6 +543,9 @@ add("first_seen", lambda s, d: S.first_seen(table(s, d, "bookmarks").select("id"
 add("resume_anti_join", lambda s, d: S.unprocessed(table(s, d, "bookmarks").select("id", "bm_seq"), table(s, d, "processed_bookmarks").select("bookmark.id"), "id"), "SELECT id, bm_seq FROM bookmarks b WHERE NOT EXISTS (SELECT 1 FROM processed_bookmarks p WHERE p.bookmark.id = b.id)")
 
 
+add("processed_union", lambda s, d: S.done_ids("id", table(s, d, "processed_bookmarks").select("bookmark.id"), table(s, d, "llm_responses").select(col("bookmark_id").alias("id"))), "SELECT bookmark.id AS id FROM processed_bookmarks WHERE bookmark.id IS NOT NULL UNION SELECT bookmark_id FROM llm_responses WHERE bookmark_id IS NOT NULL")
+
+
 def saved(spark: SparkSession, d: str) -> DataFrame:
     """Responses stand for saved states: the bookmark is their name, the response the file."""
     return table(spark, d, "llm_responses").select("response_id", "bookmark_id", "step", "created_at", F.length("content").cast("bigint").alias("size")).distinct()

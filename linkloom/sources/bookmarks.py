@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.text import tokens_by_length
+
 BOOKMARK = T.StructType([T.StructField(n, T.StringType()) for n in ("id", "url", "title", "content", "author", "created_at", "metadata")])
 
 
@@ -63,6 +65,13 @@ def fetched_only(df: DataFrame) -> DataFrame:
     return df.where("error IS NULL").drop("error")
 
 
+def token_counts(df: DataFrame, key: str, text: str, transport: Callable[[str], str], out: str = "tokens") -> DataFrame:
+    """(key, out): tokens of each text as a remote counter gives them, or by the text's length where it fails or its
+    answer is no number."""
+    asked = fetch(df, key, text, transport, "_answer")
+    return asked.select(key, F.coalesce(F.col("_answer").try_cast("int"), tokens_by_length(F.coalesce(text, F.lit("")))).alias(out))
+
+
 class HttpError(Exception):
     """An answer other than 200."""
 

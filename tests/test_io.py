@@ -71,6 +71,12 @@ def test_transports():
     assert [slow("u") for _ in range(5)] == ["0.0", "0.0", "60.0", "60.0", "120.0"]
 
 
+def test_token_counts(spark):
+    df = spark.createDataFrame([(1, "abcdefgh"), (2, "abcdefghijkl"), (3, "bad"), (4, None)], "k int, t string")
+    got = bookmarks.token_counts(df, "k", "t", lambda t: {"abcdefgh": "5", "abcdefghijkl": "many"}[t])
+    assert {r["k"]: r["tokens"] for r in got.collect()} == {1: 5, 2: 3, 3: 0, 4: 0}
+
+
 def test_pages_and_posts(spark):
     df = spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "k int, url string")
     pages = spark.createDataFrame([("a", "<p>one</p>"), ("a", "<p>one</p>"), (None, "x")], "url string, html string")
