@@ -100,12 +100,10 @@ class Corpus:
     lengths: np.ndarray
 
     @staticmethod
-    def of(index: dict[str, int], units_of: list[list[int]], terms_of: list[list[int]], lengths: list[int]) -> Corpus:
-        """From each document's sizes of units, its terms unit by unit and its number of units in all."""
-        sizes = np.concatenate([np.asarray(x, np.int32) for x in units_of] or [np.zeros(0, np.int32)])
-        docs = np.repeat(np.arange(len(units_of), dtype=np.int32), [len(x) for x in units_of])
-        every = np.concatenate([np.asarray(x, np.int32) for x in terms_of] or [np.zeros(0, np.int32)])
-        return Corpus(index, every, (np.cumsum(sizes) - sizes).astype(np.int32), docs, np.asarray(lengths, float))
+    def of(index: dict[str, int], sizes: np.ndarray, units_each: np.ndarray, every: np.ndarray, lengths: np.ndarray) -> Corpus:
+        """From all units' sizes, how many each document has, all terms unit by unit, and all documents' units in all."""
+        docs = np.repeat(np.arange(len(units_each), dtype=np.int32), units_each)
+        return Corpus(index, every, (np.cumsum(sizes) - sizes).astype(np.int32), docs, lengths.astype(float))
 
     def learn(self, own: np.ndarray, use: np.ndarray) -> np.ndarray:
         """Each term's log odds for each subject, zeros where it says nothing, from the documents in `use`.
@@ -396,8 +394,8 @@ def fitted(rows: DataFrame, subjects: list[str]) -> Chain | None:
     got = encoded.toArrow().sort_by("key")
     if not got.num_rows:
         return None
-    lists = {c: got[c].combine_chunks().to_numpy(zero_copy_only=False) for c in ("units", "terms", "length")}
-    corpus = Corpus.of(index, list(lists["units"]), list(lists["terms"]), lists["length"])
+    units_of, terms_of = got["units"].combine_chunks(), got["terms"].combine_chunks()
+    corpus = Corpus.of(index, units_of.flatten().to_numpy(), units_of.value_lengths().to_numpy(), terms_of.flatten().to_numpy(), got["length"].to_numpy())
     text = {c: pd.Series(got[c].to_pylist(), dtype=object) for c in ("kind", "feed", "host")}
     return fit_chain(corpus, _kinds(text["kind"]), [_values(text["feed"]), _values(text["host"])], [set(x) for x in got["own"].to_pylist()], subjects)
 
