@@ -75,6 +75,9 @@ def platform(url: Column) -> Column:
     return reduce(lambda rest, p: F.when(has_any(host, p[1]), p[0]).otherwise(rest), reversed(vocab.PLATFORMS), F.lit(None).cast("string"))
 
 
+# The patterns of ids in addresses of posts and videos.
+
+
 def tweet_id(url: Column) -> Column:
     return match(url, r"/status/([0-9]+)")
 

@@ -63,7 +63,7 @@ def analysis(c: Column) -> Column:
 
 
 def default_analysis(error: Column) -> Column:
-    """What stands for an analysis that failed."""
+    """What stands for an analysis that failed; its fields are fixed values."""
     return F.struct(F.lit(1.0).alias("relevance_score"), F.lit("Neutral").alias("sentiment"), F.lit("Medium").alias("complexity_level"), F.lit("Article").alias("content_type"), F.lit(0).alias("word_count"), F.lit(0.0).alias("reading_time_minutes"), error.alias("error"))
 
 

@@ -1,4 +1,8 @@
-"""Titles, texts, authors and metadata of web pages, posts and videos from their HTML, by patterns in the JVM."""
+"""Titles, texts, authors and metadata of web pages, posts and videos from their HTML, by patterns in the JVM.
+
+Fixed values, as they are part of the results: all patterns of HTML, also those within functions, and the titles that stand
+where a page gives none.
+"""
 
 from __future__ import annotations
 

@@ -162,6 +162,7 @@ def _number(c: Column) -> Column:
 def parse_analysis(response: Column, original: Column, inline: bool = False) -> Column:
     """Sections of an analysis. By default a value on the same line as its head isn't read; inline reads it. Tone and
     depth are those of the response, kind and length those of the original text."""
+    # The heads of sections.
     heads = {"main_topics": "Main Topics", "key_insights": "Key Insights", "actionable_items": "Actionable Items", "technologies_tools": "Technologies/Tools", "author_expertise": "Author Expertise", "relevance_score": "Relevance Score"}
     return let(_sections(response, heads, inline), lambda rows: _analysis(rows, response, original))
 
@@ -177,6 +178,7 @@ def _analysis(rows: Column, response: Column, original: Column) -> Column:
 
 def parse_categories(response: Column, original: Column, inline: bool = False) -> Column:
     """struct(primary, secondary, confidence, method): normalised; by keywords of the original where nothing is found."""
+    # The heads of sections.
     heads = {"primary": "Primary Category", "secondary": "Secondary Categories", "confidence": "Confidence Score"}
 
     def of(rows: Column) -> Column:

@@ -2,6 +2,8 @@
 
 A thread is rows of posts with one thread key. Assembly groups them once; the hot keys of a few very long threads are
 bounded by what one record may hold, as the result has one row per thread.
+
+Fixed values: the titles of threads and posts, as they are part of the results.
 """
 
 from __future__ import annotations
