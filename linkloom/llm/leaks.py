@@ -27,8 +27,8 @@ from .filters import Filter, filter_of
 
 #: Consecutive words that make a passage, the shortest tile, and the share of an item that tiles must cover together.
 MIN_WORDS, MIN_TILE, MIN_COVERAGE = 12, 6, 0.5
-#: Windows of items that go to the executors as they are, with their items: 20 bytes each.
-MAX_WINDOWS = 2_000_000
+#: Words of items that go to the executors as they are, with their windows: 24 bytes each.
+MAX_WORDS = 2_000_000
 #: Words whose codes a worker remembers.
 KEPT_WORDS = 1_000_000
 
@@ -282,8 +282,8 @@ def leaked(docs: DataFrame, items: DataFrame, doc: str = "doc_id", text: str = "
     coded = text_of(items.where(F.col(item).isNotNull()), item, item_text, "_item").mapInArrow(_code_items, "_item string, codes array<bigint>")
     coded = cut_lineage(coded.where(F.size("codes") >= width).withColumn("_at", F.monotonically_increasing_id()))
     rows = text_of(docs, doc, text, "_doc")
-    n = coded.agg(F.sum(F.size("codes") - (width - 1))).first()[0] or 0
-    if n <= MAX_WINDOWS:
+    n, n_words = (x or 0 for x in coded.agg(F.sum(F.size("codes") - (width - 1)), F.sum(F.size("codes"))).first())
+    if n_words <= MAX_WORDS:
         found = _with_few(rows, coded, width, min_words, min_coverage)
     else:
         windows = cut_lineage(coded.select("_at", "codes").mapInArrow(_windows(width), "_at bigint, h bigint, times bigint"))

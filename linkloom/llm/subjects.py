@@ -27,6 +27,8 @@ from ..runtime import cut_lineage, spread, table
 
 #: Labelled documents that the model is fitted on, chosen by hash; all documents are classified.
 SAMPLE = 24_000
+#: Characters of these documents, all together; with longer texts the sample has fewer of them.
+SAMPLE_CHARS = 40_000_000
 #: Subjects at most, and labelled documents times subjects that the fit holds: with many subjects the sample is smaller.
 MAX_SUBJECTS, MAX_CELLS = 2_000, 600_000
 #: Documents that must have a term, what a term's evidence is shrunk by, and the least evidence worth keeping.
@@ -352,7 +354,11 @@ def labelled(docs: DataFrame, labels: DataFrame, subjects: list[str], key: str,
     rows = docs.join(F.broadcast(own), "_key").where(F.col("_text").rlike(r"\S"))
     rest = [c for c in rows.columns if c not in ("_key", "_text")]
     one = rows.groupBy("_key").agg(F.min(F.struct("_text", *rest)).alias("r"))
-    return cut_lineage(one.select("_key", "r.*").repartition(docs.sparkSession.sparkContext.defaultParallelism, "_key"))
+    one = cut_lineage(one.select("_key", "r.*").repartition(docs.sparkSession.sparkContext.defaultParallelism, "_key"))
+    by_hash = Window.orderBy(F.xxhash64(F.lit(3), "_key"), "_key").rowsBetween(Window.unboundedPreceding, 0)
+    sizes = one.select("_key", F.length("_text").alias("n")).withColumn("so_far", F.sum("n").over(by_hash))  # at most `sample` rows
+    longer = sizes.where(F.col("so_far") > SAMPLE_CHARS).select("_key")
+    return one.join(F.broadcast(longer), "_key", "left_anti") if longer.head() else one
 
 
 _COUNTED = pa.schema([("term", pa.string()), ("n", pa.int64())])

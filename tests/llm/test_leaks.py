@@ -41,8 +41,8 @@ def test_against_plain_search(spark, monkeypatch):
         docs.append((d, " ".join(parts)))
     want = plain(docs, items, 12)
     assert len(want) > 20
-    for most in (L.MAX_WINDOWS, 10):
-        monkeypatch.setattr(L, "MAX_WINDOWS", most)
+    for most in (L.MAX_WORDS, 10):
+        monkeypatch.setattr(L, "MAX_WORDS", most)
         d = spark.createDataFrame([(*x, "clash", 1) for x in docs], DOCS)
         i = spark.createDataFrame([(*x, "clash") for x in items], ITEMS)
         assert {(r["doc_id"], r["item_id"]) for r in L.leaked(d, i, min_coverage=2.0).collect()} == want
@@ -114,8 +114,8 @@ def test_pieces_of_six_words_are_found_by_coverage(spark, monkeypatch):
     rng.shuffle(pieces)
     docs = spark.createDataFrame([(1, " filler ".join(" ".join(p) for p in pieces), "", 0), (2, " ".join(pieces[0] + ["x"] + pieces[2]), "", 0)], DOCS)
     items = spark.createDataFrame([(9, " ".join(w), "")], ITEMS)
-    for most in (L.MAX_WINDOWS, 1):
-        monkeypatch.setattr(L, "MAX_WINDOWS", most)
+    for most in (L.MAX_WORDS, 1):
+        monkeypatch.setattr(L, "MAX_WORDS", most)
         assert [tuple(r) for r in L.leaked(docs, items).collect()] == [(1, 9, 6, 48, 1.0)]
         assert L.leaked(docs, items, min_tile=12).count() == 0
 

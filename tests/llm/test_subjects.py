@@ -70,13 +70,16 @@ def test_units():
     assert len(S.units(" ".join(["word"] * 100))) > 3 and S.units(" ... ") == []
 
 
-def test_more_labels_than_the_sample(spark):
+def test_more_labels_than_the_sample(spark, monkeypatch):
     """The fit takes as many as its bound says; all documents are classified."""
     docs, own = made(random.Random(4), 1500)
     lab = spark.createDataFrame([(i, s, "a") for i, o in enumerate(own) for s in o], "bm_seq bigint, subject string, annotator string")
     subj, df = spark.createDataFrame([(s,) for s in TERMS], "subject string"), spark.createDataFrame(docs, DOCS)
     rows = df.selectExpr("bm_seq AS _key", "content AS _text", "bookmark_type AS _kind", "'f' AS _feed", "'h' AS _host")
     assert S.labelled(rows, lab, sorted(TERMS), "bm_seq", 300).count() == 300
+    monkeypatch.setattr(S, "SAMPLE_CHARS", 20_000)
+    assert 0 < S.labelled(rows, lab, sorted(TERMS), "bm_seq", 300).selectExpr("sum(length(_text))").first()[0] <= 20_000
+    monkeypatch.undo()
     got = {r["bm_seq"]: set(r["subjects"]) for r in S.with_subjects(df, lab, subj, sample=300).collect()}
     assert len(got) == 1500 and np.mean([got[i] == own[i] for i in range(1500)]) > 0.88
 
