@@ -72,7 +72,11 @@ def _names(site: str) -> tuple[str, ...]:
 
 
 def _parts(line: str) -> list[str]:
-    """The parts of a line of links, if it is one."""
+    """The parts of a line of links, if it is one. Its first part has at most 4 words, so a long line without anything
+    between words by its sixth is none."""
+    first = line.split(None, 6)
+    if len(first) == 7 and not _BETWEEN.search(line, 0, len(line) - len(first[6])):
+        return []
     p = [x for x in _BETWEEN.split(line) if x]
     return p if len(p) > 1 and all(len(x.split()) <= 4 for x in p) else []
 
@@ -91,7 +95,7 @@ class Line:
         self.parts = [_hash("P", x) for x in parts]
         self.root = _hash("R", parts[0]) if len(parts) > 2 else None
         self.bullet = "bullet" if _BULLET.match(line) else "plain"
-        self.item = self.bullet == "bullet" or (len(bare.split()) <= 14 and not _END.search(_MINUTES.sub("", bare)))
+        self.item = self.bullet == "bullet" or (len(bare.split(None, 14)) <= 14 and not _END.search(_MINUTES.sub("", bare)))
 
     @property
     def could_be_below(self) -> bool:
@@ -121,8 +125,10 @@ class Reader:
                     if len(kept) >= KEPT_LINES:
                         kept.clear()
                     kept[x] = line
-            if names and any(n in line.plain for n in names):
-                line = Line(x, names)
+            for n in names:
+                if n in line.plain:
+                    line = Line(x, names)
+                    break
             out.append((i, line))
         return out
 
