@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators import analysis, knowledge
 
@@ -35,14 +36,15 @@ def write_markdown(df: DataFrame, path: str, title: str = "Knowledge Base", orde
     c = F.col
     order = order or ("id" if "id" in df.columns else "url")
     block = knowledge.markdown_record(c("title"), c("author"), c("url"), c("bookmark_type"), F.array_compact("tags"), c("created_at").cast("string"), c("content"), F.array_compact("key_insights"))
-    at = lambda kind, o: (F.lit(kind).alias("kind"), o.cast("string").alias("at"))
-    rows = df.select(F.lit(1).alias("section"), knowledge.primary(c("categories")).alias("category"), *at(1, c(order)), block.alias("value"))
+    number = isinstance(df.schema[order].dataType, T.NumericType)
+    at = lambda kind, o, n=F.lit(None): (F.lit(kind).alias("kind"), n.cast("decimal(38,9)").alias("number"), o.cast("string").alias("at"))
+    rows = df.select(F.lit(1).alias("section"), knowledge.primary(c("categories")).alias("category"), *at(1, c(order), c(order) if number else F.lit(None)), block.alias("value"))
     contents = knowledge.contents_table(df)
     heads = contents.select(F.lit(1).alias("section"), "category", *at(0, F.lit("")), F.concat(F.lit("## "), c("category"), F.lit("\n")).alias("value"))
     entries = contents.select(F.lit(0).alias("section"), c("category"), *at(1, F.lit("")), c("entry").alias("value"))
     top = knowledge.header(df).select(F.lit(0).alias("section"), F.lit("").alias("category"), *at(-1, F.lit("")), F.concat(F.lit(f"# {title}\n\nGenerated on: "), F.substring("generated_at", 1, 19), F.lit("\nTotal bookmarks: "), c("total_bookmarks").cast("string"), F.lit("\n\n---\n\n## Table of Contents\n")).alias("value"))
-    end = df.sparkSession.createDataFrame([(0, "\U0010ffff", 2, "", "\n---\n")], "section int, category string, kind int, at string, value string")
-    rows.unionByName(heads).unionByName(entries).unionByName(top).unionByName(end).orderBy("section", "category", "kind", "at", F.xxhash64("value")).select("value").write.mode("overwrite").text(path)
+    end = df.sparkSession.createDataFrame([(0, "\U0010ffff", 2, None, "", "\n---\n")], "section int, category string, kind int, number decimal(38,9), at string, value string")
+    rows.unionByName(heads).unionByName(entries).unionByName(top).unionByName(end).orderBy("section", "category", "kind", "number", "at", F.xxhash64("value")).select("value").write.mode("overwrite").text(path)
 
 
 def write_training(df: DataFrame, path: str, least: int = 11) -> bool:

@@ -98,6 +98,9 @@ def test_sinks(spark, tmp_path):
     assert [text.index(f"### t{i}\n") for i in (0, 1, 10, 11, 2)] == sorted(text.index(f"### t{i}\n") for i in (0, 1, 10, 11, 2))  # by id
     header = spark.read.option("header", True).csv(done["csv"]).columns
     assert header == ["id", "title", "url", "author", "content", "bookmark_type", "categories", "tags", "created_at", "processed_at", "processing_time", "metadata", "analysis_results"]
+    files.write_markdown(df.withColumn("at", 100 - F.col("id").cast("int")), str(tmp_path / "md"), "By number", "at")
+    text = "\n".join(r["value"] for r in spark.read.option("wholetext", True).text(str(tmp_path / "md")).collect())
+    assert [text.index(f"### t{i}\n") for i in (11, 10, 9, 2, 1)] == sorted(text.index(f"### t{i}\n") for i in range(12) if i in (11, 10, 9, 2, 1))
     stats = {(r["kind"], r["value"]): r["n"] for r in spark.read.json(done["statistics"]).collect()}
     assert stats["authors", "ann"] == 12 and stats["processing_times", "total"] == 6.0
     assert not files.write_training(df.limit(10), str(tmp_path / "few"))
