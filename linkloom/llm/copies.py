@@ -30,6 +30,7 @@ HOT_SHARE = 0.001
 #: Characters that show nothing though Unicode has them as letters or marks (fillers, variation selectors).
 _UNSEEN = r"\x{034F}\x{115F}\x{1160}\x{17B4}\x{17B5}\x{180B}-\x{180F}\x{3164}\x{FE00}-\x{FE0F}\x{FFA0}\x{E0100}-\x{E01EF}"
 _DROPPED = rf"[^\p{{L}}\p{{M}}\p{{N}}]+|[{_UNSEEN}]+"
+_SHOWN = rf"[^\s\p{{Z}}\p{{C}}{_UNSEEN}]"
 
 
 def canonical_text(c: Column) -> Column:
@@ -50,7 +51,7 @@ def canonical_url(c: Column) -> Column:
 
 def _seen(c: Column) -> Column:
     """Whether there is anything but white space and invisible characters."""
-    return F.coalesce(c.rlike(rf"[^\s\p{{Z}}\p{{C}}{_UNSEEN}]"), F.lit(False))
+    return F.coalesce(c.rlike(_SHOWN), F.lit(False))
 
 
 def keyed(df: DataFrame, seq: str, forms: list[Column], seen: list[Column]) -> DataFrame:

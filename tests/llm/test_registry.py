@@ -23,4 +23,5 @@ def test_sql(spark, sf_dir, name):
     df = registry.queries()[name](spark, sf_dir)
     done = c.execute(registry.oracle_sql()[name])
     names = [d[0] for d in done.description]
-    assert sorted(map(str, ([r[n] for n in names] for r in df.collect()))) == sorted(map(str, map(list, done.fetchall())))
+    tidy = lambda rows: sorted(str([round(x, 9) if isinstance(x, float) else x for x in r]) for r in rows)
+    assert tidy([r[n] for n in names] for r in df.collect()) == tidy(done.fetchall())
