@@ -313,10 +313,14 @@ def fit_chain(corpus: Corpus, kinds: np.ndarray, sources: list[np.ndarray], labe
             continue
         t, a, lengths = folds[f][1]
         said = [read_odds(source_odds(values, y, ~here), values[here], k) for values in sources]
-        part = _structure(t, a, lengths, kinds[here], said).astype(np.float32)
-        if x is None:
-            x = np.zeros((n, k, part.shape[2]), np.float32)
-        x[here], about[here] = part, a
+        about[here] = a
+        rows = np.flatnonzero(here)
+        for i in range(0, len(rows), CHUNK // 4):
+            some = slice(i, i + CHUNK // 4)
+            part = _structure(t[some], a[some], lengths[some], kinds[here][some], [s[some] for s in said])
+            if x is None:
+                x = np.zeros((n, k, part.shape[2]), np.float32)
+            x[rows[some]] = part
     train, held = np.flatnonzero(fold != 2), np.flatnonzero(fold == 2)
     if not len(train) or not len(held):
         train = held = np.arange(n)
